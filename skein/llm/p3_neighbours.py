@@ -42,7 +42,7 @@ def nearest_in_list(ids: np.ndarray, posted: np.ndarray, x: np.ndarray, asked: n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 1_024, probe_ratio: float = 1.12) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 2_048, probe_ratio: float = 1.12) -> DataFrame:
     """Of every vector its k nearest of the same kind, model and account: (*GROUP, rowid, neighbour_rowid, distance, place).
 
     Vectors are scaled to unit length, distances are Euclidean in double precision, ties go to the smaller row id, and
@@ -70,7 +70,8 @@ def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: i
 
     text = ", ".join(f"{g} string" for g in GROUP)
     found = sent.groupBy(*GROUP, "list", "block").applyInArrow(search, f"{text}, rowid long, neighbour_rowid long, distance double")
-    best = found.groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"))
+    # one shuffle serves both the merging of equal finds and the ranking
+    best = found.repartition(*GROUP, "rowid").groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy(*GROUP, "rowid").orderBy(F.round("distance", 9), "neighbour_rowid")
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

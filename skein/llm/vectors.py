@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.runtime import materialize
+
 GROUP = ["vector_kind", "model_id", "account_id"]
 
 
@@ -97,14 +100,15 @@ class CellGraph:
         return np.take_along_axis(found, order, 1), np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sim, order, 1)))
 
 
-def with_cells(vectors: DataFrame, cell_rows: int, sample_rows: int = 65_536, max_probe: int = 4, ratio: float = 1.12, slice_rows: int = 16_384) -> DataFrame:
+def with_cells(vectors: DataFrame, cell_rows: int, sample_rows: int = 65_536, max_probe: int = 4, ratio: float = 1.12, slice_rows: int = 16_384, broadcast_centres: int = 40_000) -> DataFrame:
     """Give every vector its cells within its group: (vector_kind, model_id, account_id, rowid, vec, cell, block, blocks, probes).
 
     A group of at most `cell_rows` vectors is one cell. Of a larger group a sample of about `sample_rows` vectors, taken
     by a hash of the row id, places the centres (n / cell_rows of them, at most sample_rows / 8); every vector is then
     assigned. `cell` is the nearest; `probes` holds further cells whose centre is at most `ratio` times as far. A cell
-    that holds more than its share, such as one full of copies, is cut into `blocks`. Both steps run on slices of a
-    group, so that no group is gathered in one task.
+    that holds more than its share, such as one full of copies, is cut into `blocks`. Up to `broadcast_centres` centres
+    (10 MB of 64 numbers) go to every task; beyond, slices of a group meet their centres in a cogroup. No group is
+    gathered in one task.
     """
     counts = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("group_rows"))
     sized = vectors.join(counts, GROUP)
@@ -128,25 +132,54 @@ def with_cells(vectors: DataFrame, cell_rows: int, sample_rows: int = 65_536, ma
 
     text = ", ".join(f"{g} string" for g in GROUP)
     centres = sample.groupBy(*GROUP).applyInArrow(fit, f"{text}, slice int, centres array<double>, cell_blocks array<int>")
-    sliced = large.withColumn("slice", F.pmod(F.xxhash64("rowid", F.lit(7)), F.ceil(F.col("group_rows") / slice_rows)).cast("int")).select(*GROUP, "slice", "rowid", "vec")
+    schema = pa.schema([(g, pa.string()) for g in GROUP] + [("rowid", pa.int64()), ("vec", pa.list_(pa.float32())), ("cell", pa.int32()), ("block", pa.int32()), ("blocks", pa.list_(pa.int32())), ("probes", pa.list_(pa.int32()))])
+    ddl = f"{text}, rowid long, vec array<float>, cell int, block int, blocks array<int>, probes array<int>"
 
-    def assign(key, left, right):
-        schema = pa.schema([(g, pa.string()) for g in GROUP] + [("rowid", pa.int64()), ("vec", pa.list_(pa.float32())), ("cell", pa.int32()), ("block", pa.int32()), ("blocks", pa.list_(pa.int32())), ("probes", pa.list_(pa.int32()))])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        x = matrix(left["vec"])
-        blocks = np.array(right["cell_blocks"][0].as_py(), np.int32)
-        graph = CellGraph(np.array(right["centres"][0].as_py()).reshape(len(blocks), -1))
+    def placed(t, graph, blocks):
+        x = matrix(t["vec"])
         parts = [graph.search(x[i : i + 2048], max_probe) for i in range(0, len(x), 2048)]
         near, far = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         keep = far <= ratio * far[:, :1] + 1e-9
         keep[:, 0] = True
         probes = [n[k].tolist() for n, k in zip(near.astype(np.int32), keep)]
-        ids = left["rowid"].to_numpy()
-        block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % blocks[near[:, 0]].astype(np.uint64)
-        cols = {g: left[g] for g in GROUP} | {"rowid": left["rowid"], "vec": left["vec"], "cell": pa.array(near[:, 0].astype(np.int32)), "block": pa.array(block.astype(np.int32)), "blocks": pa.array([blocks[p].tolist() for p in probes], pa.list_(pa.int32())), "probes": pa.array(probes, pa.list_(pa.int32()))}
+        block = ((t["rowid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % blocks[near[:, 0]].astype(np.uint64)
+        cols = {g: t[g] for g in GROUP} | {"rowid": t["rowid"], "vec": t["vec"], "cell": pa.array(near[:, 0].astype(np.int32)), "block": pa.array(block.astype(np.int32)), "blocks": pa.array([blocks[p].tolist() for p in probes], pa.list_(pa.int32())), "probes": pa.array(probes, pa.list_(pa.int32()))}
         return pa.table(cols).cast(schema)
 
+    def index(centres, cell_blocks):
+        blocks = np.array(cell_blocks, np.int32)
+        return CellGraph(np.array(centres).reshape(len(blocks), -1)), blocks
+
+    centres = materialize(centres)
+    of_group = centres.where(F.col("slice") == 0).drop("slice")
+    if (of_group.agg(F.sum(F.size("cell_blocks"))).first()[0] or 0) <= broadcast_centres:
+        sent = large.sparkSession.sparkContext.broadcast({tuple(r[g] for g in GROUP): (np.array(r["centres"], np.float32), r["cell_blocks"]) for r in of_group.toLocalIterator()})
+
+        def assign(batches):
+            held = {}
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                keys = t.select(GROUP).group_by(GROUP).aggregate([]).to_pylist()
+                for key in keys:
+                    k = tuple(key[g] for g in GROUP)
+                    if k not in sent.value:
+                        continue
+                    if k not in held:
+                        held[k] = index(*sent.value[k])
+                    own = t
+                    for g in GROUP:
+                        own = own.filter(pa.compute.equal(own[g], key[g]))
+                    yield from placed(own, *held[k]).combine_chunks().to_batches()
+
+        return small.unionByName(large.select(*GROUP, "rowid", "vec").mapInArrow(assign, ddl))
+
+    sliced = large.withColumn("slice", F.pmod(F.xxhash64("rowid", F.lit(7)), F.ceil(F.col("group_rows") / slice_rows)).cast("int")).select(*GROUP, "slice", "rowid", "vec")
+
+    def assign_slice(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        return placed(left, *index(right["centres"][0].as_py(), right["cell_blocks"][0].as_py()))
+
     by = [*GROUP, "slice"]
-    assigned = sliced.groupBy(*by).cogroup(centres.groupBy(*by)).applyInArrow(assign, f"{text}, rowid long, vec array<float>, cell int, block int, blocks array<int>, probes array<int>")
+    assigned = sliced.groupBy(*by).cogroup(centres.groupBy(*by)).applyInArrow(assign_slice, ddl)
     return small.unionByName(assigned)

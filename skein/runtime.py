@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,22 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 def shuffle_width(spark: SparkSession) -> int:
     """Tasks a Python-backed shuffle should have: the session's setting, at least two a core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="skein-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/skein-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

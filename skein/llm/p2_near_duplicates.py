@@ -15,8 +15,8 @@ from skein.operators.components import connected_components
 from skein.runtime import materialize
 from skein.sources import table
 
-#: Entries of the table of word frequencies that every task gets: 1 MB whatever the collection's size.
-BUCKETS = 1 << 18
+#: Entries of the table of word frequencies that every task gets: 4 MB whatever the collection's size.
+BUCKETS = 1 << 20
 
 
 def packed(words: np.ndarray) -> bytes:
@@ -50,8 +50,8 @@ def worded(df: DataFrame, key: str, text_columns: list[str], min_words: int) ->
     return rows.mapInArrow(read, "rowid long, copies long, words binary")
 
 
-def word_weights(words: DataFrame, power: float = 3.0) -> np.ndarray:
-    """Inverse document frequency of each bucket of words, over all rows, to `power`."""
+def word_weights(words: DataFrame, power: float = 2.5) -> np.ndarray:
+    """Inverse document frequency of each bucket of words, over all rows, to `power`; 0 for words of a single text, which none can share."""
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
@@ -60,7 +60,7 @@ def word_weights(words: DataFrame, power: float = 3.0) -> np.ndarray:
             for i in range(0, b.num_rows, 2_000):
                 ids, counts = unpacked(b["words"].slice(i, 2_000).to_pylist())
                 doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-                each = np.unique((doc << 18) | (ids & np.uint32(BUCKETS - 1)).astype(np.int64))
+                each = np.unique((doc << 20) | (ids & np.uint32(BUCKETS - 1)).astype(np.int64))
                 total += np.bincount(each & (BUCKETS - 1), minlength=BUCKETS)
                 n += len(counts)
         at = np.flatnonzero(total)
@@ -71,7 +71,7 @@ def word_weights(words: DataFrame, power: float = 3.0) -> np.ndarray:
     own = got[got.bucket >= 0]
     df[own.bucket.to_numpy()] = own.n.to_numpy()
     rows = float(got.n[got.bucket < 0].sum())
-    return (np.log((rows + 1) / (df + 0.5)) ** power).astype(np.float32)
+    return np.where(df > 1, np.log((rows + 1) / (df + 0.5)) ** power, 0).astype(np.float32)
 
 
 def sketches(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray, number: int, k: int) -> np.ndarray:
@@ -83,9 +83,12 @@ def sketches(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray, number: i
     h = mixed(ids.astype(np.uint64) + np.uint64(1))
     w = weights[ids & np.uint32(len(weights) - 1)]
     mer, weight = h[: len(h) - k + 1].copy(), w[: len(h) - k + 1].copy()
+    shared = weight > 0
     for j in range(1, k):
         mer = mixed(mer * np.uint64(3) + h[j : len(h) - k + 1 + j])
         weight = np.maximum(weight, w[j : len(h) - k + 1 + j])
+        shared &= w[j : len(h) - k + 1 + j] > 0
+    weight[~shared] = 0
     whole = doc[: len(mer)] == doc[k - 1 :]
     mer, weight, doc = mer[whole], weight[whole], doc[: len(whole)][whole]
     # label: the how-manieth of its kind in the text
@@ -142,18 +145,27 @@ def similarity(a: list[int], b: list[int], least: float) -> float:
     return n / (len(a) + len(b) - n)
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 20, k: int = 2) -> tuple[DataFrame, DataFrame]:
+def shared_at_most(a: list[bytes], b: list[bytes], buckets: int = 2_048) -> np.ndarray:
+    """Of each pair of texts an upper bound of shared over all words, counted by buckets of words, many pairs at once."""
+    (x, nx), (y, ny) = unpacked(a), unpacked(b)
+    pair = np.arange(len(a), dtype=np.int64) * buckets
+    hist = [np.bincount(np.repeat(pair, n) + (w & np.uint32(buckets - 1)), minlength=len(a) * buckets) for w, n in ((x, nx), (y, ny))]
+    inter = np.minimum(*hist).reshape(len(a), buckets).sum(1)
+    return inter / np.maximum(nx + ny - inter, 1)
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: int = 2, hits: int = 2) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and the membership of rows in groups of equal words.
 
     rows: see worded(). Result: links (left, right, similarity) between representatives - the smallest rowid of each set
     of rows with equal words - that share at least `least` of their words, and members (rowid, representative). Copies
-    are one text before candidates are sought. A sketch holds two k-mers; texts that share one of `number` sketches are
-    candidates, whatever the number of texts that share it; an alignment within a band accepts, and where moved
+    are one text before candidates are sought. A sketch holds two k-mers; texts of fitting lengths that share `hits` of
+    `number` sketches are candidates, whatever the number of texts that share them; an alignment within a band accepts, and where moved
     passages defeat it, the exact share of words decides. Empty input gives empty results.
     """
     words = materialize(rows)
     members = words.groupBy("copies").agg(F.min("rowid").alias("representative"))
-    weights = words.sparkSession.sparkContext.broadcast(word_weights(words))
+    weights = words.sparkSession.sparkContext.broadcast(word_weights(words.groupBy("copies").agg(F.min_by("words", "rowid").alias("words"))))
 
     def sketch(batches):
         for b in batches:
@@ -161,22 +173,24 @@ def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 20, k: in
                 part = b.slice(i, 1_000)
                 ids, counts = unpacked(part["words"].to_pylist())
                 keys = sketches(ids, counts, weights.value, number, k)
-                yield pa.RecordBatch.from_arrays([part["copies"], pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), number).cast(pa.list_(pa.int64()))], ["copies", "keys"])
+                yield pa.RecordBatch.from_arrays([part["copies"], pa.array(counts.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), number).cast(pa.list_(pa.int64()))], ["copies", "size", "keys"])
 
-    keyed = words.where(F.octet_length("words") >= 3 * (k + 1)).select("copies", "words").mapInArrow(sketch, "copies long, keys array<long>")
+    keyed = words.where(F.octet_length("words") >= 3 * (k + 1)).select("copies", "words").mapInArrow(sketch, "copies long, size int, keys array<long>")
     # equal texts have equal words but maybe another order, so each order's sketches stay
-    bands = keyed.select(F.explode("keys").alias("key"), "copies").distinct()
-    left, right = bands.select("key", F.col("copies").alias("left")), bands.select("key", F.col("copies").alias("right"))
-    pairs = left.join(right, "key").where(F.col("left") < F.col("right")).select("left", "right").distinct()
+    bands = keyed.select(F.explode("keys").alias("key"), "copies", "size").distinct()
+    left, right = bands.select("key", F.col("copies").alias("left"), F.col("size").alias("m")), bands.select("key", F.col("copies").alias("right"), F.col("size").alias("n"))
+    fits = (F.col("left") < F.col("right")) & (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
+    pairs = left.join(right, "key").where(fits).groupBy("left", "right").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= hits).select("left", "right")
     text = words.groupBy("copies").agg(F.min_by("words", "rowid").alias("words"))
     both = pairs.join(text.select(F.col("copies").alias("left"), F.col("words").alias("a")), "left").join(text.select(F.col("copies").alias("right"), F.col("words").alias("b")), "right")
 
     def verify(batches):
         for b in batches:
-            s = []
+            s = np.zeros(b.num_rows)
             for i in range(0, b.num_rows, 500):
-                for x, y in zip(b["a"].slice(i, 500).to_pylist(), b["b"].slice(i, 500).to_pylist()):
-                    s.append(similarity(unpacked([x])[0].tolist(), unpacked([y])[0].tolist(), least))
+                x, y = b["a"].slice(i, 500).to_pylist(), b["b"].slice(i, 500).to_pylist()
+                for j in np.flatnonzero(shared_at_most(x, y) >= least):
+                    s[i + j] = similarity(unpacked([x[j]])[0].tolist(), unpacked([y[j]])[0].tolist(), least)
             yield pa.RecordBatch.from_arrays([b["left"], b["right"], pa.array(s, pa.float64())], ["left", "right", "similarity"])
 
     links = both.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, similarity double").where(F.col("similarity") >= least)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skein.plans import events, mail, taxonomy
+
+QUERIES: dict = mail.QUERIES | taxonomy.QUERIES | events.QUERIES
+ORACLE_SQL: dict[str, str] = mail.ORACLE_SQL | taxonomy.ORACLE_SQL | events.ORACLE_SQL

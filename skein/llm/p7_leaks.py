@@ -170,10 +170,13 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
         latent = (basis * idf[:, None]).astype(np.float32)
         q = np.stack([latent[p].sum(0) for p in known.passages])
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        # no window of less weight than the lightest run holds a run or a whole shorter item
+        floor = min(float(idf[w[a : a + min(run, len(w))]].sum()) for w in known.ids.values() for a in range(len(w) - min(run, len(w)) + 1)) - 1e-2
         sent = documents.sparkSession.sparkContext.broadcast((known, latent, q.astype(np.float32), np.array(known.of), idf))
 
         def find(batches):
             known, latent, q, of, idf = sent.value
+            weight = np.append(idf, 0).astype(np.float32)
             latent = np.vstack([latent, np.zeros((1, latent.shape[1]), np.float32)])  # -1: no vocabulary word
             for names, ids, lengths in chunks(batches):
                 out = {}
@@ -181,14 +184,21 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
                 if not len(b):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                half, inside = np.add.reduceat(latent[ids], starts), np.add.reduceat((ids >= 0).astype(np.int64), starts)
+                mass = np.add.reduceat(weight[ids], starts)
                 doc = np.repeat(np.arange(len(count)), count)
-                follows = np.append(doc[1:] == doc[:-1], False)[:, None]
-                z = half + np.where(follows, np.roll(half, -1, 0), 0)
-                inside = inside + np.where(follows[:, 0], np.roll(inside, -1), 0)
-                # no window with fewer words of the vocabulary holds a run or a whole item
-                ask = np.flatnonzero(inside >= known.shortest)
-                z = z[ask] / np.maximum(np.linalg.norm(z[ask], axis=1, keepdims=True), 1e-9)
+                follows = np.append(doc[1:] == doc[:-1], False)
+                ask = np.flatnonzero(mass + np.where(follows, np.roll(mass, -1), 0) >= floor)
+                if not len(ask):
+                    continue
+                # latent vectors of the blocks that are asked for only
+                wanted = np.union1d(ask, ask[follows[ask]] + 1)
+                place = np.full(len(doc), -1)
+                place[wanted] = np.arange(len(wanted))
+                own = place[b] >= 0
+                w_ids, w_block = ids[own], place[b[own]]
+                half = np.add.reduceat(latent[w_ids], np.flatnonzero(np.concatenate([[True], w_block[1:] != w_block[:-1]])))
+                z = half[place[ask]] + np.where(follows[ask, None], half[place[np.minimum(ask + 1, len(doc) - 1)]], 0)
+                z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 for i in range(0, len(ask), 2_048):
                     hit = z[i : i + 2_048] @ q.T >= least_cosine

@@ -22,6 +22,20 @@ def bm25(index: DataFrame, key: str, documents: Column | int, terms: list[str],
     return hits.join(F.broadcast(df), "word").groupBy(key).agg(F.sum(part).alias("score"))  # at most one row a term
 
 
+def bm25_counts(df: DataFrame, length: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """df with `score`, from a column of each text's length in words and one of each term's occurrences: no index and no shuffle of words.
+
+    One pass gathers the number of texts, their mean length and each term's document frequency.
+    """
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"), *[F.count_if(F.col(t) > 0).alias(t) for t in terms])
+    every = df.crossJoin(F.broadcast(got.select(F.col("n").alias("_n"), F.col("mean").alias("_mean"), *[F.col(t).alias(f"_df_{t}") for t in terms])))
+    score = F.lit(0.0)
+    for t in terms:
+        idf = F.greatest(F.lit(1e-6), F.ln((F.col("_n") - F.col(f"_df_{t}") + 0.5) / (F.col(f"_df_{t}") + 0.5)))
+        score = score + F.when(F.col(t) > 0, idf * F.col(t) * (k1 + 1) / (F.col(t) + k1 * (1 - b + b * F.col(length) / F.col("_mean")))).otherwise(0.0)
+    return every.withColumn("score", score).select(*df.columns, "score")
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows in `order`, with their 0-based place."""
     top = df.orderBy(*order).limit(limit)

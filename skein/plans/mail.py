@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.vectors import l2_distance
 from skein.operators import merge, search
+from skein.runtime import spread
 from skein.sources import table
 
 #: One row an email: the one indexed last. The same in SQL for the checks below.
@@ -15,11 +16,15 @@ EMAILS_SQL = "e as (select * from (select *, row_number() over (partition by ema
 HOT = "acc-000"
 
 
-def emails(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """(email_rowid, columns) of each email as indexed last; only the named columns are read and moved."""
-    df = table(spark, folder, "emails")
+def emails(spark: SparkSession, folder: str, *columns: str, **derived: Column) -> DataFrame:
+    """(email_rowid, columns, derived) of each email as indexed last.
+
+    Only the named columns are read, and what is derived from a row is computed before the shuffle, so that texts don't move.
+    """
+    df = spread(table(spark, folder, "emails")) if derived else table(spark, folder, "emails")
     need = [c for c in dict.fromkeys([*columns, "indexed_at", "folder"]) if c != "email_rowid"]
-    return merge.newest(df.select("email_rowid", *need), ["email_rowid"], ["indexed_at", "folder"]).select("email_rowid", *columns)
+    one = merge.newest(df.select("email_rowid", *need, *[c.alias(n) for n, c in derived.items()]), ["email_rowid"], ["indexed_at", "folder"])
+    return one.select("email_rowid", *columns, *derived)
 
 
 def recency() -> Column:
@@ -94,7 +99,7 @@ def hash_sample(spark, folder):
 def unembedded(spark, folder):
     """Mails with a body and no vector of a model, by account."""
     have = table(spark, folder, "email_embeddings").where((T.model_key(F.col("model_id")) == "atlas-embed-64") & F.col("embedding").isNotNull()).select("email_rowid").distinct()
-    return emails(spark, folder, "account_id", "body").where(F.length("body") > 0).select("email_rowid", "account_id").join(have, "email_rowid", "left_anti")
+    return emails(spark, folder, "account_id", chars=F.length("body")).where("chars > 0").select("email_rowid", "account_id").join(have, "email_rowid", "left_anti")
 
 
 def needs_fetch(spark, folder):
@@ -186,13 +191,13 @@ def invalidated_vectors(spark, folder):
 def html_text(spark, folder):
     """HTML bodies without markup, white space made one blank."""
     text = F.trim(F.regexp_replace(T.strip_html(F.col("body")), r"[ \t\r\n]+", " "))
-    return emails(spark, folder, "body", "body_format").where(F.col("body_format") == "html").select("email_rowid", F.length(text).alias("chars"), F.md5(text).alias("text_md5"))
+    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where(F.col("body_format") == "html").drop("body_format")
 
 
 def quoteless_text(spark, folder):
     """Text bodies without quoted lines: their lengths."""
     text = F.regexp_replace(F.regexp_replace("body", "\r\n", "\n"), "(?m)^>[^\n]*\n?", "")
-    return emails(spark, folder, "body", "body_format").where(F.col("body_format") == "text").select("email_rowid", F.length(text).alias("chars"), F.md5(text).alias("text_md5"))
+    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where(F.col("body_format") == "text").drop("body_format")
 
 
 def embedding_inputs(spark, folder):
@@ -201,13 +206,13 @@ def embedding_inputs(spark, folder):
     part = lambda label, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(label), F.trim(c)))
     head = F.nullif(F.concat_ws("\n", part("Subject: ", F.col("subject")), part("From: ", F.col("from_addr"))), F.lit(""))
     full = F.concat_ws("\n\n", head, F.nullif(body, F.lit("")))
-    return emails(spark, folder, "subject", "from_addr", "body").select("email_rowid", F.md5(full).alias("input_md5"))
+    return emails(spark, folder, input_md5=F.md5(full))
 
 
 def content_hash(spark, folder):
     """A hash by which a cached summary is known to be current."""
     text = F.concat_ws("|", F.coalesce("subject", F.lit("")), F.coalesce("from_addr", F.lit("")), F.coalesce("body", F.lit("")))
-    return emails(spark, folder, "subject", "from_addr", "body").select("email_rowid", F.sha2(text, 256).alias("hash"))
+    return emails(spark, folder, hash=F.sha2(text, 256))
 
 
 TERMS = ["projector", "boiler", "catalogue"]
@@ -215,26 +220,18 @@ TERMS = ["projector", "boiler", "catalogue"]
 
 def keyword_bm25(spark, folder):
     """The 30 mails that match a question best, frequencies taken over all accounts."""
-    df = emails(spark, folder, "account_id", "subject", "body")
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "subject", "body")), F.lit("([a-z0-9]+)"), 1)
-    sized = df.select("email_rowid", "account_id", words.alias("w")).where(F.size("w") > 0)
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg")).first()
-    if not total["n"]:
-        return spark.createDataFrame([], "email_rowid long, score double")
-    # only the query's words are indexed: the rest of each text is dropped before the shuffle
-    hit = sized.withColumn("own", F.filter("w", lambda x: x.isin(TERMS))).where(F.size("own") > 0)
-    index = hit.select("email_rowid", F.size("w").alias("length"), F.explode("own").alias("word")).groupBy("email_rowid", "length", "word").agg(F.count(F.lit(1)).alias("tf"))
-    score = search.bm25(index, "email_rowid", total["n"], TERMS, total["avg"])
-    mine = score.join(sized.where(F.col("account_id").startswith(HOT)).select("email_rowid"), "email_rowid", "left_semi")
-    return mine.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "email_rowid").limit(30)
+    text = F.lower(F.concat_ws(" ", "subject", "body"))
+    counts = {f"tf{i}": F.regexp_count(text, F.lit(rf"{t}(?<![a-z0-9]{t})(?![a-z0-9])")) for i, t in enumerate(TERMS)}
+    df = emails(spark, folder, "account_id", length=F.regexp_count(text, F.lit("[a-z0-9]+")), **counts).where("length > 0")
+    scored = search.bm25_counts(df, "length", list(counts)).where(F.col("account_id").startswith(HOT) & (F.col("score") > 0))
+    return scored.select("email_rowid", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "email_rowid").limit(30)
 
 
 def rrf_fusion(spark, folder):
     """Two rankings of an account's mails, the newest and those with most of a word, fused."""
-    df = emails(spark, folder, "account_id", "date_ms", "indexed_at", "body").where(F.col("account_id").startswith(HOT))
+    df = emails(spark, folder, "account_id", "date_ms", "indexed_at", n=F.size(F.split(F.lower("body"), "projector")) - 1).where(F.col("account_id").startswith(HOT))
     newest = search.ranked(df.select("email_rowid", recency().alias("at")), [F.desc_nulls_last("at"), F.asc("email_rowid")], 40)
-    n = F.size(F.split(F.lower("body"), "projector")) - 1
-    most = search.ranked(df.select("email_rowid", n.alias("n")).where("n > 0"), [F.desc("n"), F.asc("email_rowid")], 40)
+    most = search.ranked(df.select("email_rowid", "n").where("n > 0"), [F.desc("n"), F.asc("email_rowid")], 40)
     return search.rank_fusion([newest, most], "email_rowid").withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "arm", "place").limit(20).select("email_rowid", "score")
 
 
@@ -274,7 +271,7 @@ def label_twins(spark, folder):
 def thread_trim(spark, folder):
     """The newest mails of each thread, at most 8 and, but for the newest, within 4000 characters."""
     thread = F.lower(F.trim(F.regexp_replace("subject", "(?i)^((re|aw|fwd) *: *)+", "")))
-    df = emails(spark, folder, "account_id", "subject", "date_ms", "indexed_at", "body").select("email_rowid", "account_id", thread.alias("thread"), recency().alias("at"), F.coalesce(F.length("body"), F.lit(0)).alias("chars")).where(F.length("thread") > 0)
+    df = emails(spark, folder, "account_id", thread=thread, at=recency(), chars=F.coalesce(F.length("body"), F.lit(0))).where(F.length("thread") > 0)
     w = Window.partitionBy("account_id", "thread").orderBy(F.desc("at"), "email_rowid")
     df = df.withColumn("place", F.row_number().over(w)).withColumn("used", F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return df.where((F.col("place") <= 8) & ((F.col("place") == 1) | (F.col("used") <= 4000))).select("email_rowid", "place", "used")

@@ -30,9 +30,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Tasks a Python-backed shuffle should have: the session's setting, at least two a core."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a table of one small file is else the work of one core.
+
+    A table of more files than cores, as any large one is, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.runtime import spread
 from skein.sources import table
 
 #: Boundary levels and what a cut there costs, beside the squared share by which a piece falls short of the even size.
@@ -131,7 +132,7 @@ def split_items(df: DataFrame, kind: str, key: str, text: str, limit: int = 1_20
             cols = [pa.array(ids, pa.int64())] + [pa.array(c, pa.int32()) for c in (no, count, start, own, length)] + [pa.array(out, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    done = rows.mapInArrow(cut, "item_rowid long, piece_no int, pieces int, start int, own_start int, length int" + ", text string" * with_text)
+    done = spread(rows).mapInArrow(cut, "item_rowid long, piece_no int, pieces int, start int, own_start int, length int" + ", text string" * with_text)
     return done.select(F.lit(kind).alias("item_kind"), *names)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.wordlists import mixed, plain, slices, word_numbers
 from skein.operators.components import connected_components
-from skein.runtime import materialize
+from skein.runtime import materialize, spread
 from skein.sources import table
 
 #: Entries of the table of word frequencies that every task gets: 4 MB whatever the collection's size.
@@ -47,7 +47,7 @@ def worded(df: DataFrame, key: str, text_columns: list[str], min_words: int) ->
             copies = np.array([xxhash.xxh64_intdigest(np.sort(w).tobytes()) for w in own], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b["rowid"].take(pa.array(take, pa.int64())), pa.array(copies, pa.int64()), pa.array([packed(w) for w in own], pa.binary())], ["rowid", "copies", "words"])
 
-    return rows.mapInArrow(read, "rowid long, copies long, words binary")
+    return spread(rows).mapInArrow(read, "rowid long, copies long, words binary")
 
 
 def word_weights(words: DataFrame, power: float = 2.5) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import slices
-from skein.runtime import materialize
+from skein.runtime import materialize, spread
 from skein.sources import table
 
 OWN, QUOTE, SIGNATURE, DISCLAIMER, BLANK = range(5)
@@ -288,7 +288,7 @@ def exploded(rows: DataFrame, closing_lines: int = 8, least_chars: int = 25) ->
 
     # the thread travels as a hash
     sent = rows.select("email_rowid", F.xxhash64("sender").alias("sender"), F.when(F.col("thread").isNotNull(), F.xxhash64("thread")).alias("thread"), "at", "text")
-    return sent.mapInArrow(read, "email_rowid long, sender long, thread long, at long, line_no int, line long, from_end int, kind int")
+    return spread(sent).mapInArrow(read, "email_rowid long, sender long, thread long, at long, line_no int, line long, from_end int, kind int")
 
 
 def evidence(lines: DataFrame, least_recurrent: int = 3, closing_lines: int = 8) -> DataFrame:

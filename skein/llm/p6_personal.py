@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import slices
+from skein.runtime import spread
 from skein.sources import table
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street": "[STREET]", "person": "[PERSON]"}
@@ -314,7 +315,7 @@ def personal_spans(emails: DataFrame, names: Names) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)]], cols)
 
     src = emails.select(F.col("email_rowid").cast("long").alias("email_rowid"), F.col("body").alias("text"), "from_addr").where(F.col("email_rowid").isNotNull())
-    return src.mapInArrow(read, "email_rowid long, field_name string, pii_kind string, pii_text string")
+    return spread(src).mapInArrow(read, "email_rowid long, field_name string, pii_kind string, pii_text string")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,7 +340,7 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
             )
 
     src = emails.select(F.col("email_rowid").cast("long").alias("email_rowid"), F.col("body").alias("text"), "from_addr").where(F.col("email_rowid").isNotNull())
-    return src.mapInArrow(read, "email_rowid long, body string, from_addr string").dropDuplicates(["email_rowid"])
+    return spread(src).mapInArrow(read, "email_rowid long, body string, from_addr string").dropDuplicates(["email_rowid"])
 
 
 QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted}

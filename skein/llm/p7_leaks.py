@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.p2_near_duplicates import aligned
 from skein.llm.wordlists import slices
-from skein.runtime import materialize
+from skein.runtime import materialize, spread
 from skein.sources import table
 
 MARK = re.compile(r"[̀-ͯ­​-‍﻿]")
@@ -65,7 +65,8 @@ def coded(documents: DataFrame, items: Items) -> DataFrame:
             start = np.concatenate([[0], end[:-1] + 1])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([ids[s:e].tobytes() for s, e in zip(start, end)], pa.binary())], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(read, "doc_id long, ids binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return spread(rows).mapInArrow(read, "doc_id long, ids binary")
 
 
 def chunks(batches, rows: int = 1_000, words: int = 2_000_000):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import mixed, slices
-from skein.runtime import materialize
+from skein.runtime import materialize, spread
 from skein.sources import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +42,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(t) for t in enc.encode_ordinary_batch(b["text"].to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
-    return rows.mapInArrow(count, "doc_id long, source string, tokens long")
+    return spread(rows).mapInArrow(count, "doc_id long, source string, tokens long")
 
 
 def packed_blocks(counts: DataFrame, block: int, seed: int, bucket_rows: int = 20_000) -> DataFrame:

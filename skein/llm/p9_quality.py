@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import slices
-from skein.runtime import materialize
+from skein.runtime import materialize, spread
 from skein.sources import table
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\x00")
@@ -93,7 +93,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, most_words: int =
 
     declared = F.coalesce(F.lower(F.regexp_extract("lang", "([A-Za-z]{2})", 1)), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(declared == "", "und").otherwise(declared).alias("declared"), "text").where(F.col("doc_id").isNotNull())
-    return docs.mapInArrow(read, "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return spread(docs).mapInArrow(read, "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 #: Of each statistic: the tail that tells other text from prose, the least distance from the median that counts, and a weight.

@@ -120,3 +120,49 @@ def running_mean(start: np.ndarray, count: int, vectors: np.ndarray) -> np.ndarr
         c = (c * n + v) / (n + 1)
         c /= max(np.linalg.norm(c), 1e-12)
     return c
+
+
+def sub_prototypes(vectors: DataFrame, group: str, key: str, vector: str = "embedding", join: float = 0.75, least: int = 3, cohesion: float = 0.55, most: int = 4, gap: float = 0.2) -> DataFrame:
+    """(group, part, size, cohesion): up to `most` leader clusters of each group that are cohesive; none unless two remain and any two are `gap` apart.
+
+    cohesion is the members' mean cosine to the part's centroid; the largest parts come first.
+    """
+
+    def split(pdf):
+        pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
+        none = pd.DataFrame({"g": [], "part": [], "size": [], "cohesion": []})
+        if len(pdf) < 2 * least:
+            return none
+        x = np.stack(pdf.v.to_numpy()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        own = leaders(x, 4242, join, least=least)
+        parts = []
+        for c in sorted(set(own[own >= 0].tolist()), key=lambda c: (-int((own == c).sum()), c)):
+            mean = x[own == c].mean(0)
+            mean /= max(np.linalg.norm(mean), 1e-12)
+            tight = float((x[own == c] @ mean).mean())
+            if tight >= cohesion:
+                parts.append((mean, int((own == c).sum()), tight))
+        parts = parts[:most]
+        apart = [1 - a[0] @ b[0] for i, a in enumerate(parts) for b in parts[:i]]
+        if not apart or min(apart) < gap:
+            return none
+        return pd.DataFrame({"g": str(pdf.g.iloc[0]), "part": range(1, len(parts) + 1), "size": [p[1] for p in parts], "cohesion": [round(p[2], 6) for p in parts]})
+
+    rows = vectors.selectExpr(f"cast({group} as string) as g", f"cast({key} as long) as k", f"{vector} as v")
+    return rows.groupBy("g").applyInPandas(split, "g string, part long, size long, cohesion double").withColumnRenamed("g", group)
+
+
+def running_means(vectors: DataFrame, group: str, key: str, vector: str = "embedding") -> DataFrame:
+    """(group, size, axis, v): the running mean of each group's vectors in the order of their keys; null vectors are left out."""
+
+    def fold(pdf):
+        pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
+        if not len(pdf):
+            return pd.DataFrame({"g": [], "size": [], "axis": [], "v": []})
+        x = np.stack(pdf.v.to_numpy()).astype(float)
+        c = running_mean(np.zeros(x.shape[1]), 0, x)
+        return pd.DataFrame({"g": str(pdf.g.iloc[0]), "size": len(x), "axis": range(x.shape[1]), "v": c})
+
+    rows = vectors.selectExpr(f"cast({group} as string) as g", f"cast({key} as long) as k", f"{vector} as v")
+    return rows.groupBy("g").applyInPandas(fold, "g string, size long, axis long, v double").withColumnRenamed("g", group)

@@ -277,7 +277,35 @@ def thread_trim(spark, folder):
     return df.where((F.col("place") <= 8) & ((F.col("place") == 1) | (F.col("used") <= 4000))).select("email_rowid", "place", "used")
 
 
-QUERIES = {f.__name__: f for f in (recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
+def time_scoped_search(spark, folder):
+    """Mails with a word, dated within a range, newest first; where none is in the range, the newest with the word."""
+    df = emails(spark, folder, "date_ms", hit=F.lower("body").contains("projector")).where("hit").select("email_rowid", "date_ms")
+    inside = F.col("date_ms").between(1_740_000_000_000, 1_750_000_000_000)
+    some = df.agg(F.coalesce(F.max(inside), F.lit(False)).alias("some"))
+    scoped = df.crossJoin(F.broadcast(some)).where(F.coalesce(inside, F.lit(False)) | ~F.col("some"))
+    return scoped.select("email_rowid", "date_ms").orderBy(F.desc_nulls_last("date_ms"), "email_rowid").limit(40)
+
+
+def subject_terms(spark, folder):
+    """How many search terms each subject makes, and the first."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("([a-z0-9]{2,})"), 1))
+    return emails(spark, folder, terms=F.least(F.size(terms), F.lit(16)), first_term=F.try_element_at(terms, F.lit(1)))
+
+
+def decoded_chunks(spark, folder):
+    """Chunks sent as base64 and decoded: their bytes, and whether they are within the limit."""
+    size = F.octet_length(F.unbase64(F.base64(F.encode("text", "UTF-8"))))
+    return table(spark, folder, "attachment_chunks").where("text is not null").select("chunk_rowid", size.alias("bytes"), (size <= 1_000).alias("within")).distinct()
+
+
+def cascaded_delete(spark, folder):
+    """Mails, attachments and chunks that remain when an account goes."""
+    gone = accounts(spark, folder).where(F.col("account_id").startswith(HOT)).select("account_id")
+    keep = lambda name, key: merge.without(table(spark, folder, name).select("account_id", key).distinct(), gone, ["account_id"]).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+    return keep("emails", "email_rowid").unionByName(keep("attachments", "attachment_id")).unionByName(keep("attachment_chunks", "chunk_rowid"))
+
+
+QUERIES = {f.__name__: f for f in (time_scoped_search, subject_terms, decoded_chunks, cascaded_delete, recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
 
 _E = "with " + EMAILS_SQL
 _DOMAIN = r"nullif(regexp_extract(lower({c}), '@([^@\s>]+)[^@]*$', 1), '')"
@@ -289,6 +317,10 @@ p0 as (select * from (select *, row_number() over (partition by email_rowid orde
 p as (select * exclude (body), case when email_rowid % 3 = 0 then left(body, 40) end as body from p0)"""
 
 ORACLE_SQL = {
+    "time_scoped_search": f"{_E}, h as (select email_rowid, date_ms, coalesce(date_ms between 1740000000000 and 1750000000000, false) as inside from e where contains(lower(body), 'projector')) select email_rowid, date_ms from h where inside or not (select bool_or(inside) from h) order by date_ms desc nulls last, email_rowid limit 40",
+    "subject_terms": f"{_E}, t as (select email_rowid, regexp_extract_all(lower(subject), '[a-z0-9]{{2,}}') as w from e) select email_rowid, least(len(list_distinct(w)), 16) as terms, w[1] as first_term from t",
+    "decoded_chunks": "select distinct chunk_rowid, strlen(text) as bytes, strlen(text) <= 1000 as within from attachment_chunks where text is not null",
+    "cascaded_delete": f"select 'emails' as table_name, count(distinct (account_id, email_rowid)) as rows from emails where account_id not like '{HOT}%' union all select 'attachments', count(distinct (account_id, attachment_id)) from attachments where account_id not like '{HOT}%' union all select 'attachment_chunks', count(distinct (account_id, chunk_rowid)) from attachment_chunks where account_id not like '{HOT}%'",
     "recency_page": f"{_E} select email_rowid, subject, {_AT} as sent_at from e where account_id like '{HOT}%' order by sent_at desc nulls last, email_rowid limit 50 offset 100",
     "range_scan": f"{_E} select email_rowid, date_ms from e where date_ms between 1740000000000 and 1750000000000",
     "folder_counts": f"{_E} select lower(trim(split_part(folder, '/', 1))) as folder_name, count(*) as mails from e group by 1",

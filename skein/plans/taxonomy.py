@@ -187,7 +187,39 @@ def sender_clusters(spark, folder):
     return clustering.sender_clusters(e.join(v, "email_rowid"), "sender", "email_rowid")
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_per_label, label_centroids, rank_categories, multi_label_match, fast_gate, strict_gate, shortlist_counts, nearest_category, category_health, residual_selection, category_counts, primary_category, folder_plan, memberships, label_cooccurrence, correction_examples, merged_categories, swapped_assignments, single_child_members, backlog_diagnosis, closest_categories, leader_clusters, sender_clusters)}
+def sub_prototypes(spark, folder):
+    """The parts of each label that are dense and apart enough to stand for it, with their centroids' sizes."""
+    return clustering.sub_prototypes(vectors(spark, folder), "category", "vec_id", join=0.2, cohesion=0.3, gap=0.1)
+
+
+def running_means(spark, folder):
+    """Each label's centroid after its vectors were averaged in one by one, in the order of their ids; one row an axis."""
+    return clustering.running_means(vectors(spark, folder), "category", "vec_id").withColumn("v", F.round("v", 6))
+
+
+def filled_distances(spark, folder):
+    """Distances of keyword finds to vector 0: from the stored vector, else the square root of two."""
+    v = vectors(spark, folder)
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    near = v.where("vec_id % 5 <> 2").crossJoin(F.broadcast(q)).select("vec_id", l2_distance(F.col("embedding"), F.col("q")).alias("d"))
+    return v.where("vec_id < 60").select("vec_id").join(near, "vec_id", "left").select("vec_id", F.round(F.coalesce("d", F.sqrt(F.lit(2.0))), 6).alias("distance"))
+
+
+def vector_lengths(spark, folder):
+    """Vectors by dimension, and how many are not of unit length."""
+    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return table(spark, folder, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.abs(n - 1) > 0.001).alias("off"))
+
+
+def tag_plan(spark, folder):
+    """Each vector's tags after the categories' tags were set anew: others' tags stay, stale ones go."""
+    want = assignments(spark, folder).groupBy("vec_id").agg(F.collect_set(F.concat(F.lit("cat_"), F.col("category").cast("string"))).alias("want"))
+    have = F.array(F.lit("important"), F.concat(F.lit("cat_"), (F.col("vec_id") % 10).cast("string")), F.concat(F.lit("user_"), (F.col("vec_id") % 3).cast("string")))
+    tags = F.array_sort(F.array_union(F.filter(have, lambda t: ~t.startswith("cat_")), F.col("want")))
+    return want.select("vec_id", F.concat_ws(",", tags).alias("tags"), F.array_contains("want", F.concat(F.lit("cat_"), (F.col("vec_id") % 10).cast("string"))).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (sub_prototypes, running_means, filled_distances, vector_lengths, tag_plan, knn_topk, knn_per_label, label_centroids, rank_categories, multi_label_match, fast_gate, strict_gate, shortlist_counts, nearest_category, category_health, residual_selection, category_counts, primary_category, folder_plan, memberships, label_cooccurrence, correction_examples, merged_categories, swapped_assignments, single_child_members, backlog_diagnosis, closest_categories, leader_clusters, sender_clusters)}
 
 _A = """a as (select vec_id, label as category, case when vec_id % 3 = 0 then 1.0 else 0.6 end as confidence, case when vec_id % 3 = 0 then 'user' else 'auto' end as assigned_by from embeddings
 union all select vec_id, (label + 1) % 10, (vec_id * 37 % 100) / 100, 'auto' from embeddings where vec_id % 4 = 1)"""
@@ -198,6 +230,9 @@ _P = _C + """, pair as (select p.category, q.category as nearest, list_cosine_si
 _GATE = _R + """, f as (select *, greatest(0, least(1, 1 - distance * distance / 2)) as confidence from r), g as (select a.vec_id, a.category, a.confidence, b.confidence as second from f a left join f b on b.vec_id = a.vec_id and b.place = 2 where a.place = 1)"""
 
 ORACLE_SQL = {
+    "filled_distances": "select vec_id, round(case when vec_id % 5 <> 2 then list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) else sqrt(2.0) end, 6) as distance from embeddings where vec_id < 60",
+    "vector_lengths": "select len(embedding) as dim, count(*) as vectors, count(*) filter (where abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 0.001) as off from embeddings group by 1",
+    "tag_plan": f"with {_A}, w as (select distinct vec_id, 'cat_' || category as tag from a), o as (select distinct vec_id, unnest(['important', 'user_' || (vec_id % 3)]) as tag from a), u as (select * from w union select * from o) select vec_id, string_agg(tag, ',' order by tag) as tags, bool_or(tag = 'cat_' || (vec_id % 10)) as kept from u group by 1",
     "knn_topk": "select vec_id, round(list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as distance from embeddings order by distance, vec_id limit 10",
     "knn_per_label": f"with {_R} select category, vec_id, distance, place from (select category, vec_id, round(distance, 6) as distance, row_number() over (partition by category order by round(distance, 6), vec_id) as place from d where round(distance, 6) < 1.35) where place <= 5",
     "label_centroids": f"with {_C} select category, size, axis, round(v, 6) as v from ca",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
@@ -311,7 +310,7 @@ def personal_spans(emails: DataFrame, names: Names) -> DataFrame:
             for i, text, header in zip(b["email_rowid"].to_pylist(), b["text"], b["from_addr"].to_pylist()):
                 text = text.as_py()
                 for field, t, found in (("body", text, spans(text, own) if text else []), ("from_addr", header, header_spans(header, own) if header else [])):
-                    rows += [(i, field, kind, html.unescape(" ".join(t[x:y].split()))) for x, y, kind in found]
+                    rows += [(i, field, kind, " ".join(t[x:y].split())) for x, y, kind in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)]], cols)
 
     src = emails.select(F.col("email_rowid").cast("long").alias("email_rowid"), F.col("body").alias("text"), "from_addr").where(F.col("email_rowid").isNotNull())

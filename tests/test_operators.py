@@ -110,3 +110,51 @@ def test_snapshots_replay_gives_the_same_state(spark, tmp_path):
     s.merge(frame((2, "d"), (3, "e")), 1)
     s.merge(frame((2, "d"), (3, "e")), 1)
     assert sorted((r.k, r.v) for r in s.read(spark).collect()) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+@pytest.mark.parametrize(
+    "question, days",
+    [
+        ("mails of the last 3 days", ("2026-06-14", "2026-06-17")), ("les 3 derniers jours", ("2026-06-14", "2026-06-17")), ("in may 2024", ("2024-05-01", "2024-05-31")), ("yesterday", ("2026-06-16", "2026-06-16")),
+        ("last week", ("2026-06-08", "2026-06-14")), ("ce mois", ("2026-06-01", "2026-06-30")), ("anything recent", ("2026-05-18", "2026-06-17")), ("since 2023", ("2023-01-01", "2023-12-31")), ("order 2023", None), ("", None),
+    ],
+)
+def test_time_scope(question, days):
+    from datetime import datetime
+
+    from skein.functions.timescope import time_scope, without_scope
+
+    got = time_scope(question, datetime(2026, 6, 17, 14, 30))
+    assert (got and (got[0].strftime("%Y-%m-%d"), got[1].strftime("%Y-%m-%d"))) == days
+    assert without_scope("invoices from last week") == "invoices from"
+
+
+def test_stateful_split_over_a_stream(spark, tmp_path):
+    from skein.streaming.incremental import replayed, split_streams
+
+    rows = [("a", 0, "hi <thi"), ("a", 1, "nk>deep</th"), ("a", 2, "ink>done"), ("b", 0, "plain")]
+    spark.createDataFrame(rows, "stream_id string, seq long, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream_id string, seq long, text string").parquet(str(tmp_path / "in"))
+    got = replayed(split_streams(stream), "append", "stream_id string, seq long, kind string, piece string").orderBy("stream_id", "seq").collect()
+    joined = {}
+    for r in got:
+        joined[r.stream_id, r.kind] = joined.get((r.stream_id, r.kind), "") + r.piece
+    assert joined == {("a", "answer"): "hi done", ("a", "think"): "deep", ("b", "answer"): "plain"}
+
+
+def test_prototype_operators_handle_ties_and_nothing(spark):
+    from skein.operators import prototypes
+
+    protos = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "category int, centroid array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "k long, embedding array<float>")
+    r = prototypes.ranked_categories(v.where("embedding is not null"), protos, "k").orderBy("place").collect()
+    assert [(x.category, x.place) for x in r] == [(1, 1), (2, 2), (3, 3)]
+    none = v.where("k > 9")
+    assert prototypes.ranked_categories(none, protos, "k").count() == 0 and prototypes.mean_vectors(none.withColumn("c", F.lit(1)), "c").count() == 0
+
+
+def test_clusters_of_empty_groups(spark):
+    v = spark.createDataFrame([], "g string, k long, embedding array<float>")
+    assert clustering.leader_clusters(v, "g", "k").count() == 0 and clustering.sender_clusters(v, "g", "k").count() == 0
+    one = spark.createDataFrame([("a", 1, None), ("a", 2, [1.0, 0.0]), ("a", 2, [1.0, 0.0])], "g string, k long, embedding array<float>")
+    assert clustering.leader_clusters(one, "g", "k").count() == 0 and [(r.k, r.cluster) for r in clustering.sender_clusters(one, "g", "k").collect()] == [(2, 2)]

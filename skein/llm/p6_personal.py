@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}]\s?|\s(?:dot|punkt|p
 AT = r"(?:@|\s?[\[({]\s?(?:at|@|a|arroba)\s?[\])}]\s?|\sat\s|\sarroba\s)"
 EMAIL_PLAIN = re.compile(r"(?<![\w.%+'-])[\w.%+'-]*[\w%+-]@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 EMAIL_SPELT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)
+EMAIL_WORD = re.compile(r"(?<![\w.%+-])(?:[A-Za-z0-9._%+-]+\s(?:AT|ARROBA)|[A-Za-z0-9-]*[._%+\d][A-Za-z0-9._%+-]*\s(?:at|arroba))\s[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9-]*)+")
 SPELT_HINT = re.compile(r"[\[({]\s?(?:dot|at|punkt|punto|point|arroba)\s?[\])}]|\s(?:dot|punkt|arroba)\s", re.I)
 
 PHONE = re.compile(r"(?<![\w.,/#+€$£-])(?:\+\d{1,3}[\s.-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[\s./-]?){2,6}\d|\(0?\d{1,4}\)[\s./-]?\d[\d\s./-]{4,12}\d|0\d{1,5}(?:[\s./-]?\d{1,8}){1,5}|[2-9]\d{2}[\s.-]\d{3}[\s.-]\d{3,4}|[6-9]\d{8})(?![\w/#€]|[.,-]\d)")
@@ -155,7 +157,14 @@ def header_name(header: str | None) -> tuple[str, str] | None:
 
 
 def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the finds in a text, in order, none overlapping."""
+    """(start, end, kind) of the finds in a text, in order, none overlapping; a line end of two characters counts as one in the patterns."""
+    if "\r\n" in text:
+        parts = text.split("\r\n")
+        ends, at = [], -1
+        for p in parts[:-1]:
+            at += len(p) + 1
+            ends.append(at)
+        return [(a + bisect_left(ends, a), b + bisect_left(ends, b), kind) for a, b, kind in spans("\n".join(parts), names)]
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -171,6 +180,9 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         for m in EMAIL_SPELT.finditer(text):
             if SPELT_HINT.search(m.group()):
                 add(m.start(), m.end(), "email")
+    if " AT" in text or " at" in text or "rroba" in text or "RROBA" in text:
+        for m in EMAIL_WORD.finditer(text):
+            add(m.start(), m.end(), "email")
     before = lambda m, n=40: re.sub(r"\s+", " ", text[max(0, m.start() - n) : m.start()])
     # identity numbers: a checksum or a word near by confirms the pattern
     clusters = [(max(0, m.start() - 8), m.end() + 6) for m in CLUSTER.finditer(text)]

@@ -256,7 +256,7 @@ def names():
     "text, want",
     [
         ("Write to a.b+c@x-mail.example today", [("email", "a.b+c@x-mail.example")]), ("Tel or kofi [dot] fal [at] dra-mail [dot] example, so", [("email", "kofi [dot] fal [at] dra-mail [dot] example")]),
-        ("You can reach me on (202) 555-0164 after 7:40", [("phone", "(202) 555-0164")]), ("joindre au 01 99 00 33 65 après", [("phone", "01 99 00 33 65")]), ("Our stock number 79 92 53 58 belongs", []), ("Ticket 900-71-96 covers", []),
+        ("Tel or tanard9 AT tavfert.test, so", [("email", "tanard9 AT tavfert.test")]), ("a\r\nb tanard9 AT\r\ntavfert.test, reach me on 020\r\n7946 0152 now\r\n", [("email", "tanard9 AT\r\ntavfert.test"), ("phone", "020\r\n7946 0152")]), ("we met at Simmond. We start at 9.30 today", []), ("You can reach me on (202) 555-0164 after 7:40", [("phone", "(202) 555-0164")]), ("joindre au 01 99 00 33 65 après", [("phone", "01 99 00 33 65")]), ("Our stock number 79 92 53 58 belongs", []), ("Ticket 900-71-96 covers", []),
         ("my social number is 992 29 6692, born", [("id_number", "992 29 6692")]), ("ID QQ 72 55 87 C goes", [("id_number", "QQ 72 55 87 C")]), ("passport XZ1075669.", [("id_number", "XZ1075669")]),
         ("lives at Flat 19, 95 Mossgate Lane, Abdale and", [("street", "Flat 19, 95 Mossgate Lane, Abdale")]), ("geht an Müllerstraße 175a, 00306 Jornol bis", [("street", "Müllerstraße 175a, 00306 Jornol")]), ("au 169 rue de la Meule, 99594 Kesdan avant", [("street", "169 rue de la Meule, 99594 Kesdan")]),
         ("Calle de los Álamos 131, 99838 Abgor antes", [("street", "Calle de los Álamos 131, 99838 Abgor")]), ("Did Zoë Vedholt call? Mark the list. Will they? On 4 April", [("person", "Zoë Vedholt")]), ("Ask Mark to go.", [("person", "Mark")]), ("", []),

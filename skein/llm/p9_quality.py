@@ -18,6 +18,8 @@ BULLET = re.compile(r"[ \t]*(?:[-–—•*·▪◦‣+]|\[[ xX✓]?\]|\(?\d{1,3
 CELLS = re.compile(r"\t|[^|]\|[^|]|\S {3,}\S|(?<!-)-{3,}")
 CLOSE_CELLS = re.compile(r"[^,\s],[^,\s]|[^;\s];[^;\s]")
 LAST_WORD = re.compile(r"[^\W\d_]+$")
+HEAD = re.compile(r"[A-Z][A-Za-zÀ-ÿ-]{1,14}\s?: \S")
+MARKS = re.compile(r"^[ \t|]*>[ \t>|]*")
 MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,400}>|&[a-z]{2,8};")
 SENTENCE_END = re.compile(r"[.!?…:;][\"'»”’)\]*_]*[ \t]*(?::-\)|;-\)|!!|\W{1,3})?$")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S{28,}")
@@ -52,11 +54,14 @@ def text_statistics(texts: list[str | None], languages: list[str], common: dict[
         letters = sum(map(str.isalpha, t))
         digits = sum(map(str.isdigit, t))
         listed = tabled = ended = fragments = 0
+        lines = [y for x in lines if (y := MARKS.sub("", x) if ">" in x else x)] or lines  # quoted prose is prose
         starts = [x.lstrip()[:1] for x in lines] + ["A"]
         for j, x in enumerate(lines):
             k = len(x)
             done = SENTENCE_END.search(x) is not None
             ended += done
+            if j < 2 and HEAD.match(x):  # a mail's heading is neither prose nor list
+                continue
             if BULLET.match(x) and not (k > 90 and done):
                 listed += k
             elif len(CELLS.findall(x)) >= max(2, k / 60) or not done and k < 120 and len(CLOSE_CELLS.findall(x)) >= max(2, k / 25):

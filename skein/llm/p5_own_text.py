@@ -7,7 +7,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import slices
@@ -294,14 +294,16 @@ def exploded(rows: DataFrame, closing_lines: int = 8, least_chars: int = 25) ->
 def evidence(lines: DataFrame, least_recurrent: int = 3, closing_lines: int = 8) -> DataFrame:
     """(email_rowid, line_no, kind): own lines that the windows know better.
 
-    Of each line in a thread the message with the earliest date is the first author (ties: the smaller row id); the
-    line of a later message of another sender is a quote. A line among the last `closing_lines` of mails of the same
+    Of each line in a thread the message with the earliest date is the first author (ties: the smaller row id; without
+    any date: the last); the line of a later message of another sender is a quote. A line among the last `closing_lines` of mails of the same
     sender in `least_recurrent` threads is a closing line.
     """
     own = lines.where(F.col("kind").isin(OWN, SIGNATURE))
-    first = Window.partitionBy("thread", "line")
-    told = own.where(F.col("thread").isNotNull() & (F.col("kind") == OWN)).withColumn("first_sender", F.min_by("sender", F.struct("at", "email_rowid")).over(first)).withColumn("first_mail", F.min_by("email_rowid", F.struct("at", "email_rowid")).over(first))
-    again = told.where((F.col("first_sender") != F.col("sender")) & (F.col("first_mail") != F.col("email_rowid"))).select("email_rowid", "line_no", F.lit(QUOTE).alias("kind"))
+    told = own.where(F.col("thread").isNotNull() & (F.col("kind") == OWN))
+    # the rank in a thread that matters is the first: it is aggregated before the shuffle, so that a line which a third of
+    # all mails hold is no task's burden; lines of one sender only never come back
+    first = told.groupBy("thread", "line").agg(F.min(F.struct(F.coalesce("at", F.lit(1 << 62)).alias("at"), "email_rowid", "sender")).alias("first"), F.min("sender").alias("low"), F.max("sender").alias("high")).where("low <> high")
+    again = told.join(first.select("thread", "line", "first"), ["thread", "line"]).where((F.col("first.sender") != F.col("sender")) & (F.col("first.email_rowid") != F.col("email_rowid"))).select("email_rowid", "line_no", F.lit(QUOTE).alias("kind"))
     closing = own.where((F.col("from_end") < closing_lines) & (F.col("from_end") >= 0))
     per = closing.groupBy("sender", "line").agg(F.size(F.collect_set(F.pmod(F.coalesce("thread", "email_rowid"), F.lit(64)))).alias("threads")).where(F.col("threads") >= least_recurrent)
     signs = closing.where(F.col("kind") == OWN).join(per, ["sender", "line"], "left_semi").select("email_rowid", "line_no", F.lit(SIGNATURE).alias("kind"))

@@ -131,7 +131,7 @@ def attachment_stats(spark, folder):
 
 def attachment_context(spark, folder):
     """Chunks with their attachment's name and their mail's subject."""
-    c = table(spark, folder, "attachment_chunks").select("chunk_rowid", "attachment_id", "chunk_index", F.length("text").alias("chars")).distinct()
+    c = table(spark, folder, "attachment_chunks").select("chunk_rowid", "attachment_id", "chunk_index", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).distinct()
     a = table(spark, folder, "attachments").select("attachment_id", "filename", "message_id", "account_id").distinct()
     e = emails(spark, folder, "message_id", "account_id", "subject").select("message_id", "account_id", "subject")
     return c.join(a, "attachment_id").join(e, ["message_id", "account_id"], "left").select("chunk_rowid", "chunk_index", "chars", "filename", "subject")
@@ -178,7 +178,7 @@ def merge_upsert_state(spark, folder):
     """The mails after the push: bodies filled, first index times kept, fetched stays fetched."""
     stored, pushed = stored_and_pushed(spark, folder)
     m = merge.keyed_merge(stored, pushed, ["email_rowid"], merge.EMAIL_RULES)
-    return m.select("email_rowid", "folder", F.length("body").alias("body_chars"), "body_format", "body_fetched", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return m.select("email_rowid", "folder", F.coalesce(F.length("body"), F.lit(0)).alias("body_chars"), "body_format", "body_fetched", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def invalidated_vectors(spark, folder):
@@ -191,13 +191,13 @@ def invalidated_vectors(spark, folder):
 def html_text(spark, folder):
     """HTML bodies without markup, white space made one blank."""
     text = F.trim(F.regexp_replace(T.strip_html(F.col("body")), r"[ \t\r\n]+", " "))
-    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where(F.col("body_format") == "html").drop("body_format")
+    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where((F.col("body_format") == "html") & F.col("chars").isNotNull()).drop("body_format")
 
 
 def quoteless_text(spark, folder):
     """Text bodies without quoted lines: their lengths."""
     text = F.regexp_replace(F.regexp_replace("body", "\r\n", "\n"), "(?m)^>[^\n]*\n?", "")
-    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where(F.col("body_format") == "text").drop("body_format")
+    return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where((F.col("body_format") == "text") & F.col("chars").isNotNull()).drop("body_format")
 
 
 def embedding_inputs(spark, folder):
@@ -289,7 +289,7 @@ def time_scoped_search(spark, folder):
 def subject_terms(spark, folder):
     """How many search terms each subject makes, and the first."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("([a-z0-9]{2,})"), 1))
-    return emails(spark, folder, terms=F.least(F.size(terms), F.lit(16)), first_term=F.try_element_at(terms, F.lit(1)))
+    return emails(spark, folder, terms=F.coalesce(F.least(F.size(terms), F.lit(16)), F.lit(0)), first_term=F.try_element_at(terms, F.lit(1)))
 
 
 def decoded_chunks(spark, folder):
@@ -318,7 +318,7 @@ p as (select * exclude (body), case when email_rowid % 3 = 0 then left(body, 40)
 
 ORACLE_SQL = {
     "time_scoped_search": f"{_E}, h as (select email_rowid, date_ms, coalesce(date_ms between 1740000000000 and 1750000000000, false) as inside from e where contains(lower(body), 'projector')) select email_rowid, date_ms from h where inside or not (select bool_or(inside) from h) order by date_ms desc nulls last, email_rowid limit 40",
-    "subject_terms": f"{_E}, t as (select email_rowid, regexp_extract_all(lower(subject), '[a-z0-9]{{2,}}') as w from e) select email_rowid, least(len(list_distinct(w)), 16) as terms, w[1] as first_term from t",
+    "subject_terms": f"{_E}, t as (select email_rowid, regexp_extract_all(lower(subject), '[a-z0-9]{{2,}}') as w from e) select email_rowid, coalesce(least(len(list_distinct(w)), 16), 0) as terms, w[1] as first_term from t",
     "decoded_chunks": "select distinct chunk_rowid, strlen(text) as bytes, strlen(text) <= 1000 as within from attachment_chunks where text is not null",
     "cascaded_delete": f"select 'emails' as table_name, count(distinct (account_id, email_rowid)) as rows from emails where account_id not like '{HOT}%' union all select 'attachments', count(distinct (account_id, attachment_id)) from attachments where account_id not like '{HOT}%' union all select 'attachment_chunks', count(distinct (account_id, chunk_rowid)) from attachment_chunks where account_id not like '{HOT}%'",
     "recency_page": f"{_E} select email_rowid, subject, {_AT} as sent_at from e where account_id like '{HOT}%' order by sent_at desc nulls last, email_rowid limit 50 offset 100",
@@ -339,17 +339,17 @@ select account_id, domain, guessed_kind, guessed_kind = kind as as_stored from k
     "latest_vectors": f"select email_rowid, model, strftime(created_at, '%Y-%m-%d %H:%M:%S') as at, complete from (select *, row_number() over (partition by email_rowid, model order by created_at desc, complete desc) as k from (select email_rowid, {_MODEL} as model, created_at, coalesce(len(embedding) = 64, false) as complete from email_embeddings)) where k = 1",
     "orphan_vectors": "select distinct chunk_rowid from chunk_embeddings where chunk_rowid not in (select chunk_rowid from attachment_chunks where chunk_rowid is not null)",
     "attachment_stats": "select status, count(*) as attachments, cast(sum(size_bytes) as bigint) as bytes, cast(sum(char_count) as bigint) as chars from (select distinct * from attachments) group by status",
-    "attachment_context": f"{_E}, c as (select distinct chunk_rowid, attachment_id, chunk_index, length(text) as chars from attachment_chunks), a as (select distinct attachment_id, filename, message_id, account_id from attachments) select chunk_rowid, chunk_index, chars, filename, subject from c join a using (attachment_id) left join e on e.message_id = a.message_id and e.account_id = a.account_id",
+    "attachment_context": f"{_E}, c as (select distinct chunk_rowid, attachment_id, chunk_index, coalesce(length(text), 0) as chars from attachment_chunks), a as (select distinct attachment_id, filename, message_id, account_id from attachments) select chunk_rowid, chunk_index, chars, filename, subject from c join a using (attachment_id) left join e on e.message_id = a.message_id and e.account_id = a.account_id",
     "fetchable_attachments": "select distinct attachment_id, size_bytes from attachments where (regexp_matches(lower(content_type), '^(text/|application/pdf|application/vnd.openxml)') or regexp_matches(lower(filename), '\\.(txt|md|csv|pdf|docx|html?)$')) and size_bytes <= 10485760",
     "failure_ledger": "select account_id, status, count(*) as failures, max(last_error) as last_error, count(*) >= 3 as permanent from (select distinct * from attachments) where status in ('error', 'unsupported') group by account_id, status",
     "chunk_budget": "with c as (select distinct attachment_id, chunk_index, chunk_rowid, coalesce(length(text), 0) as chars from attachment_chunks), w as (select *, coalesce(sum(chars) over (partition by attachment_id order by chunk_index, chunk_rowid rows between unbounded preceding and 1 preceding), 0) as before from c) select chunk_rowid, attachment_id, chars, cast(before as bigint) as before from w where before < 2000",
     "filename_versions": "with a as (select distinct * from attachments where filename is not null), s as (select *, trim(regexp_replace(lower(filename), '[0-9_ .-]+', ' ', 'g')) as signature from a), r as (select *, count(*) over (partition by account_id, signature) as versions, row_number() over (partition by account_id, signature order by indexed_at desc, attachment_id desc) as k from s) select account_id, signature, versions, attachment_id, filename from r where k = 1 and versions > 1",
-    "merge_upsert_state": f"""{_PUSH} select s.email_rowid, case when p.email_rowid is null then s.folder else p.folder end as folder, length(coalesce(p.body, s.body)) as body_chars,
+    "merge_upsert_state": f"""{_PUSH} select s.email_rowid, case when p.email_rowid is null then s.folder else p.folder end as folder, coalesce(length(coalesce(p.body, s.body)), 0) as body_chars,
 coalesce(p.body_format, s.body_format) as body_format, case when p.email_rowid is null then s.body_fetched else coalesce(s.body_fetched, false) or coalesce(p.body_fetched, false) end as body_fetched, strftime(s.indexed_at, '%Y-%m-%d %H:%M:%S') as at
 from s left join p on p.email_rowid = s.email_rowid""",
     "invalidated_vectors": f"{_PUSH}, g as (select p.email_rowid from p join s on s.email_rowid = p.email_rowid where p.body is not null and p.body is distinct from s.body) select distinct email_rowid, {_MODEL} as model from email_embeddings where email_rowid in (select email_rowid from g)",
-    "html_text": f"{_E}, t as (select email_rowid, trim(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as x from e where body_format = 'html') select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
-    "quoteless_text": f"{_E}, t as (select email_rowid, regexp_replace(replace(body, chr(13) || chr(10), chr(10)), '(?m)^>[^\\n]*\\n?', '', 'g') as x from e where body_format = 'text') select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
+    "html_text": f"{_E}, t as (select email_rowid, trim(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as x from e where body_format = 'html' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
+    "quoteless_text": f"{_E}, t as (select email_rowid, regexp_replace(replace(body, chr(13) || chr(10), chr(10)), '(?m)^>[^\\n]*\\n?', '', 'g') as x from e where body_format = 'text' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
     "embedding_inputs": f"""{_E}, t as (select email_rowid, nullif(concat_ws(chr(10), case when length(trim(subject)) > 0 then 'Subject: ' || trim(subject) end, case when length(trim(from_addr)) > 0 then 'From: ' || trim(from_addr) end), '') as head,
 nullif(left(trim(regexp_replace(body, '[ \\t\\r\\n]+', ' ', 'g')), 8000), '') as x from e) select email_rowid, md5(concat_ws(chr(10) || chr(10), head, x)) as input_md5 from t""",
     "content_hash": f"{_E} select email_rowid, sha256(concat_ws('|', coalesce(subject, ''), coalesce(from_addr, ''), coalesce(body, ''))) as hash from e",

@@ -48,6 +48,29 @@ class Items:
                 self.passages.append(w[a : a + n])
                 self.of.append(i)
         self.lengths = sorted({min(run, len(w)) for w in self.ids.values()})
+        # multilinear hashes of the runs of each length: 20 bits as a table, all bits sorted
+        self.factors = np.random.default_rng(7).integers(0, 1 << 64, run, np.uint64) | np.uint64(1)
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in self.lengths:
+            every = np.frombuffer(b"".join(k for k in self.runs if len(k) == 2 * n), np.int16).reshape(-1, n)
+            h = np.unique((every.astype(np.uint64) * self.factors[:n]).sum(1, dtype=np.uint64))
+            table = np.zeros(1 << 20, bool)
+            table[h >> np.uint64(44)] = True
+            self.hashes[n] = table, h
+
+    def found(self, ids: np.ndarray, lengths: np.ndarray) -> set[tuple[int, int]]:
+        """(place of the document, item) of every run in some documents' words, whatever stands around it."""
+        x, doc, out = ids.astype(np.uint64), np.repeat(np.arange(len(lengths)), lengths), set()
+        h = np.zeros(len(x) + 1, np.uint64)
+        for n in range(1, self.lengths[-1] + 1):
+            h = h[:-1] + x[n - 1 :] * self.factors[n - 1]
+            if n in self.hashes:
+                table, known = self.hashes[n]
+                at = np.flatnonzero(table[h >> np.uint64(44)])
+                at = at[np.isin(h[at], known) & (doc[at] == doc[at + n - 1])]
+                for a in at.tolist():
+                    out.update((int(doc[a]), i) for i in self.runs.get(ids[a : a + n].tobytes(), ()))
+        return out
 
 
 def coded(documents: DataFrame, items: Items) -> DataFrame:
@@ -152,9 +175,10 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
     documents (doc_id, text) may be any number; items (item_id, text) are read to the driver in blocks of `block_items`
     (and so many vocabulary words as 15 bits hold). TF-IDF over the items' vocabulary with frequencies of all documents
     is reduced by a distributed randomised SVD; windows of 2 x `run` words, one every `run` words so that each run of
-    that many lies in one, are compared with the items' passages by cosine. kind is `verbatim` where the window holds
-    `run` consecutive words of the item, or all of a shorter one, else `paraphrase` where the longest common
-    subsequence holds `least_aligned` of a passage's words and at least half of its numbers and rarest words. Null or
+    that many lies in one, are compared with the items' passages by cosine. kind is `verbatim` where the document holds
+    `run` consecutive words of the item, or all of a shorter one, which is looked up at every word whatever the cosine;
+    else `paraphrase` where in a window of at least `least_cosine` the longest common subsequence holds `least_aligned`
+    of a passage's words and at least half of its numbers and rarest words. Null or
     empty texts and items leak nothing; equal item ids are one item; repeated documents give equal rows once.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull()).distinct().orderBy("item_id", "text")
@@ -180,7 +204,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
             weight = np.append(idf, 0).astype(np.float32)
             latent = np.vstack([latent, np.zeros((1, latent.shape[1]), np.float32)])  # -1: no vocabulary word
             for names, ids, lengths in chunks(batches):
-                out = {}
+                out = {(names[d], item): ("verbatim", run, 1.0) for d, item in known.found(ids, lengths)}
                 b, first, count = blocks_of(ids, lengths, run)
                 if not len(b):
                     continue
@@ -209,13 +233,6 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
                         at = int(begin[d] + (w - first[d]) * run)
                         window = ids[at : min(at + 2 * run, begin[d] + lengths[d])]
                         near = np.flatnonzero(hit[r])
-                        candidates = set(of[near].tolist())
-                        exact = set()
-                        for n in known.lengths:
-                            for a in range(len(window) - n + 1):
-                                exact.update(known.runs.get(window[a : a + n].tobytes(), ()))
-                        for item in exact & candidates:
-                            out[names[d], item] = ("verbatim", run, 1.0)
                         have, text = set(window.tolist()), window.tolist()
                         for p in near:
                             item, passage = int(of[p]), known.passages[p]

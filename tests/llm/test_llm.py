@@ -309,6 +309,16 @@ def test_leaks_against_brute_force(spark):
     assert p7_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_items_are_found_beside_longer_ones(spark):
+    # a dumped test set: each short item stands before the first words of every longer one, whose words outweigh it
+    r = random.Random(4)
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(8 if i < 6 else 40))) for i in range(46)]
+    pairs = [(i, j) for i in range(6) for j in range(6, 46)]
+    docs = [(d, f"{items[i][1]} {' '.join(items[j][1].split()[:18])}") for d, (i, j) in enumerate(pairs)]
+    got = p7_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.where("kind = 'verbatim'").collect()} == {(d, i) for d, pair in enumerate(pairs) for i in pair}
+
+
 # 8: mix
 
 

@@ -49,12 +49,12 @@ STREETS = [
     re.compile(rf"(?<![\w#-])\d+(?:\s?(?:bis|ter|[a-zA-Z])\b)?,?\s(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Ii]mpasse|[Qq]uai|[Rr]oute|[Cc]ours|[Ss]quare|[Ss]entier|[Pp]assage)\s(?:(?:de la|de|du|des|la|le|les|au|aux)\s|(?:de\s)?[ld]['’])*[\w'’-]+(?:\s{UP}[\w'’-]+)*(?:,?\s\d{{5}}(?:\s{TOWN})?)?"),
     re.compile(rf"(?<![\w#-])(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda|[Tt]ravesía|[Cc]arretera)\s(?:(?:de las|de los|de la|del|de|la|el|los|las)\s)*[\w'’-]+(?:\s{UP}[\w'’-]+)*,?\s(?:n[.º°]*\s?)?\d+(?:\s?[a-z]\b)?(?:,?\s(?:piso|puerta|bajo|\d+[ºª])\s?\w*)?(?:,?\s\d{{5}}(?:\s{TOWN})?)?"),
 ]
-#: Substrings without which the pattern of the same place need not be tried.
+#: Substrings, one of which each match of the pattern of the same place holds once white space is written as single blanks.
 STREET_HINTS = [
     (" Lane", " Close", " Street", " St", " Road", " Rd", " Way", " Ave", " Drive", " Dr", " Court", " Row", " Terrace", " Crescent", " Gardens", " Hill", " Place", " Square", " Walk", " Mews", " Grove"),
-    ("straße ", "strasse ", "str. ", "weg ", "platz ", "gasse ", "allee ", "damm ", "ufer ", "steig ", "pfad ", "straße\n", "weg\n", "platz\n", "gasse\n", "allee\n", "Am ", "An de", "Auf dem", "Im ", "In der", "Zum ", "Zur ", "Unter den"),
-    ("ue ", "venue ", "oulevard ", "lace ", "hemin ", "llée ", "mpasse ", "uai ", "oute ", "ours ", "quare ", "entier ", "assage ", "rue\n", "chemin\n"),
-    ("alle ", "C/", "venida ", "vda", "laza ", "aseo ", "amino ", "onda ", "ravesía ", "arretera ", "alle\n"),
+    ("straße ", "strasse ", "str. ", "weg ", "platz ", "gasse ", "allee ", "damm ", "ufer ", "steig ", "pfad ", "Am ", "An de", "Auf dem", "Im ", "In der", "Zum ", "Zur ", "Unter den"),
+    ("ue ", "venue ", "oulevard ", "lace ", "hemin ", "llée ", "mpasse ", "uai ", "oute ", "ours ", "quare ", "entier ", "assage "),
+    ("alle ", "C/", "venida ", "vda", "laza ", "aseo ", "amino ", "onda ", "ravesía ", "arretera "),
 ]
 #: Six or more digits with little between them: only there are numbers of persons sought.
 CLUSTER = re.compile(r"\d(?:[\s./()-]{0,2}\d){5,}")
@@ -180,7 +180,8 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         for m in EMAIL_SPELT.finditer(text):
             if SPELT_HINT.search(m.group()):
                 add(m.start(), m.end(), "email")
-    if " AT" in text or " at" in text or "rroba" in text or "RROBA" in text:
+    blank = " ".join(text.split())
+    if " AT" in blank or " at" in blank or "rroba" in text or "RROBA" in text:
         for m in EMAIL_WORD.finditer(text):
             add(m.start(), m.end(), "email")
     before = lambda m, n=40: re.sub(r"\s+", " ", text[max(0, m.start() - n) : m.start()])
@@ -209,7 +210,7 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         if luhn(re.sub(r"\D", "", m.group())) and ID_WORDS.search(before(m)):
             add(m.start(), m.end(), "id_number")
     for hints, pattern in zip(STREET_HINTS, STREETS):
-        if any(h in text for h in hints):
+        if any(h in blank for h in hints):
             for m in pattern.finditer(text):
                 add(m.start(), m.end(), "street")
     for m in at(PHONE):

@@ -266,6 +266,18 @@ def test_finds(names, text, want):
     assert [(k, text[a:b]) for a, b, k in p6_personal.spans(text, names)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("lives at 151 Weir\nLane, so", ("street", "151 Weir\nLane")), ("lives at 83 Saltpan\tRoad, so", ("street", "83 Saltpan\tRoad")), ("au 140 allée\ndes Roses, 99594 Kesdan avant", ("street", "140 allée\ndes Roses, 99594 Kesdan")), ("au 12 quai\xa0de Nord, 99594 Kesdan avant", ("street", "12 quai\xa0de Nord, 99594 Kesdan")),
+        ("geht an Seedamm\n17, 00306 Jornol bis", ("street", "Seedamm\n17, 00306 Jornol")), ("wohnt Zum\nKrug 4, 00306 Jornol bis", ("street", "Zum\nKrug 4, 00306 Jornol")), ("en la Plaza\nMayor 13, 99838 Abgor antes", ("street", "Plaza\nMayor 13, 99838 Abgor")), ("so tanard9\nAT\ntavfert.test or", ("email", "tanard9\nAT\ntavfert.test")),
+    ],
+)
+def test_finds_across_line_ends(names, text, want):
+    assert [(k, text[a:b]) for a, b, k in p6_personal.spans(text, names)] == [want]
+    assert p6_personal.spans(text.replace("\n", "\r\n"), names)[0][2] == want[0]
+
+
 def test_checksums_and_headers(names):
     assert p6_personal.luhn("4539578763621486") and not p6_personal.luhn("4539578763621487")
     assert p6_personal.dni_valid("12345678Z") and not p6_personal.dni_valid("12345678A") and p6_personal.nir_valid("255081416802538") and p6_personal.tax_de_valid("86095742719")

@@ -42,7 +42,7 @@ def nearest_in_list(ids: np.ndarray, posted: np.ndarray, x: np.ndarray, asked: n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 2_048, probe_ratio: float = 1.12) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 2_048, probe_ratio: float = 1.12, settled: float = 0.5, block_rows: int = 16_384) -> DataFrame:
     """Of every vector its k nearest of the same kind, model and account: (*GROUP, rowid, neighbour_rowid, distance, place).
 
     Vectors are scaled to unit length, distances are Euclidean in double precision, ties go to the smaller row id, and
@@ -50,7 +50,10 @@ def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: i
     whole. A larger one is divided into lists of about that size: a vector asks the lists whose centre is at most
     `probe_ratio` times as far as the nearest one, up to four, and is posted in the first two of these (boundary
     vectors therefore twice); the centres are searched by a graph in memory. A vector travels once to each list that it asks, serving there as query
-    and, where posted, as posting. Empty input gives an empty result; copies are each other's neighbours at distance 0.
+    and, where posted, as posting. These lists miss hardly any neighbour up to `settled` apart, but more of the farther
+    ones the more lists there are; so, where `limit` is greater, a vector whose k-th find is farther is compared with its
+    whole group, in pairs of blocks of about `block_rows` vectors. That pass is exact, and quadratic in the group's size.
+    Empty input gives an empty result; copies are each other's neighbours at distance 0.
     """
     placed = with_cells(vectors, list_rows, max_probe=4, ratio=probe_ratio)
     sent = placed.select(
@@ -64,16 +67,33 @@ def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: i
 
     def search(key, t):
         ids = t["rowid"].to_numpy()
-        a, b, d = nearest_in_list(ids, t["posted"].to_numpy(zero_copy_only=False), matrix(t["vec"]), np.ones(len(ids), bool), k, limit)
+        asked = t["asked"].to_numpy(zero_copy_only=False)
+        a, b, d = nearest_in_list(ids, t["posted"].to_numpy(zero_copy_only=False), matrix(t["vec"]), asked, k, limit)
         out = {g: pa.array([key[i].as_py()] * len(a), pa.string()) for i, g in enumerate(GROUP)}
         return pa.table(out | {"rowid": pa.array(a, pa.int64()), "neighbour_rowid": pa.array(b, pa.int64()), "distance": pa.array(d, pa.float64())})
 
+    def ranked(found):
+        # one shuffle serves both the merging of equal finds and the ranking
+        best = found.repartition(*GROUP, "rowid").groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"))
+        w = Window.partitionBy(*GROUP, "rowid").orderBy(F.round("distance", 9), "neighbour_rowid")
+        return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
     text = ", ".join(f"{g} string" for g in GROUP)
-    found = sent.groupBy(*GROUP, "list", "block").applyInArrow(search, f"{text}, rowid long, neighbour_rowid long, distance double")
-    # one shuffle serves both the merging of equal finds and the ranking
-    best = found.repartition(*GROUP, "rowid").groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"))
-    w = Window.partitionBy(*GROUP, "rowid").orderBy(F.round("distance", 9), "neighbour_rowid")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    ddl = f"{text}, rowid long, neighbour_rowid long, distance double"
+    near = ranked(sent.withColumn("asked", F.lit(True)).groupBy(*GROUP, "list", "block").applyInArrow(search, ddl))
+    if limit <= settled:
+        return near
+    near = materialize(near)
+    sizes = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > list_rows)
+    large = vectors.join(sizes, GROUP).select(*GROUP, "rowid", "vec", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
+    done = near.where((F.col("place") == k) & (F.col("distance") <= settled)).select(*GROUP, "rowid")
+    rest = materialize(large.join(done, [*GROUP, "rowid"], "left_anti"))
+    asking = rest.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("asking_blocks"))
+    part = lambda seed, n: F.pmod(F.xxhash64("rowid", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, asked, list_, block: df.join(asking, GROUP).select(*GROUP, list_.alias("list"), "blocks", "rowid", "vec").select(*GROUP, "list", block.alias("block"), "rowid", "vec", F.lit(not asked).alias("posted"), F.lit(asked).alias("asked"))
+    pairs = side(large, False, every("asking_blocks"), part(5, "blocks")).unionByName(side(rest, True, part(9, "asking_blocks"), every("blocks")))
+    return ranked(near.drop("place").unionByName(pairs.groupBy(*GROUP, "list", "block").applyInArrow(search, ddl)))
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:

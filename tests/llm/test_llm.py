@@ -135,6 +135,18 @@ def test_neighbours_against_brute_force(spark, list_rows):
     assert recall == 1 if list_rows == 5_000 else recall >= 0.9
 
 
+def test_far_neighbours_of_many_lists_are_found(spark):
+    # vectors without clusters in 40 lists; and some clusters, which need no second pass
+    x = np.concatenate([np.random.default_rng(6).normal(0, 1, (1_600, 64)), blobs(np.random.default_rng(7), 20, 20, 0)]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -9)
+    want = {(i, j) for i, row in enumerate(np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :10]) for j in row}
+    rows = p3_neighbours.neighbours(frame(spark, x), list_rows=50, block_rows=300).collect()
+    assert len({(r.rowid, r.neighbour_rowid) for r in rows} & want) >= 0.995 * len(want) and len(rows) == len(want)
+    assert all(abs(r.distance - np.linalg.norm(u[r.rowid] - u[r.neighbour_rowid])) < 1e-9 for r in rows[:500])
+
+
 def test_centres_beyond_the_broadcast_bound_go_another_way(spark):
     x = blobs(np.random.default_rng(4), 6, 60, 40)
     f = frame(spark, x)

@@ -268,6 +268,25 @@ def label_twins(spark, folder):
     return pair.withColumn("similarity", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).where("similarity >= 0.6").select("left_label", "right_label", "similarity")
 
 
+def account_label_twins(spark, folder):
+    """label_twins within each account, of all accounts; candidates share one of their rarest words.
+
+    Of n words, two labels that share three fifths have one of the n - ceil(0.6 n) + 1 rarest in common.
+    """
+    label = F.lower(F.trim("subject"))
+    words = F.array_distinct(F.regexp_extract_all("label", F.lit("([a-z0-9]+)"), 1))
+    s = emails(spark, folder, "account_id", label=label).select("account_id", "label").distinct().withColumn("w", words).where(F.size("w") >= 3)
+    word = s.select("account_id", "label", "w", F.explode("w").alias("word"))
+    rare = word.join(word.groupBy("account_id", "word").agg(F.count(F.lit(1)).alias("n")), ["account_id", "word"])
+    rare = rare.groupBy("account_id", "label").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by"))
+    rare = rare.select("account_id", "label", "w", F.explode(F.slice("by.word", F.lit(1), (F.size("w") - F.ceil(F.size("w") * F.lit(0.6) - 1e-6) + 1).cast("int"))).alias("word"))
+    a, b = (rare.select("account_id", "word", F.col("label").alias(f"{side}_label"), F.col("w").alias(f"{side}_w")) for side in ("left", "right"))
+    shared = F.size(F.array_intersect("left_w", "right_w"))
+    pair = a.join(b, ["account_id", "word"]).where(F.col("left_label") < F.col("right_label"))
+    pair = pair.select("account_id", "left_label", "right_label", F.round(shared / (F.size("left_w") + F.size("right_w") - shared), 6).alias("similarity"))
+    return pair.where("similarity >= 0.6").distinct()
+
+
 def thread_trim(spark, folder):
     """The newest mails of each thread, at most 8 and, but for the newest, within 4000 characters."""
     thread = F.lower(F.trim(F.regexp_replace("subject", "(?i)^((re|aw|fwd) *: *)+", "")))
@@ -305,7 +324,7 @@ def cascaded_delete(spark, folder):
     return keep("emails", "email_rowid").unionByName(keep("attachments", "attachment_id")).unionByName(keep("attachment_chunks", "chunk_rowid"))
 
 
-QUERIES = {f.__name__: f for f in (time_scoped_search, subject_terms, decoded_chunks, cascaded_delete, recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
+QUERIES = {f.__name__: f for f in (account_label_twins, time_scoped_search, subject_terms, decoded_chunks, cascaded_delete, recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
 
 _E = "with " + EMAILS_SQL
 _DOMAIN = r"nullif(regexp_extract(lower({c}), '@([^@\s>]+)[^@]*$', 1), '')"
@@ -369,6 +388,8 @@ select chunk_rowid, round(list_distance(embedding::double[], query_vector::doubl
     "canonical_keys": "with a as (select distinct * from accounts), b as (select account_id, created_at, regexp_replace(regexp_replace(lower(coalesce(display_name, 'category')), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') as base from a), r as (select *, row_number() over (partition by base order by created_at, account_id) as rn from b) select account_id, case when rn = 1 then base else base || '_' || rn end as canonical_key from r",
     "label_twins": f"""{_E}, l as (select distinct lower(trim(subject)) as label from e where account_id like 'acc-05%' and length(trim(subject)) > 0), w as (select label, list_distinct(regexp_extract_all(label, '[a-z0-9]+')) as w from l), s as (select * from w where len(w) >= 3),
 x as (select a.label as left_label, b.label as right_label, len(list_intersect(a.w, b.w)) as shared, len(a.w) as na, len(b.w) as nb from s a join s b on a.label < b.label) select left_label, right_label, round(shared / (na + nb - shared), 6) as similarity from x where round(shared / (na + nb - shared), 6) >= 0.6""",
+    "account_label_twins": f"""{_E}, l as (select distinct account_id, lower(trim(subject)) as label from e where length(trim(subject)) > 0), w as (select account_id, label, list_distinct(regexp_extract_all(label, '[a-z0-9]+')) as w from l), s as (select * from w where len(w) >= 3),
+x as (select a.account_id, a.label as left_label, b.label as right_label, len(list_intersect(a.w, b.w)) as shared, len(a.w) as na, len(b.w) as nb from s a join s b on a.account_id = b.account_id and a.label < b.label) select account_id, left_label, right_label, round(shared / (na + nb - shared), 6) as similarity from x where round(shared / (na + nb - shared), 6) >= 0.6""",
     "thread_trim": f"""{_E}, t as (select email_rowid, account_id, lower(trim(regexp_replace(subject, '(?i)^((re|aw|fwd) *: *)+', ''))) as thread, {_AT} as sent_at, coalesce(length(body), 0) as chars from e), r as (select *, row_number() over (partition by account_id, thread order by sent_at desc, email_rowid) as place, sum(chars) over (partition by account_id, thread order by sent_at desc, email_rowid rows unbounded preceding) as used from t where length(thread) > 0)
 select email_rowid, place, cast(used as bigint) as used from r where place <= 8 and (place = 1 or used <= 4000)""",
 }

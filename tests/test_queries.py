@@ -1,10 +1,12 @@
 """Every core query against its SQL, on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skein.plans import catalog
@@ -46,6 +48,16 @@ def test_query_without_sql_gives_rows(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
 
+def test_label_twins_of_all_accounts(spark, tmp_path):
+    r = random.Random(5)
+    mails = [(i, f"acc-{i % 3:03}", "inbox", " ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 8)))) for i in range(240)] + [(900, "acc-000", "inbox", None), (901, "acc-000", "inbox", "")]
+    spark.createDataFrame(mails, "email_rowid long, account_id string, folder string, subject string").withColumn("indexed_at", F.current_timestamp()).write.parquet(f"{tmp_path}/emails.parquet")
+    labels = {(account, s): set(s.split()) for _, account, _, s in mails if s and len(set(s.split())) >= 3}
+    want = {(c, x, y, round(len(v & w) / len(v | w), 6)) for (c, x), v in labels.items() for (d, y), w in labels.items() if c == d and x < y and len(v & w) >= 0.6 * len(v | w)}
+    got = catalog.QUERIES["account_label_twins"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and len({x[0] for x in want}) == 3
+
+
 def test_entry(spark, data):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -180,11 +180,15 @@ def leader_clusters(spark, folder):
 
 
 def sender_clusters(spark, folder):
-    """First-fit clusters of each sender's mails by their latest vectors."""
-    e = table(spark, folder, "emails").groupBy("email_rowid").agg(F.lower(F.regexp_extract(F.max("from_addr"), r"([^\s<>\"'(),;:]+@[^\s<>\"'(),;:]+)", 1)).alias("sender")).where(F.length("sender") > 0)
-    v = table(spark, folder, "email_embeddings").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0) & F.col("model_id").startswith("atlas"))
-    v = v.groupBy("email_rowid").agg(F.max_by("embedding", "created_at").alias("embedding"))
-    return clustering.sender_clusters(e.join(v, "email_rowid"), "sender", "email_rowid")
+    """First-fit clusters of each sender domain's mails by their latest vectors of each model; headers without '@' are their own key, none is ''."""
+    tail = F.lower(F.substring_index(F.coalesce(F.max("from_addr"), F.lit("")), "@", -1))
+    e = table(spark, folder, "emails").groupBy("email_rowid").agg(F.trim(F.regexp_replace(tail, r"(?s)[>\s].*$", "")).alias("domain"))
+    v = table(spark, folder, "email_embeddings").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    model = F.regexp_replace(F.trim("model_id"), "(?i):latest$", "").alias("model")
+    v = v.groupBy("email_rowid", model).agg(F.max_by("embedding", "created_at").alias("embedding")).where("model is not null")
+    found = clustering.sender_clusters(e.join(v, "email_rowid").withColumn("by", F.concat("model", F.lit("\n"), "domain")), "by", "email_rowid")
+    part = lambda n: F.substring_index("by", "\n", n)
+    return found.select(part(1).alias("model_id"), part(-1).alias("sender_domain"), "email_rowid", "cluster")
 
 
 def sub_prototypes(spark, folder):

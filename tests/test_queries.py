@@ -58,6 +58,25 @@ def test_label_twins_of_all_accounts(spark, tmp_path):
     assert {tuple(x) for x in got} == want and len(got) == len(want) and len({x[0] for x in want}) == 3
 
 
+def test_sender_clusters_by_domain_and_model(spark, tmp_path):
+    r = np.random.default_rng(3)
+    base = r.normal(0, 1, (3, 64))
+    senders = ["a@x.example", "B <b@X.example>", None, "no address", "c@y.example"]
+    mails = [(i, senders[i % 5]) for i in range(60)]
+    vecs = [(i, m, (base[r.integers(3)] + r.normal(0, 0.02, 64)).tolist()) for i in range(60) for m in ("atlas-embed-64:latest", "brio-embed-64")]
+    spark.createDataFrame(mails, "email_rowid long, from_addr string").write.parquet(f"{tmp_path}/emails.parquet")
+    spark.createDataFrame(vecs, "email_rowid long, model_id string, embedding array<float>").withColumn("created_at", F.current_timestamp()).write.parquet(f"{tmp_path}/email_embeddings.parquet")
+    domains, founders, want = ["x.example", "x.example", "", "no", "y.example"], {}, set()
+    for i, m, v in vecs:
+        key, v = (m.split(":")[0], domains[i % 5]), np.array(v) / np.linalg.norm(v)
+        own = next((j for j, f in founders.setdefault(key, []) if f @ v >= 0.95), i)
+        if own == i:
+            founders[key].append((i, v))
+        want.add((*key, i, own))
+    got = catalog.QUERIES["sender_clusters"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} == want and len(got) == 120 and any(i % 5 == 1 and c % 5 == 0 for *_, i, c in want)
+
+
 def test_entry(spark, data):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())

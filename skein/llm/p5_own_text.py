@@ -1,4 +1,9 @@
-"""Problem 5: what the sender newly wrote, without quoted history, signatures and legal small print."""
+"""Problem 5: what the sender newly wrote, without quoted history, signatures and legal small print.
+
+Bodies are exploded to normalised lines; what a line is follows from where its like stands in all other mails: above
+quoted text, at the close of the senders' own text, in the last paragraph. Patterns serve only to read markup, quote
+marks and header fields, and to mask what differs between lines of one make (names, numbers, addresses).
+"""
 
 from __future__ import annotations
 
@@ -7,59 +12,38 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.wordlists import slices
 from skein.runtime import materialize, spread
 from skein.sources import table
 
-OWN, QUOTE, SIGNATURE, DISCLAIMER, BLANK = range(5)
-KINDS = {QUOTE: "quote", SIGNATURE: "signature", DISCLAIMER: "disclaimer"}
-
 BLOCKS = re.compile(r"<(style|script|head)\b[^>]*>.*?</\1\s*>", re.I | re.S)
 HAS_MARKUP = re.compile(r"<(?:p|div|br|html|body|blockquote|table|span|hr|small)\b[^<>]*>", re.I)
 QUOTE_OPEN = re.compile(r"<blockquote\b[^>]*>", re.I)
+QUOTE_CLOSE = re.compile(r"</blockquote\s*>", re.I)
+LINE_TAG = re.compile(r"<br\s*/?>|</?(?:li|tr|h\d)\b[^>]*>", re.I)
+BLOCK_TAG = re.compile(r"</?(?:p|div|hr|table|small)\b[^>]*>", re.I)
 SIGN_OPEN = re.compile(r"<div\b[^>]*(?:class|id)=[\"'][^\"']*(?:\bsig\b|signature)[^\"']*[\"'][^>]*>", re.I)
 TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<![a-zA-Z][^<>]*>", re.S)
 PREFIX = re.compile(r"^[ \t]*(?:\|[ \t]*)*>")
-YEAR = r"\b(?:19|20)\d\d\b"
-VERB = r"(?:wrote|schrieb|a écrit|escribió|ha scritto|escreveu)"
-LEAD_IN = re.compile(rf"^(?=.{{0,240}}(?:{YEAR}|@)).{{0,240}}\b{VERB}\b.{{0,160}}:$", re.I)
-LEAD_IN_END = re.compile(rf"^.{{0,120}}\b{VERB}\b.{{0,60}}:$", re.I)
-SEPARATOR = re.compile(r"^\s*-{3,}\s?[^\W\d_].{2,60}?\s?-{3,}\s*$|^\s*(?:begin forwarded message|début du message transféré|anfang der weitergeleiteten nachricht)\s*:\s*$", re.I)
-HEADER = re.compile(r"^\s*\*?(?:from|sent|date|to|cc|subject|von|gesendet|datum|an|betreff|de|envoyé|à|objet|enviado|fecha|para|asunto)\*?\s?:\s?\S", re.I)
-HEADER_FIRST = re.compile(r"^\s*\*?(?:from|von|de)\*?\s?:\s?\S", re.I)
-HEADER_TIME = re.compile(r"^\s*\*?(?:sent|date|gesendet|datum|envoyé|enviado|fecha|to|an|à|para|subject|betreff|objet|asunto)\*?\s?:\s?\S", re.I)
-DELIMITER = re.compile(r"^\s*(?:--|—|–|__+|-- )\s*$")
-RULE = re.compile(r"^\s*[*=_~#-]{5,}\s*$")
-#: Closing formulas of the four languages.
-CLOSING = re.compile(
-    r"^\s*(?:(?:kind|best|warm|many|with (?:kind|best)) (?:regards|wishes)|regards|best|all the best|yours(?: sincerely| truly| faithfully)?|sincerely|cheers|thanks(?: a lot| again)?|many thanks|thank you|take care|"
-    r"mit freundlichen grüßen|mit freundlichem gruß|freundliche grüße|viele grüße|beste grüße|liebe grüße|herzliche grüße|schöne grüße|grüße|gruß|mfg|lg|vg|danke|bis bald|hochachtungsvoll|"
-    r"cordialement|bien cordialement|bien à (?:vous|toi)|sincères salutations|salutations(?: distinguées)?|meilleures salutations|amicalement|amitiés|merci(?: d'avance)?|bonne journée|à bientôt|bises|"
-    r"(?:un )?(?:cordial )?saludos?|saludos cordiales|un saludo|atentamente|un abrazo|gracias(?: y un (?:saludo|abrazo))?|cordialmente|muchas gracias|hasta pronto|abrazos)\s*[,!.–—-]?\s*$",
-    re.I,
-)
-#: What mail programs and their users add below a mail.
-DEVICE = re.compile(
-    r"^\s*(?:sent (?:from|via|with|on) .{2,50}|get .{2,40} for .{2,40}|(?:written|typed|sent) on the (?:move|go|road|way)\b.{0,50}|von (?:meinem|unterwegs) .{0,50}gesendet.{0,20}|gesendet (?:von|mit) .{2,50}|unterwegs getippt.{0,50}|"
-    r"envoyé (?:depuis|de) mon .{2,50}|(?:écrit|tapé|envoyé) en chemin.{0,60}|enviado (?:desde|con) mi .{2,50}|(?:escrito|enviado) (?:sobre la marcha|de camino).{0,50}|.{0,24}please excuse (?:slips|brevity|typos).{0,20})[.!]?\s*$",
-    re.I,
-)
-NAME = re.compile(r"^\s*[A-ZÀ-ÖØ-Þ][\w'’-]*\.?(?:\s+(?:[A-ZÀ-ÖØ-Þ][\w'’-]*\.?|de|van|von|der|la|le|del)){0,3}\s*$")
-CONTACT = re.compile(r"^\s*(?:(?:t|m|f|tel|tél|tfno|telefon|phone|mobile|mobil|móvil|fax|e-?mail|web|www)\b[.:]?\s*)?(?:[+(]?\d[\d\s()./-]{5,}|\S+@\S+\.\w+|https?://\S+|www\.\S+)\s*$", re.I)
-PLACE = re.compile(r"^(?=.*\d)[\w\s.,'’/()-]{8,70}$")
-ROLE = re.compile(r"^\s*[^\W\d][^.!?;:]{3,60},\s+[^\W\d][^.!?;:]{2,50}$")
-
-#: Words of legal small print - what it is about, what it claims, what it asks for.
-ABOUT = re.compile(r"\b(?:e-?mail|mail|message|files|contents|communication|transmission|nachricht|inhalt|courriel|contenu|pièces jointes|correo|mensaje|contenido)\b", re.I)
-CLAIM = re.compile(r"\b(?:confidential|confidentiality|privileged|private|protected|intended|solely|meant only|addressee|recipient|vertraulich|ausschließlich|empfänger|bestimmt|confidentiels?|destinées?|destinataire|confidencial|destinatario|dirigido)\b", re.I)
-ASK = re.compile(
-    r"\b(?:by mistake|in error|delete|erase|notify|destroy|forbidden|prohibited|passing on|copying|disclosure|liability|unauthori[sz]ed|should you not be|consider the trees|before you print|views given|irrtümlich\w*|löschen|verständigen|untersagt|weitergabe|haftet|vor dem drucken|par erreur|en cas d'erreur|détruire|interdite|diffusion|responsabilité|avant d'imprimer|por error|bórrelo|prohíbe|difundirlo|responde por|antes de imprimir)\b",
-    re.I,
+#: A header field of a mail and the year that its date holds.
+FIELD = re.compile(r"^\*?[^\W\d_]+(?: [^\W\d_]+)?\*?\s?:\s?\S")
+DATED = re.compile(r"\b(?:19|20)\d\d\b")
+#: What differs between lines of one make.
+MASKS = (
+    (re.compile(r"\S*@\S+|(?:https?://|www\.)\S+"), "@"),
+    (re.compile(r"\b[A-ZÀ-ÖØ-ÞŒŠŽ][\w'’.-]*(?:[ ,/]+[A-ZÀ-ÖØ-ÞŒŠŽ][\w'’.-]*)*"), "X"),
+    (re.compile(r"\+?\(?\d(?:[\d .()/:+-]*\d)?\)?"), "0"),
 )
-NOTICE = re.compile(r"^\W*(?:confidentiality notice|legal notice|disclaimer|legal disclaimer|rechtlicher hinweis|vertraulichkeitshinweis|haftungsausschluss|avis de confidentialité|mentions? légales?|avis juridique|aviso (?:legal|de confidencialidad))\b", re.I)
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+CLAUSE_END = re.compile(r"\s*[;:]\s+")
+WORDLESS = re.compile(r"[\W_]+")
+
+LINE, SIGNED, MARK, CLAUSE = range(4)
+LINES = ["line_no", "stretch", "unit", "kind", "line", "shape", "flag", "long", "plain", "words"]
+LINES_DDL = "line_no int, stretch int, unit int, kind int, line long, shape long, flag int, long int, plain int, words int"
 
 
 def body_lines(body: str) -> list[tuple[str, int, bool]]:
@@ -67,11 +51,8 @@ def body_lines(body: str) -> list[tuple[str, int, bool]]:
     text = body.replace("\r\n", "\n").replace("\r", "\n")
     if HAS_MARKUP.search(text):
         text = BLOCKS.sub("", text)
-        text = QUOTE_OPEN.sub("\n\x01\n", text)
-        text = re.sub(r"</blockquote\s*>", "\n\x02\n", text, flags=re.I)
-        text = SIGN_OPEN.sub("\n\n\x03\n", text)
-        text = re.sub(r"<br\s*/?>|</?(?:li|tr|h\d)\b[^>]*>", "\n", text, flags=re.I)
-        text = re.sub(r"</?(?:p|div|hr|table|small)\b[^>]*>", "\n\n", text, flags=re.I)
+        text = QUOTE_CLOSE.sub("\n\x02\n", QUOTE_OPEN.sub("\n\x01\n", text))
+        text = BLOCK_TAG.sub("\n\n", LINE_TAG.sub("\n", SIGN_OPEN.sub("\n\n\x03\n", text)))
         text = html.unescape(TAG.sub("", text))
     out, depth, signed = [], 0, False
     for x in text.split("\n"):
@@ -89,272 +70,239 @@ def body_lines(body: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def quoted(lines: list[tuple[str, int, bool]]) -> list[int]:
-    """OWN, QUOTE or BLANK of each line: block quotes, prefixed lines, and blocks under lead-in or header lines."""
-    n = len(lines)
-    kind = [BLANK if not x else QUOTE if d or PREFIX.match(x) else OWN for x, d, _ in lines]
-    after = lambda i: next((j for j in range(i + 1, n) if lines[j][0]), n)
-    i = 0
-    while i < n:
-        x = lines[i][0]
-        if kind[i] != OWN:
-            i += 1
-            continue
-        j = after(i)
-        if x.endswith(":") and len(x) < 300 and LEAD_IN.match(x) or j < n and kind[j] == QUOTE and LEAD_IN_END.match(x):
-            kind[i] = QUOTE
-            k = i - 1  # a lead-in broken over two lines
-            if k >= 0 and kind[k] == OWN and re.search(rf"(?:{YEAR}|@\S+>?|,)$|^(?:on|am|le|el)\b", lines[k][0], re.I) and not re.search(YEAR, x):
-                kind[k] = QUOTE
-            if j < n and kind[j] == OWN:  # the message stands without marks, up to a blank line
-                while j < n and kind[j] == OWN:
-                    kind[j] = QUOTE
-                    j += 1
-            i = j
-            continue
-        joined = f"{x} {lines[i + 1][0]}" if i + 1 < n and kind[i + 1] == OWN else ""
-        if joined and len(joined) < 240 and lines[i + 1][0].endswith(":") and re.search(VERB, lines[i + 1][0]) and LEAD_IN.match(joined) and re.search(rf"{YEAR}|@", x) and len(lines[i + 1][0]) < 60:
-            kind[i] = kind[i + 1] = QUOTE
-            i += 2
-            continue
-        start = i if SEPARATOR.match(x) else None
-        head = j if start is not None else i
-        heads = 0
-        k = head
-        while k < n and k - head < 8 and lines[k][0] and HEADER.match(lines[k][0]):
-            heads += 1
-            k += 1
-        first = head < n and HEADER_FIRST.match(lines[head][0] or "")
-        second = head + 1 < n and HEADER_TIME.match(lines[head + 1][0] or "")
-        if start is not None and (heads >= 1 or re.search(r"message|nachricht|mensaje|mail|forward|origin", x, re.I)) or first and second and heads >= 3:
-            for q in range(i, k):
-                if kind[q] == OWN:
-                    kind[q] = QUOTE
-            k = after(k - 1) if k > i else after(i)
-            while k < n and kind[k] in (OWN, QUOTE):
-                kind[k] = QUOTE
+def marked(lines: list[tuple[str, int, bool]]) -> list[bool]:
+    """Lines quoted by marks: block quotes, prefixes, and header fields (three or more in a row, one with a year) with the paragraph under them."""
+    quoted = [depth > 0 or bool(x) and PREFIX.match(x) is not None for x, depth, _ in lines]
+    filled = [i for i, line in enumerate(lines) if line[0]]
+    fields = [not quoted[i] and FIELD.match(lines[i][0]) is not None for i in filled]
+    a = 0
+    while a < len(filled):
+        b = a
+        while b < len(filled) and fields[b] and filled[b] - filled[a] == b - a:
+            b += 1
+        if b - a >= 3 and any(DATED.search(lines[filled[k]][0]) for k in range(a, b)):
+            k = filled[b] if b < len(filled) else len(lines)
+            while k < len(lines) and lines[k][0]:
+                quoted[k] = True
                 k += 1
-            i = k
-            continue
-        i += 1
-    return kind
-
-
-def mark_disclaimers(lines: list[tuple[str, int, bool]], kind: list[int]) -> None:
-    """Turn own paragraphs of legal small print, with their headings and rules, into DISCLAIMER."""
-    n, i = len(lines), 0
-    while i < n:
-        if kind[i] != OWN:
-            i += 1
-            continue
-        j = i
-        while j < n and kind[j] == OWN:
-            j += 1
-        span = list(range(i, j))
-        text = " ".join(lines[k][0] for k in span)
-        if (ASK.search(text) or NOTICE.match(text)) and (CLAIM.search(text) or ABOUT.search(text)):
-            # a paragraph may hold the sender's text as well: take the run of lines from the claim or heading on
-            for a in range(len(span)):
-                line = lines[span[a]][0]
-                rest = " ".join(lines[k][0] for k in span[a:])
-                if NOTICE.match(line) or ABOUT.search(line + " " + (lines[span[a + 1]][0] if a + 1 < len(span) else "")) and CLAIM.search(rest[: 2 * max(80, len(line))]) and (CLAIM.search(line) or ABOUT.search(line)):
-                    if ASK.search(rest) and CLAIM.search(rest) and ABOUT.search(rest) and (NOTICE.match(line) or ASK.search(rest[:420]) and CLAIM.search(rest[:260]) and ABOUT.search(rest[:200])):
-                        for k in span[a:]:
-                            kind[k] = DISCLAIMER
-                        for b in (a - 1, a - 2):
-                            if b >= 0 and (NOTICE.match(lines[span[b]][0]) or RULE.match(lines[span[b]][0])):
-                                kind[span[b]] = DISCLAIMER
-                        break
-        i = j
-    # headings and rules that stand alone around it
-    for i in range(n):
-        if kind[i] == OWN and (RULE.match(lines[i][0]) or NOTICE.match(lines[i][0])):
-            near = [k for k in (*range(i - 1, max(-1, i - 4), -1), *range(i + 1, min(n, i + 4))) if kind[k] != BLANK]
-            if any(kind[k] == DISCLAIMER for k in near):
-                kind[i] = DISCLAIMER
+            for k in range(a, b):
+                quoted[filled[k]] = True
+        a = max(b, a + 1)
+    return quoted
 
 
 def short(x: str) -> bool:
     return len(x) <= 70 and not (x.endswith((".", "?", "!", ";")) and len(x.split()) > 5)
 
 
-def mark_signature(lines: list[tuple[str, int, bool]], kind: list[int], recurrent: frozenset[int] = frozenset()) -> None:
-    """Turn the block that closes the sender's own text into SIGNATURE; recurrent: lines known as a sender's closing lines."""
-    for i, (x, _, signed) in enumerate(lines):
-        if signed and kind[i] == OWN:
-            kind[i] = SIGNATURE
-        elif kind[i] == OWN and DEVICE.match(x) and not (i + 1 < len(lines) and kind[i + 1] == OWN and len(lines[i + 1][0]) > 70):
-            kind[i] = SIGNATURE
-    own = [i for i in range(len(lines)) if kind[i] == OWN]
-    # the end of the sender's text, and the end of each stretch of it that a quote or small print cuts off
-    ends = [i for a, i in enumerate(own) if a + 1 == len(own) or any(kind[k] in (QUOTE, DISCLAIMER) for k in range(i + 1, own[a + 1]))]
-    for last in ends:
-        tail = [i for i in own if i <= last][-9:]
-        start = None
-        for a in range(len(tail) - 1, -1, -1):
-            x = lines[tail[a]][0]
-            rest = [lines[i][0] for i in tail[a + 1 :]]
-            if not all(short(r) for r in rest):
-                break
-            if CLOSING.match(x) or DELIMITER.match(x) and rest and any(NAME.match(r) or CONTACT.match(r) or CLOSING.match(r) or ROLE.match(r) for r in rest):
-                start = a
-        if start is None:
-            block = []
-            for a in range(len(tail) - 1, -1, -1):
-                x = lines[tail[a]][0]
-                if block and tail[a] + 1 != tail[a + 1] and not (recurrent and tail[a] in recurrent):
-                    break
-                if not (NAME.match(x) or CONTACT.match(x) or ROLE.match(x) or PLACE.match(x) and block or tail[a] in recurrent) or not short(x):
-                    break
-                block.append(a)
-            names = [a for a in block if NAME.match(lines[tail[a]][0])]
-            contacts = [a for a in block if CONTACT.match(lines[tail[a]][0]) or ROLE.match(lines[tail[a]][0])]
-            alone = len(block) < len(tail) or len(own) > len(tail)
-            # a name that ends a sentence broken over lines is no block
-            top = tail[min(names)] - 1 if names else 0
-            if names and len(block) == 1 and (lines[tail[names[0]]][0].endswith(".") or top >= 0 and kind[top] == OWN and not lines[top][0].endswith((".", "!", "?", ",", ")"))):
-                names, block = [], [a for a in block if tail[a] in recurrent]
-            if names and alone and (contacts or len(block) <= 2 or any(tail[a] in recurrent for a in block)):
-                start = min(names)
-                if start and len(x := lines[tail[start - 1]][0]) <= 30 and x.endswith((",", "!")) and len(x.split()) <= 4 and tail[start - 1] != own[0]:
-                    start -= 1
-            elif block and any(tail[a] in recurrent for a in block) and alone:
-                start = min(a for a in block if tail[a] in recurrent)
-        if start is not None:
-            for i in tail[start:]:
-                kind[i] = SIGNATURE
-            k = tail[start] - 1
-            while k >= 0 and kind[k] in (BLANK, OWN) and (kind[k] == BLANK or DELIMITER.match(lines[k][0])):
-                if kind[k] == OWN:
-                    kind[k] = SIGNATURE
-                k -= 1
-
-
-def classify(body: str | None, recurrent: frozenset[int] = frozenset(), authored: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], list[int]]:
-    """Lines of a body and the kind of each; recurrent and authored: numbers of lines that the windows know as closing lines and as written earlier by others."""
-    lines = body_lines(body or "")
-    kind = quoted(lines)
-    for i in authored:
-        if kind[i] == OWN:
-            kind[i] = QUOTE
-    mark_disclaimers(lines, kind)
-    mark_signature(lines, kind, recurrent)
-    return lines, kind
-
-
-def own_text(body: str | None, recurrent: frozenset[int] = frozenset(), authored: frozenset[int] = frozenset()) -> str | None:
-    """What remains of a body; None for None."""
-    if body is None:
-        return None
-    lines, kind = classify(body, recurrent, authored)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for (x, _, _), k in zip(lines, kind) if k in (OWN, BLANK))).strip()
+def goes_on(x: str) -> bool:
+    """Whether the line under x is the rest of a sentence broken over lines."""
+    return len(x) >= 45 and not x.endswith((".", "!", "?", ":", ";", ","))
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def line_rows(body: str) -> list[tuple]:
+    """The rows LINES of a body.
+
+    One a line without quote marks (kind LINE, or SIGNED inside signature markup): `stretch` counts the quotes above it, `line` is
+    its normalised text and `shape` that with names, numbers and addresses masked and with what stands above (a blank
+    line or not); flag: a quote follows next; long: too long for a closing line, or the rest of the line above; plain: it holds letters or digits. One
+    row MARK where the body has quotes. One a CLAUSE of 24 or more masked characters and four words that no mask hides: flag: in the last paragraph of its
+    stretch (or the last but a line above a quote), words: those of its sentence. `unit` ties clauses to lines: lines of one paragraph, ended after each line of
+    less than 45 characters.
+    """
+    lines = body_lines(body)
+    quoted = marked(lines)
+    masked = "\n".join(x.capitalize() if len(x) > 20 and x.isupper() else x for x, _, _ in lines)
+    for pattern, by in MASKS:
+        masked = pattern.sub(by, masked)
+    masked = masked.lower().split("\n")
+    out, n = [], len(lines)
+    if any(quoted):
+        out.append((0, 0, 0, MARK, 0, 0, 0, 0, 0, 0))
+    stretch = unit = 0
+    paragraphs: list[list[int]] = []
+    i = 0
+    while i <= n:
+        if i == n or quoted[i]:
+            if paragraphs:
+                end = len(paragraphs) - (i < n and len(paragraphs) > 1 and len(paragraphs[-1]) == 1)  # a line above a quote may lead in
+                for p, paragraph in enumerate(paragraphs):
+                    last = int(p + 1 >= end)
+                    text: list[str] = []
+                    for k in paragraph:
+                        x, _, signed = lines[k]
+                        after = next((j for j in range(k + 1, min(n, k + 40)) if lines[j][0]), None)
+                        shape = digest(masked[k] + ("\n" if k == 0 or not lines[k - 1][0] else ""))
+                        out.append((k, stretch, unit, SIGNED if signed else LINE, digest(" ".join(x.lower().split())), shape, int(after is not None and quoted[after]), int(not short(x) or goes_on(lines[k - 1][0] if k != paragraph[0] else "")), int(WORDLESS.fullmatch(x) is None), len(x)))
+                        text.append(masked[k])
+                        if len(x) < 45 or k == paragraph[-1]:
+                            for sentence in SENTENCE.split(" ".join(text)):
+                                if len(sentence) >= 24:
+                                    words = len(sentence.split())
+                                    for c in CLAUSE_END.split(sentence):
+                                        c = " ".join(c.strip(" .!?;").split())
+                                        if len(c) >= 24 and sum(w not in ("x", "0", "@") for w in c.split()) >= 4:
+                                            out.append((k, stretch, unit, CLAUSE, 0, digest("clause " + c), last, 0, 0, words))
+                            unit += 1
+                            text = []
+                stretch, paragraphs = stretch + 1, []
+        elif lines[i][0]:
+            if i and paragraphs and lines[i - 1][0] and not quoted[i - 1]:
+                paragraphs[-1].append(i)
+            else:
+                paragraphs.append([i])
+        i += 1
+    return out
 
 
 def mails(emails: DataFrame) -> DataFrame:
-    """(email_rowid, sender, thread, at, text): the address in from_addr; the subject without reply marks and tags; the date in ms, else the time of indexing."""
+    """(email_rowid, account, sender, thread, at, text): hashes of the account, of the address in from_addr and of the subject without reply marks and tags (without a subject the mail is its own thread); the date in ms, else the time of indexing."""
     at = F.when(F.col("date_ms") < 100_000_000_000, F.col("date_ms") * 1000).otherwise(F.col("date_ms"))
-    sender = F.lower(F.regexp_extract("from_addr", r"([^\s<>\"'(),;:]+@[^\s<>\"'(),;:]+)", 1))
-    thread = F.lower(F.trim(F.regexp_replace("subject", r"(?i)^(?:\s*(?:(?:re|fwd?|aw|wg|tr|rv|antw|\(copy\))\s*:|\(copy\)|\[[^\]]{0,40}\])\s*)+", "")))
+    address = F.lower(F.regexp_extract("from_addr", r"([^\s<>\"'(),;:]+@[^\s<>\"'(),;:]+)", 1))
+    subject = F.lower(F.trim(F.regexp_replace("subject", r"(?i)^(?:\s*(?:(?:re|fwd?|aw|wg|tr|rv|antw|\(copy\))\s*:|\(copy\)|\[[^\]]{0,40}\])\s*)+", "")))
     return emails.where(F.col("email_rowid").isNotNull() & F.col("body").isNotNull()).select(
-        F.col("email_rowid").cast("long").alias("email_rowid"), F.when(sender == "", F.lower("from_addr")).otherwise(sender).alias("sender"),
-        F.when(F.length(thread) >= 4, thread).alias("thread"), F.coalesce(at, F.unix_millis("indexed_at")).alias("at"), F.col("body").alias("text"),
+        F.col("email_rowid").cast("long").alias("email_rowid"), F.xxhash64("account_id").alias("account"), F.xxhash64(F.when(address == "", F.lower("from_addr")).otherwise(address)).alias("sender"),
+        F.when(F.length(subject) >= 4, F.xxhash64(subject)).otherwise(F.xxhash64("email_rowid")).alias("thread"), F.coalesce(at, F.unix_millis("indexed_at"), F.lit(1 << 62)).alias("at"), F.col("body").alias("text"),
     )
 
 
-def exploded(rows: DataFrame, closing_lines: int = 8, least_chars: int = 25) -> DataFrame:
-    """The lines that the windows need, normalised and hashed: (email_rowid, sender, thread, at, line_no, line, from_end, kind)."""
-    names = ["email_rowid", "sender", "thread", "at", "line_no", "line", "from_end", "kind"]
+def exploded(rows: DataFrame) -> DataFrame:
+    """The lines and clauses of each mail (see line_rows) with its account, sender, thread and date."""
+    heads = ["email_rowid", "account", "sender", "thread", "at"]
 
     def read(batches):
         for b in slices(batches):
-            cols = [[] for _ in names[4:]]
+            cols: list[list] = [[] for _ in LINES]
             row = []
             for r, body in enumerate(b["text"]):
-                lines, kind = classify(body.as_py())
-                own = [i for i, k in enumerate(kind) if k in (OWN, SIGNATURE)]
-                end = {i: e for e, i in enumerate(reversed(own))}
-                seen = set()
-                for i, k in enumerate(kind):
-                    if k in (QUOTE, DISCLAIMER):
-                        # one row tells of the kind; quoted lines are nobody's first authorship
-                        if k not in seen:
-                            seen.add(k)
-                            row.append(r), cols[0].append(i), cols[1].append(0), cols[2].append(-1), cols[3].append(k)
-                    elif i in end and (end[i] < closing_lines or len(lines[i][0]) >= least_chars):
-                        text = " ".join(lines[i][0].lower().split())
-                        row.append(r), cols[0].append(i), cols[1].append(xxhash.xxh64_intdigest(text) - (1 << 63)), cols[2].append(end[i]), cols[3].append(k)
+                found = line_rows(body.as_py())
+                row += [r] * len(found)
+                for c, values in zip(cols, zip(*found)):
+                    c.extend(values)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b[c].take(at) for c in names[:4]], pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names)
+            types = [pa.int64() if c in ("line", "shape") else pa.int32() for c in LINES]
+            yield pa.RecordBatch.from_arrays([*[b[c].take(at) for c in heads], *[pa.array(c, t) for c, t in zip(cols, types)]], [*heads, *LINES])
 
-    # the thread travels as a hash
-    sent = rows.select("email_rowid", F.xxhash64("sender").alias("sender"), F.when(F.col("thread").isNotNull(), F.xxhash64("thread")).alias("thread"), "at", "text")
-    return spread(sent).mapInArrow(read, "email_rowid long, sender long, thread long, at long, line_no int, line long, from_end int, kind int")
+    return spread(rows).mapInArrow(read, "email_rowid long, account long, sender long, thread long, at long, " + LINES_DDL)
 
 
-def evidence(lines: DataFrame, least_recurrent: int = 3, closing_lines: int = 8) -> DataFrame:
-    """(email_rowid, line_no, kind): own lines that the windows know better.
-
-    Of each line in a thread the message with the earliest date is the first author (ties: the smaller row id; without
-    any date: the last); the line of a later message of another sender is a quote. A line among the last `closing_lines` of mails of the same
-    sender in `least_recurrent` threads is a closing line.
-    """
-    own = lines.where(F.col("kind").isin(OWN, SIGNATURE))
-    told = own.where(F.col("thread").isNotNull() & (F.col("kind") == OWN))
-    # the rank in a thread that matters is the first: it is aggregated before the shuffle, so that a line which a third of
-    # all mails hold is no task's burden; lines of one sender only never come back
-    first = told.groupBy("thread", "line").agg(F.min(F.struct(F.coalesce("at", F.lit(1 << 62)).alias("at"), "email_rowid", "sender")).alias("first"), F.min("sender").alias("low"), F.max("sender").alias("high")).where("low <> high")
-    again = told.join(first.select("thread", "line", "first"), ["thread", "line"]).where((F.col("first.sender") != F.col("sender")) & (F.col("first.email_rowid") != F.col("email_rowid"))).select("email_rowid", "line_no", F.lit(QUOTE).alias("kind"))
-    closing = own.where((F.col("from_end") < closing_lines) & (F.col("from_end") >= 0))
-    per = closing.groupBy("sender", "line").agg(F.size(F.collect_set(F.pmod(F.coalesce("thread", "email_rowid"), F.lit(64)))).alias("threads")).where(F.col("threads") >= least_recurrent)
-    signs = closing.where(F.col("kind") == OWN).join(per, ["sender", "line"], "left_semi").select("email_rowid", "line_no", F.lit(SIGNATURE).alias("kind"))
-    return again.unionByName(signs).distinct()
+def lower_bound(hits: Column, n: Column) -> Column:
+    """Wilson's lower bound (95 %) of a share: `hits` of `n`."""
+    p, z = hits / n, 1.96
+    return (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def with_evidence(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Each mail with the numbers of its lines of evidence; a mail most of whose lines others wrote first is a copy and keeps them."""
-    at = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("line_no"))))
-    return rows.join(found.groupBy("email_rowid").agg(at(SIGNATURE).alias("recurrent"), at(QUOTE).alias("authored")), "email_rowid", "left")
+def habits(rows: DataFrame, flag: str, least_share: Column | float, least_threads: int) -> DataFrame:
+    """Shapes found in `least_threads` threads and with more than one sender, for which `flag` holds in a share whose lower bound is at least `least_share`.
 
+    A thread counts once, whatever the number of copies of its mails. Both aggregations combine before the shuffle, so
+    that a line which a third of all mails hold is no task's burden.
+    """
+    per = rows.groupBy("shape", "kind", "thread").agg(F.avg(flag).alias("share"), F.min("sender").alias("low"), F.max("sender").alias("high"))
+    of = per.groupBy("shape", "kind").agg(F.count(F.lit(1)).alias("threads"), F.sum("share").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = (F.col("threads") >= least_threads) & (F.col("low") != F.col("high"))
+    return of.where(held & (lower_bound(F.col("hits"), F.col("threads")) >= least_share)).select("shape", "kind")
 
-def authored_lines(lines: list[tuple[str, int, bool]], numbers: list[int] | None) -> frozenset[int]:
-    """Lines written earlier by others, where they are two or more and less than half of the mail."""
-    filled = sum(1 for x in lines if x[0])
-    return frozenset(numbers) if numbers and 2 <= len(numbers) < 0.5 * filled else frozenset()
 
+def judged(lines: DataFrame, least_threads: int = 8, lead_share: float = 0.4, print_share: float = 0.6, least_words: int = 12, closing_lines: int = 10) -> DataFrame:
+    """The lines without quote marks, each as lead-in, small print or candidate for a closing line: (email_rowid, account, sender, thread, at, line_no, part, line, shape, words, signed, lead, print, closing).
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The kinds of foreign matter in each email's body."""
-    rows = mails(table(spark, folder, "emails"))
+    A shape after which quotes stand in other mails is a lead-in wherever it stands. A clause that closes other mails'
+    text is small print, if its sentence has `least_words` words; it makes all lines of its unit small print, with the
+    lines right above and rules around. What is left, cut at quotes, lead-ins and small print, is the sender's: of each
+    part the last lines, up to `closing_lines` and as long as they are short, are candidates (`closing`), if any line of
+    the mail stands above. The windows are those of one mail.
+    """
+    least = F.when(F.col("kind") == CLAUSE, print_share).otherwise(lead_share)
+    known = materialize(habits(lines.where(F.col("kind") != MARK).withColumn("kind", F.when(F.col("kind") == CLAUSE, CLAUSE).otherwise(LINE)), "flag", least, least_threads))
+    rows = lines.where(F.col("kind") != MARK).join(known.select("shape", F.lit(True).alias("known")), "shape", "left")
+    rows = rows.where((F.col("kind") != CLAUSE) | F.col("known") & (F.col("words") >= least_words)).repartition("email_rowid")
+    legal = F.max(F.col("kind") == CLAUSE).over(Window.partitionBy("email_rowid", "unit"))
+    rows = rows.withColumn("legal", legal).where(F.col("kind") != CLAUSE)
+    mail = Window.partitionBy("email_rowid").orderBy("line_no")
+    above = F.coalesce(F.lead("legal").over(mail), F.lit(False)) & ((F.lead("line_no").over(mail) == F.col("line_no") + 1) | (F.col("plain") == 0))
+    below = F.coalesce(F.lag("legal").over(mail), F.lit(False)) & (F.col("plain") == 0)
+    rows = rows.withColumn("print", F.col("legal") | above & (F.col("long") == 0) | below).withColumn("lead", F.coalesce("known", F.lit(False)) & ~F.col("print"))
+    cut = (F.col("print") | F.col("lead")).cast("int")
+    rows = rows.withColumn("part", F.sum(cut).over(mail)).withColumn("own", cut == 0).withColumn("held", F.sum(1 - cut).over(mail))
+    tail = Window.partitionBy("email_rowid", "stretch", "part", "own").orderBy(F.desc("line_no"))
+    closing = F.col("own") & (F.max("long").over(tail) == 0) & (F.row_number().over(tail) <= closing_lines) & ((F.col("held") > 1) | (F.col("stretch") > 0))
+    return rows.withColumn("closing", closing).select("email_rowid", "account", "sender", "thread", "at", "line_no", (F.col("part") + F.lit(1000) * F.col("stretch")).alias("part"), "line", "shape", F.lit(LINE).alias("kind"), "words", (F.col("kind") == SIGNED).alias("signed"), "lead", "print", "closing")
+
+
+def signatures(lines: DataFrame, least_threads: int = 8, closing_share: float = 0.7, sender_threads: int = 3) -> DataFrame:
+    """(email_rowid, part, line_no) of the candidates that are closing lines: of a shape that closes the mails of many threads, or that the same sender closed mails of `sender_threads` threads with."""
+    own = lines.where(~F.col("lead") & ~F.col("print"))
+    common = habits(own.withColumn("flag", F.col("closing").cast("int")), "flag", closing_share, least_threads).select("shape")
+    ends = own.where("closing")
+    again = ends.groupBy("sender", "line", "thread").agg(F.count(F.lit(1)).alias("n")).groupBy("sender", "line").agg(F.count(F.lit(1)).alias("threads")).where(F.col("threads") >= sender_threads)
+    at = ["email_rowid", "part", "line_no"]
+    return ends.join(common, "shape", "left_semi").select(*at).unionByName(ends.join(again, ["sender", "line"], "left_semi").select(*at)).unionByName(lines.where("signed").select(*at)).distinct()
+
+
+def quoted_lines(lines: DataFrame, least_chars: int = 25) -> DataFrame:
+    """(email_rowid, line_no) of lines that another sender wrote earlier in the thread of the same account.
+
+    The first author of a line in a thread is the message with the earliest date (ties: the smaller row id). That is
+    aggregated before the shuffle in place of a rank over all messages that hold the line. One line alone, or as many as
+    half of the mail, make no quote: a copy of a whole mail keeps its text.
+    """
+    own = lines.where(~F.col("lead") & ~F.col("print"))
+    told = own.where(~F.col("closing") & (F.col("words") >= least_chars)).select("email_rowid", "account", "thread", "line", "line_no", "sender", "at")
+    by = ["account", "thread", "line"]
+    first = told.groupBy(*by).agg(F.min(F.struct("at", "email_rowid", "sender")).alias("first"), F.min("sender").alias("low"), F.max("sender").alias("high")).where("low <> high").select(*by, "first")
+    again = told.join(first, by).where((F.col("first.sender") != F.col("sender")) & (F.col("first.email_rowid") != F.col("email_rowid"))).select("email_rowid", "line_no").distinct()
+    counts = again.groupBy("email_rowid").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    held = own.join(counts.select("email_rowid"), "email_rowid", "left_semi").groupBy("email_rowid").agg(F.count_distinct("line_no").alias("own"))
+    return again.join(counts.join(held, "email_rowid").where(F.col("n") < 0.5 * F.col("own")).select("email_rowid"), "email_rowid", "left_semi")
+
+
+def evidence(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All exploded rows, the judged lines, the closing lines and the lines first written by others, of mails (see mails)."""
     lines = materialize(exploded(rows))
-    known = lines.where(F.col("kind").isin(QUOTE, SIGNATURE, DISCLAIMER)).select("email_rowid", "kind")
-    found = materialize(evidence(lines))
-    doubtful = with_evidence(rows, found).where(F.col("recurrent").isNotNull())
+    own = materialize(judged(lines))
+    return lines, own, signatures(own), quoted_lines(own)
 
-    def read(batches):
-        for b in slices(batches):
-            ids, kinds = [], []
-            for i, body, rec, aut in zip(b["email_rowid"].to_pylist(), b["text"].to_pylist(), b["recurrent"].to_pylist(), b["authored"].to_pylist()):
-                _, kind = classify(body, frozenset(rec or ()), authored_lines(body_lines(body), aut))
-                for k in {*kind} - {OWN, BLANK}:
-                    ids.append(i), kinds.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32())], ["email_rowid", "kind"])
 
-    more = doubtful.select("email_rowid", "text", "recurrent", "authored").mapInArrow(read, "email_rowid long, kind int")
-    name = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)]), F.col("kind"))
-    return known.unionByName(more).select("email_rowid", name.alias("removed_kind")).distinct()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of foreign matter in each email's body."""
+    lines, own, signed, again = evidence(mails(table(spark, folder, "emails")))
+    of = lambda df, kind: df.select("email_rowid", F.lit(kind).alias("removed_kind"))
+    quote = of(lines.where(F.col("kind") == MARK), "quote").unionByName(of(own.where("lead"), "quote")).unionByName(of(again, "quote"))
+    return quote.unionByName(of(signed, "signature")).unionByName(of(own.where("print"), "disclaimer")).distinct()
+
+
+def remaining(body: str, leads: set[int], gone: set[int]) -> str:
+    """A body's text without quotes, the lines `gone`, and lead-ins with the paragraph under them."""
+    lines = body_lines(body)
+    drop = [q or i in gone or i in leads for i, q in enumerate(marked(lines))]
+    for i in leads:
+        k = next((j for j in range(i + 1, len(lines)) if lines[j][0]), len(lines))
+        while k < len(lines) and lines[k][0] and not drop[k]:
+            drop[k] = True
+            k += 1
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for (x, _, _), d in zip(lines, drop) if not d)).strip()
 
 
 def p5_own_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Each email's newly written text; repeated rows once."""
+    """Each email's newly written text; repeated rows once. The part from the first closing line on is its signature."""
     rows = mails(table(spark, folder, "emails")).dropDuplicates(["email_rowid"])
-    found = materialize(evidence(exploded(rows)))
+    _, own, signed, again = evidence(rows)
+    start = signed.groupBy("email_rowid", "part").agg(F.min("line_no").alias("start"))
+    closing = own.where("closing").join(start, ["email_rowid", "part"]).where(F.col("line_no") >= F.col("start")).select("email_rowid", "line_no")
+    gone = closing.unionByName(own.where("print").select("email_rowid", "line_no")).unionByName(again).select("*", F.lit(False).alias("lead")).unionByName(own.where("lead").select("email_rowid", "line_no", F.lit(True).alias("lead")))
+    known = gone.groupBy("email_rowid").agg(F.collect_set(F.when(F.col("lead"), F.col("line_no"))).alias("leads"), F.collect_set(F.when(~F.col("lead"), F.col("line_no"))).alias("gone"))
 
     def read(batches):
         for b in slices(batches):
-            out = [own_text(t, frozenset(r or ()), authored_lines(body_lines(t), a)) for t, r, a in zip(b["text"].to_pylist(), b["recurrent"].to_pylist(), b["authored"].to_pylist())]
+            out = [remaining(t, set(a or ()), set(g or ())) for t, a, g in zip(b["text"].to_pylist(), b["leads"].to_pylist(), b["gone"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["email_rowid"], pa.array(out, pa.string())], ["email_rowid", "own_text"])
 
-    return with_evidence(rows, found).select("email_rowid", "text", "recurrent", "authored").mapInArrow(read, "email_rowid long, own_text string")
+    return rows.select("email_rowid", "text").join(known, "email_rowid", "left").select("email_rowid", "text", "leads", "gone").mapInArrow(read, "email_rowid long, own_text string")
 
 
 QUERIES = {"p5_found": p5_found, "p5_own_text": p5_own_text}

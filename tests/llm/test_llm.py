@@ -202,57 +202,85 @@ def test_no_vectors(spark):
 
 # 5: own text
 
-MAIL = """Dear Ann,
-
-It is confidential until Monday that we move. The note said that Works Ltd wrote: bring 3 copies.
-
-Kind regards,
-Bob Miller
-T +44 20 7946 0000
-
------Original Message-----
-From: Ann Smith <ann@x.example>
-Sent: 2 May 2024
-To: Bob Miller
-Subject: Moving
-
-Shall we move?
-Regards,
-Ann
-
-This e-mail is intended solely for the person it was sent to; if it reached you by mistake, tell us and delete every copy."""
-
-
-def test_parts_of_a_mail():
-    lines, kind = p5_own_text.classify(MAIL)
-    by = collections.defaultdict(list)
-    for (x, _, _), k in zip(lines, kind):
-        by[k].append(x)
-    assert by[p5_own_text.SIGNATURE] == ["Kind regards,", "Bob Miller", "T +44 20 7946 0000"]
-    assert by[p5_own_text.QUOTE][0].startswith("-----") and by[p5_own_text.QUOTE][-1] == "Ann" and len(by[p5_own_text.DISCLAIMER]) == 1
-    assert p5_own_text.own_text(MAIL).endswith("bring 3 copies.") and p5_own_text.own_text(MAIL).startswith("Dear Ann,")
+FILLER = "Some text about the {0} that the {1} of the house has to see before the {2} comes back from there."
+PRINT = "What stands in this letter is meant for nobody but {}; whoever else should hold it burns it at once and tells the office of {}."
+
+
+def mailbox(r, n=40):
+    """Mails of many senders and threads: own text, made-up closing lines, small print, quotes under made-up lead-ins."""
+    say = lambda: FILLER.format(*[r.choice(WORDS) for _ in range(3)])
+    rows = []
+    for i in range(n):
+        text, kinds = f"Hallo {r.choice('ABCD')}nn,\n\n{say()}\n\n{say()}", set()
+        if i % 2:
+            text += f"\n\nFare thee well,\n{r.choice(['Ann', 'Bo', 'Cy'])} {r.choice(['Ash', 'Birch', 'Cedar'])}son"
+            kinds.add("signature")
+        if i % 3 == 0:
+            text += "\n\n" + PRINT.format(*["Firm " + r.choice("ABCDE")] * 2)
+            kinds.add("disclaimer")
+        if i % 4 < 2:
+            mark = "" if i % 8 == 1 else "> "  # some messages stand below their lead-in without marks
+            text += f"\n\nAnn Ash said this on {r.randint(1, 28)} May, hear:\n{mark}{say()}"
+            kinds.add("quote")
+        rows.append((i, f"s{i % 13}@x.example", f"matter number {i}", i, text, kinds))
+    return rows
+
+
+def own_mails(spark, rows):
+    df = spark.createDataFrame([r[:5] for r in rows], "email_rowid long, from_addr string, subject string, date_ms long, body string")
+    return df.withColumn("account_id", F.lit("a")).withColumn("indexed_at", F.current_timestamp()).withColumn("line", F.lit("clash")).withColumn("folder", F.lit("in"))
+
+
+def parts_found(spark, tmp_path, rows):
+    own_mails(spark, rows).write.mode("overwrite").parquet(f"{tmp_path}/emails.parquet")
+    out = collections.defaultdict(set)
+    for x in p5_own_text.p5_found(spark, str(tmp_path)).collect():
+        out[x.email_rowid].add(x.removed_kind)
+    return out
+
+
+def test_lines_are_judged_by_their_like_in_other_mails(spark, tmp_path):
+    rows = mailbox(random.Random(4), 120)
+    got = parts_found(spark, tmp_path, [*rows, rows[0]])
+    assert all(got[i] == kinds for i, *_, kinds in rows)
+    text = {x.email_rowid: x.own_text for x in p5_own_text.p5_own_text(spark, str(tmp_path)).collect()}
+    assert len(text) == len(rows) and all(t.count("\n\n") == 2 and t.startswith("Hallo") and "said" not in t for t in text.values())
+    # the same mails without their like: nothing but marks tells
+    alone = parts_found(spark, tmp_path, rows[:4])
+    assert {k for v in alone.values() for k in v} <= {"quote"}
+
+
+def test_first_authors_and_closings_of_one_sender(spark, tmp_path):
+    first = "We meet in the long hall behind the old station at nine.\nSecond line of the first mail is here, and it is long."
+    reply = f"I agree with all of that, as I said.\n\n{first}\n\nand more of my own words stand below it\nand still more of them than before, I think\nand a last line of this long reply of mine"
+    rows = [(1, "a@x.example", "plan of it", 10, first), (2, "b@x.example", "Re: plan of it", 20, reply), (3, "c@x.example", "Fwd: plan of it", 30, first)]
+    rows += [(10 + i, "c@x.example", f"topic number {i}", 30 + i, f"Some text number {i} of mine, which goes on for quite a while.\n\nThe Tuesday Club") for i in range(3)]
+    rows += [(20 + i, f"d{i}@x.example", f"other number {i}", 30 + i, f"Some text number {i} of mine, which goes on for quite a while.\n\nClub {i}") for i in range(2)]
+    got = parts_found(spark, tmp_path, rows)
+    # the copy of a whole mail keeps its text
+    assert got == {2: {"quote"}, 10: {"signature"}, 11: {"signature"}, 12: {"signature"}}
+    text = {x.email_rowid: x.own_text for x in p5_own_text.p5_own_text(spark, str(tmp_path)).collect()}
+    assert "hall" not in text[2] and "last line" in text[2] and text[3] == first and "Club" not in text[10] and "Club" in text[20]
 
 
 @pytest.mark.parametrize(
-    "body, kinds",
+    "body, quoted",
     [
-        ("> old\nnew text here.", {"quote"}), ("<p>New.</p><blockquote>old</blockquote>", {"quote"}), ("On 3 May 2024, A B <a@b.example> wrote:\n>old\n\nNew.", {"quote"}),
-        ("A line that ends in a name,\nSimmond.", set()), ("Text.\n--\nBob Miller\nbob@x.example", {"signature"}), ("Text of mine.\n\nSent from my Phone", {"signature"}), ("", set()), (None, set()), ("\n \n", set()),
-        ("It is confidential until Monday that A leaves B.", set()), ('<div>Hello there.</div><div class="sig">—<br>Bob</div>', {"signature"}), ("x" * 200_000, set()),
+        ("> old\nnew text here.", [True, False]), ("<p>New.</p><blockquote>old</blockquote>", [False, True]), ("From: A <a@x.example>\nSent: 3 May 2024\nTo: B\n\nold text", [True] * 4),
+        ("From: A\nTo: B\nnew", [False] * 3), ("a\r\n| > b\r\nc", [False, True, False]), ("", []), ("\n \n", []), ("x" * 200_000, [False]),
     ],
 )
-def test_kinds_of_a_body(body, kinds):
-    assert {p5_own_text.KINDS[k] for k in set(p5_own_text.classify(body)[1]) - {p5_own_text.OWN, p5_own_text.BLANK}} == kinds
-
-
-def test_windows_find_earlier_lines_and_recurrent_closings(spark):
-    line = "We meet in the long hall behind the old station at nine."
-    rows = [(1, "a@x.example", "plan of it", 10, f"{line}\nSecond line of the first mail is here.\nmore text of mine follows here now"), (2, "b@x.example", "plan of it", 20, f"I agree with all of that.\n{line}\nSecond line of the first mail is here.\nand more of my own words\nand still more of them\nand a last line")]
-    rows += [(10 + i, "c@x.example", f"topic number {i}", 30 + i, f"Some text number {i} of mine.\nThe Tuesday Club") for i in range(4)]
-    df = spark.createDataFrame(rows, "email_rowid long, sender string, thread string, at long, text string")
-    got = {(r.email_rowid, r.line_no, r.kind) for r in p5_own_text.evidence(p5_own_text.exploded(df)).collect()}
-    assert {(2, 1, p5_own_text.QUOTE), (2, 2, p5_own_text.QUOTE)} <= got and all(e != 1 for e, *_ in got)
-    assert p5_own_text.own_text(rows[1][4], authored=frozenset({1, 2})).startswith("I agree with all of that.\nand more")
+def test_marks_of_quotes(body, quoted):
+    lines = p5_own_text.body_lines(body)
+    assert [q for (x, _, _), q in zip(lines, p5_own_text.marked(lines)) if x] == quoted
+
+
+def test_signature_markup_and_odd_mails(spark, tmp_path):
+    rows = [(1, None, None, None, '<div>Hello there, this is text.</div><div class="sig">-<br>Bob</div>'), (2, None, "", 5, None), (3, "x", "s", 6, ""), (None, "x", "s", 6, "> a"), (4, "a@x.example", "subject", -1, "> only a quote")]
+    assert parts_found(spark, tmp_path, rows) == {1: {"signature"}, 4: {"quote"}}
+    text = {x.email_rowid: x.own_text for x in p5_own_text.p5_own_text(spark, str(tmp_path)).collect()}
+    assert text[3] == "" and text[4] == "" and text[1].startswith("Hello there") and set(text) == {1, 3, 4}
+    assert parts_found(spark, tmp_path, []) == {}
 
 
 # 6: personal information

@@ -78,7 +78,8 @@ def text_statistics(texts: list[str | None], languages: list[str], common: dict[
 def statistics(documents: DataFrame, common_words: DataFrame, most_words: int = 200_000) -> DataFrame:
     """(doc_id, language, *STATISTICS) of each document; whole texts are read.
 
-    The language is that of most common words in the text, else the declared one's first two letters, else "und". Null
+    The language is that of most common words in the text, else the declared one's first two letters where the word table
+    knows it, else "und". Null
     and blank texts have statistics of 0. The word table is read to the driver and refused beyond `most_words` rows.
     """
     rows = common_words.select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).dropna().distinct().limit(most_words + 1).collect()
@@ -93,7 +94,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, most_words: int =
     def read(batches):
         for b in slices(batches, rows=500):
             values, found = text_statistics(b["text"].to_pylist(), languages, common)
-            lang = [f or d for f, d in zip(found, b["declared"].to_pylist())]
+            lang = [f or (d if d in common else "und") for f, d in zip(found, b["declared"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(lang, pa.string()), *[pa.array(values[:, k]) for k in range(len(STATISTICS))]], names)
 
     declared = F.coalesce(F.lower(F.regexp_extract("lang", "([A-Za-z]{2})", 1)), F.lit(""))
@@ -101,56 +102,139 @@ def statistics(documents: DataFrame, common_words: DataFrame, most_words: int =
     return spread(docs).mapInArrow(read, "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
-#: Of each statistic: the tail that tells other text from prose, the least distance from the median that counts, and a weight.
-TAILS = {
-    "mean_word_length": ("both", 2.5, 0.5), "symbol_ratio": ("high", 0.12, 0.5), "digit_ratio": ("high", 0.15, 0.4), "line_end_ratio": ("low", 0.6, 0.2), "common_ratio": ("low", 0.18, 0.6),
-    "list_ratio": ("high", 0.5, 1.0), "table_ratio": ("high", 0.5, 1.0), "repeat_ratio": ("high", 0.5, 1.0), "address_ratio": ("high", 0.5, 1.0), "broken_ratio": ("high", 0.15, 1.0), "fragment_ratio": ("high", 0.6, 1.0), "markup_ratio": ("high", 0.5, 1.0),
+#: What a tail weighs before any label is seen: standard deviations above (or, for common words, below) the language's median.
+PRIOR = {
+    "high": {"symbol_ratio": 0.6, "digit_ratio": 0.3, "list_ratio": 0.6, "table_ratio": 1.2, "repeat_ratio": 0.6, "address_ratio": 0.6, "broken_ratio": 0.6, "fragment_ratio": 0.6, "markup_ratio": 0.6},
+    "low": {"common_ratio": 1.2},
 }
+PRIOR_BIAS = -4.5
+#: The least scale of a statistic: shares that differ by less are the same to a reader.
+RESOLUTION = np.array([0.2, 0.2] + [0.05] * 11)
+POINTS = np.linspace(0, 1, 101)
 
 
-def with_tails(stats: DataFrame, robust_z: float = 3.0, least_rows: int = 50) -> DataFrame:
-    """stats with each statistic's robust z-score within its language (z_*), the tails it lies in, and their summed weight.
+def distributions(stats: DataFrame, least_rows: int = 50) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Percentiles (statistics x 101) of the statistics of each language, and of all texts.
 
-    Quartiles come from mergeable KLL sketches, built map-side per language and merged in the shuffle; a language of
-    fewer than `least_rows` texts takes the quartiles of all. z is the distance from the median by IQR / 1.349. A value
-    is in a tail if its z is beyond `robust_z` and it is at least the stated distance from the median.
+    They come from mergeable KLL sketches, built map-side and merged in the shuffle. Blank texts count nowhere; a
+    language of fewer than `least_rows` texts has none of its own. At most one row a language of the word table comes to
+    the driver.
     """
     blank = F.col("words") == 0
-    sketch = [F.kll_sketch_agg_double(F.when(~blank, F.col(s))).alias(s) for s in TAILS]
-    by = stats.groupBy("language").agg(F.count_if(~blank).alias("rows"), *sketch)
-    every = stats.groupBy().agg(*sketch)
-    quartiles = lambda c: F.kll_sketch_get_quantile_double(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    limits = by.select("language", "rows", *[F.when(F.col("rows") > 0, quartiles(s)).alias(f"q_{s}") for s in TAILS])
-    limits = limits.crossJoin(every.select(*[quartiles(s).alias(f"a_{s}") for s in TAILS]))
-    limits = limits.select("language", *[F.when(F.col("rows") >= least_rows, F.col(f"q_{s}")).otherwise(F.col(f"a_{s}")).alias(f"q_{s}") for s in TAILS])
-    out = stats.join(limits, "language")
-    tails, weights = [], F.lit(0.0)
-    for s, (side, least, weight) in TAILS.items():
-        q = F.col(f"q_{s}")
-        off = F.col(s) - q[1]
-        z = off / F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6))
-        out = out.withColumn(f"z_{s}", z)
-        high, low = (F.col(f"z_{s}") > robust_z) & (off >= least), (F.col(f"z_{s}") < -robust_z) & (off <= -least)
-        hit = F.coalesce({"high": high, "low": low, "both": high | low}[side], F.lit(False))
-        tails.append(F.when(hit, F.lit(s)))
-        weights = weights + F.when(hit, weight).otherwise(0.0)
-    # far out: mostly symbols, or hardly any common words
-    weights = weights + F.when(F.col("symbol_ratio") - F.col("q_symbol_ratio")[1] >= 0.35, 0.5).otherwise(0.0)
-    weights = weights + F.when((F.col("words") >= 12) & (F.col("common_ratio") < 0.2 * F.col("q_common_ratio")[1]), 0.4).otherwise(0.0)
-    return out.withColumn("tails", F.array_compact(F.array(*tails))).withColumn("tail_weight", F.when(blank, 1.0).otherwise(F.round(weights, 6))).drop(*[f"q_{s}" for s in TAILS])
+    value = lambda s: F.log1p(s) if s == "words" else F.col(s)
+    held = [F.count_if(~blank).alias("rows"), *[F.kll_sketch_agg_double(F.when(~blank, value(s))).alias(s) for s in STATISTICS]]
+    points = F.array(*[F.lit(float(p)) for p in POINTS])
+    read = [F.kll_sketch_get_quantile_double(s, points).alias(s) for s in STATISTICS]
+    table_of = lambda r: np.array([r[s] for s in STATISTICS])
+    by = stats.groupBy("language").agg(*held).where((F.col("rows") >= least_rows) & (F.col("language") != "und")).select("language", *read).collect()
+    every = stats.groupBy().agg(*held).where(F.col("rows") > 0).select(*read).collect()
+    return {r["language"]: table_of(r) for r in by}, table_of(every[0]) if every else np.zeros((len(STATISTICS), len(POINTS)))
+
+
+def tail_features(values: np.ndarray, languages: list[str], known: dict[str, np.ndarray], every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust z-scores and percentiles of texts x STATISTICS within their languages, and the tails made of them.
+
+    z is the distance from the median by IQR / 1.349 or the resolution. The tails are z above 0 and below 0, up to 10,
+    and the percentile above 0.75 and below 0.25, from 0 to 1; the last column is 1.
+    """
+    x = values.copy()
+    x[:, 0] = np.log1p(x[:, 0])
+    z, rank = np.zeros_like(x), np.zeros_like(x)
+    of = np.array([g if g in known else "" for g in languages], object)
+    for g in set(of.tolist()):
+        q, own = known.get(g, every), of == g
+        scale = np.maximum((q[:, 75] - q[:, 25]) / 1.349, RESOLUTION)
+        z[own] = (x[own] - q[:, 50]) / scale
+        for k in range(x.shape[1]):
+            rank[own, k] = (np.searchsorted(q[k], x[own, k], "left") + np.searchsorted(q[k], x[own, k], "right")) / (2 * len(POINTS))
+    return z, rank, np.concatenate([np.clip(z, 0, 10), np.clip(-z, 0, 10), np.maximum(0, rank - 0.75) * 4, np.maximum(0, 0.25 - rank) * 4, np.ones((len(x), 1))], axis=1)
+
+
+def prior_weights() -> np.ndarray:
+    n = len(STATISTICS)
+    w = np.zeros(4 * n + 1)
+    for at, side in ((0, "high"), (n, "low")):
+        for s, v in PRIOR[side].items():
+            w[at + STATISTICS.index(s)] = v
+    w[-1] = PRIOR_BIAS
+    return w
+
+
+def fit_weights(tails: np.ndarray, other: np.ndarray, strength: float = 10.0, rounds: int = 60) -> np.ndarray:
+    """Weights of the tails for log odds of not being prose: a logistic regression drawn to the prior, in which no tail speaks for prose.
+
+    Projected Newton steps with halving; without labels the prior stays.
+    """
+    start = prior_weights()
+    w, pull = start.copy(), np.append(np.full(len(start) - 1, strength), 1e-2)
+
+    def loss(w):
+        m = tails @ w
+        return np.logaddexp(0, m).sum() - (other * m).sum() + 0.5 * (pull * (w - start) ** 2).sum()
+
+    now = loss(w)
+    for _ in range(rounds if len(other) else 0):
+        p = 1 / (1 + np.exp(-np.clip(tails @ w, -30, 30)))
+        slope = tails.T @ (p - other) + pull * (w - start)
+        free = np.append((w[:-1] > 0) | (slope[:-1] < 0), True)
+        a = tails[:, free]
+        move = np.zeros(len(w))
+        move[free] = -np.linalg.solve((a * (p * (1 - p) + 1e-4)[:, None]).T @ a + np.diag(pull[free]), slope[free])
+        step = 1.0
+        while step > 1e-6:
+            new = w + step * move
+            new[:-1] = np.maximum(new[:-1], 0)
+            if (then := loss(new)) < now - 1e-9:
+                break
+            step /= 2
+        else:
+            break
+        w, now = new, then
+    return w
+
+
+def with_tails(stats: DataFrame, labels: DataFrame | None = None, robust_z: float = 3.0, most_labels: int = 20_000) -> DataFrame:
+    """stats with each statistic's robust z-score (z_*) and percentile (p_*) within its language, the tails beyond `robust_z`, and the log odds of not being prose.
+
+    labels (doc_id, text_kind) weigh the tails: a sample of at most `most_labels` labelled documents, taken by a hash of
+    their ids; documents with labels of both kinds, unknown and blank ones don't count. Without labels the prior weights
+    hold. Blank texts have log odds of 100. Empty input gives an empty result.
+    """
+    known, every = distributions(stats)
+    weights = prior_weights()
+    if labels is not None:
+        other = F.col("text_kind") != "prose"
+        one = labels.where(F.col("text_kind").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a = b").select("doc_id", F.col("a").alias("other"))
+        sample = one.orderBy(F.xxhash64("doc_id")).limit(most_labels)
+        own = stats.where("words > 0").select("doc_id", "language", *STATISTICS).join(F.broadcast(sample), "doc_id").orderBy("doc_id", *STATISTICS).toPandas()
+        if len(own):
+            weights = fit_weights(tail_features(own[list(STATISTICS)].to_numpy(float), own.language.tolist(), known, every)[2], own.other.to_numpy(float))
+    names = [*[f"z_{s}" for s in STATISTICS], *[f"p_{s}" for s in STATISTICS]]
+
+    def score(batches):
+        for b in batches:
+            values = np.stack([b[s].to_numpy() for s in STATISTICS], 1) if b.num_rows else np.zeros((0, len(STATISTICS)))
+            z, rank, tails = tail_features(values, b["language"].to_pylist(), known, every)
+            odds = np.where(values[:, 0] == 0, 100.0, np.round(tails @ weights, 6))
+            out = [[("high " if v > 0 else "low ") + STATISTICS[k] for k, v in zip(np.flatnonzero(np.abs(r) > robust_z), r[np.abs(r) > robust_z])] if n else [] for r, n in zip(z, values[:, 0])]
+            cols = [b[c] for c in b.schema.names] + [pa.array(np.round(x[:, k], 6)) for x in (z, rank) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.string())), pa.array(odds)], [*b.schema.names, *names, "tails", "other_log_odds"])
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields) + ", " + ", ".join(f"{n} double" for n in names)
+    return stats.mapInArrow(score, f"{ddl}, tails array<string>, other_log_odds double")
 
 
 def quality(spark: SparkSession, folder: str) -> DataFrame:
-    return with_tails(materialize(statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))))
+    return with_tails(materialize(statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))), table(spark, folder, "doc_labels"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose text is not mainly running prose: blank, or in tails that together weigh 1."""
-    return quality(spark, folder).where(F.col("tail_weight") >= 1).select("doc_id").distinct()
+    """Documents whose text is not mainly running prose: blank, or more likely not prose by the tails that they lie in."""
+    return quality(spark, folder).where(F.col("other_log_odds") > 0).select("doc_id").distinct()
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """All statistics with z-scores and tails."""
+    """All statistics with z-scores, percentiles and tails."""
     return quality(spark, folder)
 
 

@@ -429,8 +429,38 @@ def test_tails_tell_prose_from_the_rest(spark):
     mixed = [(400, say() * 6 + "\n- one\n- two", "en"), (401, "\n".join(say()[:-1][:50].lower() for _ in range(9)), "en")]
     d = spark.createDataFrame(prose + other + mixed + [(None, "x", "en")], "doc_id long, text string, lang string").withColumn("words", F.lit("clash"))
     common = spark.createDataFrame([("en", w) for w in "the of is in a that we have to by on".split()] + [("en", None)], "lang string, word string")
-    got = {x.doc_id for x in p9_quality.with_tails(p9_quality.statistics(d, common)).where("tail_weight >= 1").collect()}
-    assert got == {300, 301, 302, 303, 304}
+    stats = p9_quality.statistics(d, common).cache()
+    rows = p9_quality.with_tails(stats).collect()
+    assert {x.doc_id for x in rows if x.other_log_odds > 0} == {300, 301, 302, 303, 304}
+    assert "high list_ratio" in {x.doc_id: x.tails for x in rows}[300] and "high table_ratio" in {x.doc_id: x.tails for x in rows}[301]
+    # labels move the border: whoever calls the mixed texts lists is followed
+    labels = spark.createDataFrame([(i, k) for i, k in [(400, "list"), (401, "list"), *[(j, "prose") for j in range(40)], (5, "junk"), (999, "junk"), (None, "junk"), (7, None)]] * 2, "doc_id long, text_kind string")
+    more = {x.doc_id: x.other_log_odds for x in p9_quality.with_tails(stats, labels).collect()}
+    assert more[400] > {x.doc_id: x.other_log_odds for x in rows}[400]
+
+
+def test_distributions_decide(spark):
+    # the same text is prose where lists are the rule, and a list where prose is: with fixed limits in place of the sketches it would be one of them in both
+    r = random.Random(3)
+    line = lambda: f"- the {r.choice(WORDS)} of the {r.choice(WORDS)}"
+    say = lambda: f"The {r.choice(WORDS)} of the house is in a {r.choice(WORDS)} that we have to see on the day."
+    common = spark.createDataFrame([("en", w) for w in "the of is in a that we have to by on".split()], "lang string, word string")
+    one = (999, "\n".join(line() for _ in range(12)), "en")
+    odds = []
+    for make in (lambda: " ".join(say() for _ in range(6)), lambda: "\n".join(line() for _ in range(12))):
+        d = spark.createDataFrame([(i, make(), "en") for i in range(80)] + [one], "doc_id long, text string, lang string")
+        odds.append({x.doc_id: x.other_log_odds for x in p9_quality.with_tails(p9_quality.statistics(d, common)).collect()}[999])
+    assert odds[0] > 0 > odds[1]
+
+
+def test_weights_follow_labels_and_speak_for_nothing_else():
+    r = np.random.default_rng(1)
+    z = r.exponential(1.0, (600, 53))
+    z[:, -1] = 1
+    other = (z[:, 3] + r.normal(0, 0.3, 600) > 2).astype(float)
+    w = p9_quality.fit_weights(z, other)
+    assert (w[:-1] >= 0).all() and w[3] > 3 * p9_quality.prior_weights()[3] and ((z @ w > 0) == (other > 0)).mean() > 0.9
+    assert np.array_equal(p9_quality.fit_weights(np.zeros((0, 53)), np.zeros(0)), p9_quality.prior_weights())
 
 
 def test_statistics_of_nothing(spark):

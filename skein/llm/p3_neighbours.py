@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.vectors import GROUP, current_vectors, matrix, with_cells
+from skein.llm.vectors import GROUP, Cells, current_vectors, hot_copies, matrix
 from skein.runtime import materialize
 from skein.sources import table
 
@@ -42,28 +42,33 @@ def nearest_in_list(ids: np.ndarray, posted: np.ndarray, x: np.ndarray, asked: n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 2_048, probe_ratio: float = 1.12, settled: float = 0.5, block_rows: int = 16_384) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: int = 2_048, ratios: tuple[float, ...] = (1.1, 1.3, 1.6), settled: float = 0.5, **cells) -> DataFrame:
     """Of every vector its k nearest of the same kind, model and account: (*GROUP, rowid, neighbour_rowid, distance, place).
 
     Vectors are scaled to unit length, distances are Euclidean in double precision, ties go to the smaller row id, and
     only distances up to `limit` come out. A group of at most `list_rows` vectors is one posting list and searched
-    whole. A larger one is divided into lists of about that size: a vector asks the lists whose centre is at most
-    `probe_ratio` times as far as the nearest one, up to four, and is posted in the first two of these (boundary
-    vectors therefore twice); the centres are searched by a graph in memory. A vector travels once to each list that it asks, serving there as query
-    and, where posted, as posting. These lists miss hardly any neighbour up to `settled` apart, but more of the farther
-    ones the more lists there are; so, where `limit` is greater, a vector whose k-th find is farther is compared with its
-    whole group, in pairs of blocks of about `block_rows` vectors. That pass is exact, and quadratic in the group's size.
-    Empty input gives an empty result; copies are each other's neighbours at distance 0.
+    whole. A larger one is divided into lists of about that size: a vector asks all lists whose centre is at most
+    ratios[0] times as far as the nearest one, however many, and is posted in the first two of these (boundary
+    vectors therefore twice); the centres are searched by a graph in memory. A vector travels once to each list that it
+    asks, serving there as query and, where posted, as posting. These lists miss hardly any neighbour up to `settled`
+    apart, but more of the farther ones; so, where `limit` is greater, a vector whose k-th find is farther asks all
+    lists up to ratios[1] times as far as well, and as long as a third of its finds are new, those of the next ratio. Of vectors with more than k + 1 copies, and more than a 100,000th of
+    all rows, only the k + 1 of smallest row id are searched; the other copies' neighbours are k of these, at distance
+    0. Empty input gives an empty result.
     """
-    placed = with_cells(vectors, list_rows, max_probe=4, ratio=probe_ratio)
-    sent = placed.select(
-        *GROUP, "rowid", "vec", F.posexplode("probes").alias("at", "list"), "blocks",
-    ).withColumn("list_blocks", F.element_at("blocks", F.col("at") + 1)).drop("blocks")
-    home = F.pmod(F.xxhash64("rowid", F.lit(3)), F.col("list_blocks")).cast("int")
-    sent = sent.withColumn("home", home).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("list_blocks") - 1)))
-    # every row asks each block of its lists and is posted in one of them
-    posted = (F.col("block") == F.col("home")) & (F.col("at") < 2)
-    sent = sent.select(*GROUP, "list", "block", "rowid", "vec", posted.alias("posted"))
+    vectors, hot, copies = hot_copies(vectors, k + 1)
+    index = Cells(vectors, list_rows, **cells)
+    placed = index.place(vectors, ratios[0])
+    if limit > settled:
+        placed = materialize(placed)
+
+    def lists(df):
+        """One row a list that a vector asks, and a block of it; `home` tells the block it is posted in."""
+        df = df.select(*GROUP, "rowid", "vec", F.posexplode("probes").alias("at", "list"), "blocks").withColumn("list_blocks", F.element_at("blocks", F.col("at") + 1)).drop("blocks")
+        return df.withColumn("home", F.pmod(F.xxhash64("rowid", F.lit(3)), F.col("list_blocks")).cast("int"))
+
+    def asking(df):
+        return lists(df).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("list_blocks") - 1)))
 
     def search(key, t):
         ids = t["rowid"].to_numpy()
@@ -74,26 +79,30 @@ def neighbours(vectors: DataFrame, k: int = 10, limit: float = 2.0, list_rows: i
 
     def ranked(found):
         # one shuffle serves both the merging of equal finds and the ranking
-        best = found.repartition(*GROUP, "rowid").groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"))
+        best = found.repartition(*GROUP, "rowid").groupBy(*GROUP, "rowid", "neighbour_rowid").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
         w = Window.partitionBy(*GROUP, "rowid").orderBy(F.round("distance", 9), "neighbour_rowid")
         return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
     text = ", ".join(f"{g} string" for g in GROUP)
     ddl = f"{text}, rowid long, neighbour_rowid long, distance double"
-    near = ranked(sent.withColumn("asked", F.lit(True)).groupBy(*GROUP, "list", "block").applyInArrow(search, ddl))
-    if limit <= settled:
-        return near
-    near = materialize(near)
-    sizes = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > list_rows)
-    large = vectors.join(sizes, GROUP).select(*GROUP, "rowid", "vec", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
-    done = near.where((F.col("place") == k) & (F.col("distance") <= settled)).select(*GROUP, "rowid")
-    rest = materialize(large.join(done, [*GROUP, "rowid"], "left_anti"))
-    asking = rest.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("asking_blocks"))
-    part = lambda seed, n: F.pmod(F.xxhash64("rowid", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    side = lambda df, asked, list_, block: df.join(asking, GROUP).select(*GROUP, list_.alias("list"), "blocks", "rowid", "vec").select(*GROUP, "list", block.alias("block"), "rowid", "vec", F.lit(not asked).alias("posted"), F.lit(asked).alias("asked"))
-    pairs = side(large, False, every("asking_blocks"), part(5, "blocks")).unionByName(side(rest, True, part(9, "asking_blocks"), every("blocks")))
-    return ranked(near.drop("place").unionByName(pairs.groupBy(*GROUP, "list", "block").applyInArrow(search, ddl)))
+    by = [*GROUP, "list", "block"]
+    every = asking(placed).withColumn("posted", (F.col("block") == F.col("home")) & (F.col("at") < 2)).withColumn("asked", F.lit(True))
+    near = ranked(every.select(*by, "rowid", "vec", "posted", "asked").groupBy(*by).applyInArrow(search, ddl).withColumn("fresh", F.lit(1)))
+    if limit > settled:
+        near = materialize(near)
+        large = index.counts.where(F.col("group_rows") > list_rows).select(*GROUP)
+        held = lists(placed.join(large, GROUP, "left_semi")).where(F.col("at") < 2).select(*GROUP, "list", F.col("home").alias("block"), "rowid", "vec", F.lit(True).alias("posted"), F.lit(False).alias("asked"))
+        rest = vectors.join(large, GROUP, "left_semi")
+        for n in range(1, len(ratios)):
+            found = near.groupBy(*GROUP, "rowid").agg(F.count_if(F.col("distance") <= settled).alias("close"), F.sum("fresh").alias("fresh"))
+            done = found.where((F.col("close") >= k) | (F.col("fresh") < k / 3 if n > 1 else F.lit(False))).select(*GROUP, "rowid")
+            rest = materialize(rest.join(done, [*GROUP, "rowid"], "left_anti"))
+            more = asking(index.place(rest, ratios[n], ratios[n - 1])).select(*by, "rowid", "vec", F.lit(False).alias("posted"), F.lit(True).alias("asked"))
+            new = held.unionByName(more).groupBy(*by).applyInArrow(search, ddl).withColumn("fresh", F.lit(1))
+            near = materialize(ranked(near.drop("place").withColumn("fresh", F.lit(0)).unionByName(new)))
+    near = near.drop("fresh")
+    same = copies.join(F.broadcast(hot), "class").select(*GROUP, "rowid", F.posexplode(F.slice("rowids", 1, k)).alias("n", "neighbour_rowid"))
+    return near.unionByName(same.select(*GROUP, "rowid", "neighbour_rowid", F.lit(0.0).alias("distance"), (F.col("n") + 1).alias("place")))
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:

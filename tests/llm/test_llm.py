@@ -135,34 +135,63 @@ def test_neighbours_against_brute_force(spark, list_rows):
     assert recall == 1 if list_rows == 5_000 else recall >= 0.9
 
 
-def test_far_neighbours_of_many_lists_are_found(spark):
-    # vectors without clusters in 40 lists; and some clusters, which need no second pass
-    x = np.concatenate([np.random.default_rng(6).normal(0, 1, (1_600, 64)), blobs(np.random.default_rng(7), 20, 20, 0)]).astype(np.float32)
+def exact_neighbours(x, k=10):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     sim = u @ u.T
     np.fill_diagonal(sim, -9)
-    want = {(i, j) for i, row in enumerate(np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :10]) for j in row}
-    rows = p3_neighbours.neighbours(frame(spark, x), list_rows=50, block_rows=300).collect()
-    assert len({(r.rowid, r.neighbour_rowid) for r in rows} & want) >= 0.995 * len(want) and len(rows) == len(want)
+    return u, {(i, j) for i, row in enumerate(np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k].tolist()) for j in row}
+
+
+@pytest.mark.parametrize("list_rows", [100, 30])
+def test_far_neighbours_of_many_lists_are_found(spark, list_rows):
+    # vectors without clusters, and some clusters, in 20 and in 67 lists
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(0, 1, (1_600, 20)) @ r.normal(0, 1, (20, 64)) / 40, blobs(np.random.default_rng(7), 20, 20, 0)]).astype(np.float32)
+    u, want = exact_neighbours(x)
+    rows = p3_neighbours.neighbours(frame(spark, x), list_rows=list_rows).collect()
+    assert len({(r.rowid, r.neighbour_rowid) for r in rows} & want) >= 0.9 * len(want) and len(rows) == len(want)
     assert all(abs(r.distance - np.linalg.norm(u[r.rowid] - u[r.neighbour_rowid])) < 1e-9 for r in rows[:500])
 
 
+def test_hot_copies_take_the_smallest_row_ids(spark):
+    x = blobs(np.random.default_rng(9), 4, 30, 20)
+    x = np.concatenate([x, np.repeat(x[:1], 300, axis=0), np.repeat(x[5:6], 40, axis=0)])
+    kept, hot, copies = vectors.hot_copies(frame(spark, x), 11)
+    assert kept.count() + copies.count() == len(x) and sorted(len(h.rowids) for h in hot.collect()) == [11, 11]
+    u, want = exact_neighbours(x)
+    assert {(r.rowid, r.neighbour_rowid) for r in p3_neighbours.neighbours(frame(spark, x)).collect()} == want
+    got = {r.rowid: r.cluster_rowid for r in p4_clusters.clusters(frame(spark, x)).collect()}
+    assert got[200] == got[0] == 0 and all(got[i] == got[0] for i in range(140, 440)) and got[450] == got[5]
+
+
 def test_centres_beyond_the_broadcast_bound_go_another_way(spark):
     x = blobs(np.random.default_rng(4), 6, 60, 40)
     f = frame(spark, x)
-    a = {(r.rowid, r.cell) for r in vectors.with_cells(f, 100).collect()}
-    b = {(r.rowid, r.cell) for r in vectors.with_cells(f, 100, broadcast_centres=0, slice_rows=90).collect()}
-    # centres pass through single precision when they are broadcast
-    assert len(a) == len(b) == len(x) and len(a & b) >= 0.99 * len(x)
+    a = {(r.rowid, r.cell, r.block, tuple(r.probes)) for r in vectors.Cells(f, 100).place(f, 1.1).collect()}
+    b = {(r.rowid, r.cell, r.block, tuple(r.probes)) for r in vectors.Cells(f, 100, broadcast_centres=0, slice_rows=90).place(f, 1.1).collect()}
+    assert a == b and len(a) == len(x)
 
 
-def test_graph_search_finds_the_nearest_centre():
+def test_graph_search_finds_the_nearest_centres():
     r = np.random.default_rng(0)
     c = r.normal(0, 1, (600, 16))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     q = c[r.integers(0, 600, 300)] + r.normal(0, 0.1, (300, 16))
     q /= np.linalg.norm(q, axis=1, keepdims=True)
-    assert (vectors.CellGraph(c).search(q, 1)[0][:, 0] == (q @ c.T).argmax(1)).mean() >= 0.95
+    graph = vectors.CellGraph(c)
+    assert (graph.search(q, 1)[0][:, 0] == (q @ c.T).argmax(1)).mean() >= 0.95
+    far = np.sqrt(2 - 2 * q @ c.T)
+    got, want = graph.within(q, 2.5), [set(np.flatnonzero(d <= 2.5 * d.min())) for d in far]
+    assert sum(len(set(g.tolist()) & w) for g, w in zip(got, want)) >= 0.95 * sum(map(len, want)) and max(map(len, want)) > 8
+    assert all(set(g.tolist()) == set(n.tolist()) - set(o.tolist()) for g, n, o in zip(graph.within(q, 2.5, 1.5), got, graph.within(q, 1.5)))
+
+
+def test_cells_in_two_levels_are_balanced():
+    x = blobs(np.random.default_rng(12), 30, 60, 200)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = vectors.fit_cells(x, 60, flat=20)
+    size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert 45 <= len(c) <= 80 and size.max() <= 8 * len(x) / len(c)
 
 
 def test_vectors_that_count(spark):
@@ -195,6 +224,27 @@ def test_clusters_equal_linked_vectors(spark, cell_rows):
     assert len(got & want) >= 0.99 * len(want | got)
 
 
+def test_mixture_decides_where_single_links_chain(spark):
+    # two clouds, and a few vectors on the way from one to the other, each linked to the next: components of cosine 0.8 are one
+    r = np.random.default_rng(5)
+    a, b = np.linalg.qr(r.normal(0, 1, (64, 2)))[0].T
+    way = [np.cos(t) * a + np.sin(t) * b for t in np.linspace(0, np.pi / 2, 5)[1:-1]]
+    cloud = lambda c, n: c + r.normal(0, 0.03, (n, 64))
+    x = np.concatenate([cloud(a, 60), cloud(b, 60), np.array(way), r.normal(0, 1, (400, 64)) / 8]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    row, col = np.nonzero(u @ u.T >= 0.8)
+    assert len(set(p4_clusters.spread(len(x), row, col)[:123].tolist())) == 1
+    rows = p4_clusters.clusters(frame(spark, x)).collect()
+    got = {r.rowid: r.cluster_rowid for r in rows}
+    assert {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 120)} == {60}
+
+
+def test_check_moves_few(spark):
+    x = blobs(np.random.default_rng(8), 20, 25, 200, spread=0.035)
+    rows = p4_clusters.clusters(frame(spark, x)).collect()
+    assert len(rows) >= 450 and sum(r.moved for r in rows) <= 0.05 * len(rows)
+
+
 def test_no_vectors(spark):
     f = frame(spark, np.zeros((0, 64)))
     assert p3_neighbours.neighbours(f).count() == 0 and p4_clusters.clusters(f).count() == 0

@@ -33,10 +33,11 @@ FIELD = re.compile(r"^\*?[^\W\d_]+(?: [^\W\d_]+)?\*?\s?:\s?\S")
 DATED = re.compile(r"\b(?:19|20)\d\d\b")
 #: What differs between lines of one make.
 MASKS = (
-    (re.compile(r"\S*@\S+|(?:https?://|www\.)\S+"), "@"),
+    (re.compile(r"(?<!\S)(?:[^\s@]*@|https?://|www\.)\S+"), "@"),
     (re.compile(r"\b[A-ZÀ-ÖØ-ÞŒŠŽ][\w'’.-]*(?:[ ,/]+[A-ZÀ-ÖØ-ÞŒŠŽ][\w'’.-]*)*"), "X"),
     (re.compile(r"\+?\(?\d(?:[\d .()/:+-]*\d)?\)?"), "0"),
 )
+HIDDEN = frozenset("x0@")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 CLAUSE_END = re.compile(r"\s*[;:]\s+")
 WORDLESS = re.compile(r"[\W_]+")
@@ -118,7 +119,8 @@ def line_rows(body: str) -> list[tuple]:
     quoted = marked(lines)
     masked = "\n".join(x.capitalize() if len(x) > 20 and x.isupper() else x for x, _, _ in lines)
     for pattern, by in MASKS:
-        masked = pattern.sub(by, masked)
+        if by != "@" or "@" in masked or "://" in masked or "www." in masked:
+            masked = pattern.sub(by, masked)
     masked = masked.lower().split("\n")
     out, n = [], len(lines)
     if any(quoted):
@@ -145,7 +147,7 @@ def line_rows(body: str) -> list[tuple]:
                                     words = len(sentence.split())
                                     for c in CLAUSE_END.split(sentence):
                                         c = " ".join(c.strip(" .!?;").split())
-                                        if len(c) >= 24 and sum(w not in ("x", "0", "@") for w in c.split()) >= 4:
+                                        if len(c) >= 24 and len([w for w in c.split() if w not in HIDDEN]) >= 4:
                                             out.append((k, stretch, unit, CLAUSE, 0, digest("clause " + c), last, 0, 0, words))
                             unit += 1
                             text = []

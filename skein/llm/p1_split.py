@@ -79,8 +79,10 @@ def split_text(text: str | None, limit: int = 1_200, overlap: int = 150) -> list
     """Pieces (start, own_start, end) of a tidied text: text[start:end] is at most `limit` long, own_start is where its overlap ends.
 
     Cuts minimise the sum of cut penalties and of the squared shortfalls against an even division. No pieces for an
-    empty text, one for a text within the limit.
+    empty text, one for a text within the limit. An overlap of the limit or more is refused.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
     if not text:
         return []
     if len(text) <= limit:
@@ -110,13 +112,16 @@ def split_text(text: str | None, limit: int = 1_200, overlap: int = 150) -> list
     return cuts[::-1]
 
 
-def split_items(df: DataFrame, kind: str, key: str, text: str, limit: int = 1_200, overlap: int = 150, with_text: bool = True) -> DataFrame:
+def split_items(df: DataFrame, kind: str, key: str, text: str, limit: int = 1_200, overlap: int = 150, with_text: bool = True, once: bool = False) -> DataFrame:
     """(item_kind, item_rowid, piece_no, pieces, start, own_start, length[, text]) of each item's tidied text.
 
     Whole texts are read, however long; null keys are dropped, null, empty and blank texts give no piece, repeated rows
-    give equal rows (drop duplicates on the result). Positions count Unicode characters of the tidied text.
+    give equal rows, unless `once` drops repeated keys before the texts are cut. Positions count Unicode characters of the
+    tidied text.
     """
     rows = df.select(F.col(key).cast("long").alias("item_rowid"), F.col(text).alias("text")).where(F.col("item_rowid").isNotNull() & F.col("text").isNotNull())
+    if once:
+        rows = rows.dropDuplicates(["item_rowid"])
     names = ["item_rowid", "piece_no", "pieces", "start", "own_start", "length"] + ["text"] * with_text
 
     def cut(batches):
@@ -137,8 +142,8 @@ def split_items(df: DataFrame, kind: str, key: str, text: str, limit: int = 1_20
 
 
 def pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
-    mails = split_items(table(spark, folder, "emails"), "email", "email_rowid", "body", with_text=with_text)
-    return mails.unionByName(split_items(table(spark, folder, "attachment_chunks"), "chunk", "chunk_rowid", "text", with_text=with_text))
+    mails = split_items(table(spark, folder, "emails"), "email", "email_rowid", "body", with_text=with_text, once=with_text)
+    return mails.unionByName(split_items(table(spark, folder, "attachment_chunks"), "chunk", "chunk_rowid", "text", with_text=with_text, once=with_text))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,8 +153,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All pieces with their texts."""
-    return pieces(spark, folder, True).dropDuplicates(["item_kind", "item_rowid", "piece_no"])
+    """All pieces with their texts; repeated rows once."""
+    return pieces(spark, folder, True)
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}

@@ -96,13 +96,13 @@ def plan(sources: pd.DataFrame, targets: pd.DataFrame, block: int, total_blocks:
     return p.sort_values("source").reset_index(drop=True)
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = 256, shard_blocks: int = 64, seed: int = 11, total_blocks: int | None = None, groups: int = 512, tokenizer: str = TOKENIZER, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, block: int = 256, shard_blocks: int = 64, seed: int = 11, total_blocks: int | None = None, group_shards: int = 64, tokenizer: str = TOKENIZER, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """The mix (shard, slot, source, copy, block, doc_id, first_token, tokens) and its shares.
 
     Each slot of a shard holds one block of a source, given as the documents' token ranges that fill it. The counts of
     sources a shard are multinomial, drawn under the condition that the totals are the quotas (a multivariate
-    hypergeometric draw, on the driver for `groups` groups of shards, then inside each group by a task), so that the
-    shares hold but for rounding. The n-th draw of a source is block permutation(n mod its blocks) of copy n div its
+    hypergeometric draw: on the driver for up to 4,096 stretches of shards, by tasks for groups of `group_shards` shards
+    in each, then for the shards of a group), so that the shares hold but for rounding. The n-th draw of a source is block permutation(n mod its blocks) of copy n div its
     blocks. Sources without documents, or with a target of 0, get nothing and the others their share of the rest;
     documents of sources without a target stay out; null or blank texts hold no tokens; targets named twice are summed
     and take the smaller cap, a null cap is 1. A table of more than `most_sources` targets is refused.
@@ -117,18 +117,28 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 256, shard_blocks
     p = plan(held, wanted, block, total_blocks)
     quota, blocks, source = p.quota.to_numpy(), p.blocks.to_numpy(), p.source.tolist()
     shards = -(-int(quota.sum()) // shard_blocks)
-    edges = np.linspace(0, shards, min(groups, max(1, shards)) + 1).astype(np.int64)
-    rng, left, start, rows = np.random.default_rng(seed), quota.copy(), np.zeros(len(quota), np.int64), []
-    for g in range(len(edges) - 1):
-        size = min(int((edges[g + 1] - edges[g]) * shard_blocks), int(left.sum()))
-        take = rng.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros_like(left)
-        rows.append((g, int(edges[g]), int(edges[g + 1]), take.tolist(), start.tolist()))
-        left, start = left - take, start + take
+    # each level parts a stretch of shards: (its random stream, first shard, end, blocks of each source, number of the first block)
+    def parted(stretch, low, high, take, start, pieces):
+        rng, left, at = np.random.default_rng([seed, *stretch]), np.array(take, np.int64), np.array(start, np.int64)
+        edges = np.linspace(low, high, pieces + 1).astype(np.int64)
+        for g in range(pieces):
+            size = min(int((edges[g + 1] - edges[g]) * shard_blocks), int(left.sum()))
+            own = rng.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros_like(left)
+            yield [*stretch, g], int(edges[g]), int(edges[g + 1]), own.tolist(), at.tolist()
+            left, at = left - own, at + own
+
+    rows = list(parted([0], 0, shards, quota, np.zeros(len(quota), np.int64), min(4_096, max(1, -(-shards // group_shards)))))
+
+    def groups_of(parts):
+        for t in parts:
+            for r in t.itertuples(index=False):
+                pieces = max(1, -(-(r.high - r.low) // group_shards))
+                yield pd.DataFrame(list(parted([int(v) for v in r.g], r.low, r.high, r.take, r.start, pieces)), columns=["g", "low", "high", "take", "start"])
 
     def draw(parts):
         for t in parts:
             for r in t.itertuples(index=False):
-                rng, own, at = np.random.default_rng([seed, r.g]), np.array(r.take, np.int64), np.array(r.start, np.int64)
+                rng, own, at = np.random.default_rng([seed, *[int(v) for v in r.g]]), np.array(r.take, np.int64), np.array(r.start, np.int64)
                 for shard in range(r.low, r.high):
                     size = min(shard_blocks, int(own.sum()))
                     n = rng.multivariate_hypergeometric(own, size, method="marginals") if size else np.zeros_like(own)
@@ -145,8 +155,11 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 256, shard_blocks
                     own, at = own - n, at + n
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(len(who)), "source": [source[s] for s in who], "copy": copy, "block": chosen})
 
-    tasks = spark.createDataFrame(rows, "g long, low long, high long, take array<long>, start array<long>").repartition(max(1, min(len(rows), 2 * spark.sparkContext.defaultParallelism)))
-    slots = tasks.mapInPandas(draw, "shard long, slot long, source string, copy long, block long")
+    ddl = "g array<long>, low long, high long, take array<long>, start array<long>"
+    groups = spark.createDataFrame(rows, ddl).repartition(max(1, min(len(rows), 2 * spark.sparkContext.defaultParallelism))).mapInPandas(groups_of, ddl)
+    if shards > 4_096 * group_shards:
+        groups = groups.repartition(2 * spark.sparkContext.defaultParallelism, "low")
+    slots = groups.mapInPandas(draw, "shard long, slot long, source string, copy long, block long")
     mixed_rows = slots.join(packed_blocks(counts, block, seed), ["source", "block"]).select("shard", "slot", "source", "copy", "block", "doc_id", "first_token", "tokens")
     plan_rows = spark.createDataFrame(p[["source", "target_share", "max_repeats", "tokens", "quota"]].astype({"tokens": "int64", "target_share": "float64"}), "source string, target_share double, max_repeats long, source_tokens long, quota long")
     got = mixed_rows.groupBy("source").agg(F.sum("tokens").alias("mix_tokens"), (F.max("copy") + 1).alias("repeats"))
@@ -159,16 +172,30 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 256, shard_blocks
 
 
 def mix_tokens(mixed_rows: DataFrame, documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The mix's token ids: (shard, slot, doc_id, first_token, ids) of each range."""
-    ranges = mixed_rows.join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("shard", "slot", "doc_id", "first_token", "tokens", "text")
+    """The mix's token ids: (shard, slot, doc_id, first_token, ids) of each range; repeated documents count once.
+
+    The ranges of a document meet its text in one row (as many as its tokens fill blocks, times its copies), so that it is encoded once.
+    """
+    ranges = mixed_rows.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "slot", "first_token", "tokens")).alias("ranges"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").dropDuplicates(["doc_id"])
 
     def encode(batches):
         enc = encoding(tokenizer)
         for b in slices(batches):
-            ids = [t[a : a + n] for t, a, n in zip(enc.encode_ordinary_batch(b["text"].to_pylist(), num_threads=1), b["first_token"].to_pylist(), b["tokens"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["shard"], b["slot"], b["doc_id"], b["first_token"], pa.array(ids, pa.list_(pa.int32()))], ["shard", "slot", "doc_id", "first_token", "ids"])
+            out = []
+            for doc, text, own in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["ranges"].to_pylist()):
+                ids = enc.encode_ordinary(text)
+                out += [(r["shard"], r["slot"], doc, r["first_token"], ids[r["first_token"] : r["first_token"] + r["tokens"]]) for r in own]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.list_(pa.int32()))], ["shard", "slot", "doc_id", "first_token", "ids"])
+
+    return texts.join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInArrow(encode, "shard long, slot long, doc_id long, first_token long, ids array<int>")
+
 
-    return ranges.mapInArrow(encode, "shard long, slot long, doc_id long, first_token long, ids array<int>")
+def p8_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of the largest mix, one row a range."""
+    documents = table(spark, folder, "documents")
+    return mix_tokens(mix(documents, table(spark, folder, "mix_targets"))[0], documents)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,4 +208,4 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1].withColumn("share", F.round("share", 6))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_tokens": p8_tokens}

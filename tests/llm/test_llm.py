@@ -60,6 +60,11 @@ def test_split_is_the_cheapest_of_all_divisions():
         assert np.isclose(cost(got), best[-1])
 
 
+def test_overlap_must_be_less_than_the_limit():
+    with pytest.raises(ValueError):
+        p1_split.split_text("ab cd. " * 200, 100, 100)
+
+
 # 2: near-duplicates
 
 
@@ -462,6 +467,21 @@ def test_permutation(n):
     assert sorted(p8_mix.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
+def test_small_sources_are_repeated_in_many_groups(spark):
+    docs = [(i, f"text number {i} of source " * 60, s) for i, s in enumerate(["a"] * 80 + ["b"] * 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 4)], "source string, target_share double, max_repeats int")
+    mixed, shares = p8_mix.mix(d, targets, block=16, shard_blocks=4, group_shards=3)
+    s = {r.source: r for r in shares.collect()}
+    assert 2 <= s["b"].repeats <= 4 and s["a"].repeats == 1 and abs(s["b"].share - 0.2) < 0.01
+    rows = mixed.collect()
+    used = {(r.source, r.copy, r.block) for r in rows}
+    assert len(used) == len({(r.shard, r.slot) for r in rows})
+    # each copy but the last is whole
+    blocks = {r.block for r in rows if r.source == "b"}
+    assert all({(c, b) for c, b in {(r.copy, r.block) for r in rows if r.source == "b"} if c == k} == {(k, b) for b in blocks} for k in range(s["b"].repeats - 1))
+
+
 def test_mix_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string, source string")
     mixed, shares = p8_mix.mix(d, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))

@@ -34,7 +34,8 @@ class Items:
         self.run = run
         self.words = {i: w for i, t in rows if (w := folded_words([t or ""])[:-1])}
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
-        self.ids = {i: np.array([self.vocabulary[w] for w in ws], np.int16) for i, ws in self.words.items()}
+        self.ids = {i: np.array([self.vocabulary[w] for w in ws], np.int32) for i, ws in self.words.items()}
+        self.width = np.int16 if len(self.vocabulary) < 1 << 15 else np.int32
         self.shortest = min([run, *(len(w) for w in self.ids.values())])
         self.runs: dict[bytes, list[int]] = {}
         self.passages, self.of = [], []
@@ -52,7 +53,7 @@ class Items:
         self.factors = np.random.default_rng(7).integers(0, 1 << 64, run, np.uint64) | np.uint64(1)
         self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in self.lengths:
-            every = np.frombuffer(b"".join(k for k in self.runs if len(k) == 2 * n), np.int16).reshape(-1, n)
+            every = np.frombuffer(b"".join(k for k in self.runs if len(k) == 4 * n), np.int32).reshape(-1, n)
             h = np.unique((every.astype(np.uint64) * self.factors[:n]).sum(1, dtype=np.uint64))
             table = np.zeros(1 << 20, bool)
             table[h >> np.uint64(44)] = True
@@ -74,15 +75,17 @@ class Items:
 
 
 def coded(documents: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, ids): each document's words as 16-bit numbers of the items' vocabulary, -1 for other words."""
+    """(doc_id, ids): each document's words as numbers of the items' vocabulary, -1 for other words; in 16 bits where they suffice."""
     vocabulary = documents.sparkSession.sparkContext.broadcast(items.vocabulary)
 
+    width = items.width
+
     def read(batches):
         get = vocabulary.value.get
         for b in slices(batches):
             enc = pa.array(folded_words([t or "" for t in b["text"].to_pylist()]), pa.string()).dictionary_encode()
             names = enc.dictionary.to_pylist()
-            number = np.array([get(w, -1) for w in names], np.int16)
+            number = np.array([get(w, -1) for w in names], width)
             codes = enc.indices.to_numpy()
             ids, end = number[codes], np.flatnonzero(codes == names.index("\x00"))
             start = np.concatenate([[0], end[:-1] + 1])
@@ -92,17 +95,18 @@ def coded(documents: DataFrame, items: Items) -> DataFrame:
     return spread(rows).mapInArrow(read, "doc_id long, ids binary")
 
 
-def chunks(batches, rows: int = 1_000, words: int = 2_000_000):
+def chunks(batches, width, rows: int = 1_000, words: int = 2_000_000):
     """(doc ids, all words in one array, lengths) of some documents at a time."""
+    size = np.dtype(width).itemsize
     for b in batches:
         docs, data = b["doc_id"].to_pylist(), b["ids"].to_pylist()
         i = 0
         while i < len(data):
-            j, n = i + 1, len(data[i]) // 2
-            while j < len(data) and j - i < rows and n + len(data[j]) // 2 <= words:
-                n += len(data[j]) // 2
+            j, n = i + 1, len(data[i]) // size
+            while j < len(data) and j - i < rows and n + len(data[j]) // size <= words:
+                n += len(data[j]) // size
                 j += 1
-            yield docs[i:j], np.frombuffer(b"".join(data[i:j]), np.int16), np.array([len(d) // 2 for d in data[i:j]], np.int64)
+            yield docs[i:j], np.frombuffer(b"".join(data[i:j]), width).astype(np.int32), np.array([len(d) // size for d in data[i:j]], np.int64)
             i = j
 
 
@@ -115,71 +119,109 @@ def blocks_of(ids: np.ndarray, lengths: np.ndarray, run: int) -> tuple[np.ndarra
     return np.repeat(first, lengths) + within // run, first, count
 
 
-def frequencies(docs: DataFrame, size: int, run: int) -> np.ndarray:
+def summed(parts: DataFrame, salts: int = 64) -> DataFrame:
+    """(part, data): the sum of equally long arrays of float64 for each part: of some tasks each, then of all."""
+
+    def add(key, t):
+        total = np.zeros(0)
+        for v in t["data"]:
+            v = np.frombuffer(v.as_buffer(), np.float64)
+            total = v.copy() if not len(total) else total + v
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    ddl = "part int, data binary"
+    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("part", "salt").applyInArrow(add, ddl)
+    return some.groupBy("part").applyInArrow(add, ddl)
+
+
+def gathered(docs: DataFrame, size: int, columns: int, fill, part_rows: int = 4_096) -> np.ndarray:
+    """The sum over all documents of size x columns numbers that fill(batches, total) adds up in each task.
+
+    A task sends its sum in parts of `part_rows` rows. Many small files are read by few tasks (two a core, one after another), so that
+    the sums grow with the cores and not with the files.
+    """
+
+    def run(batches):
+        total = np.zeros((size, columns))
+        fill(batches, total)
+        for p in range(0, size, part_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total[p : p + part_rows].tobytes()], pa.binary())], ["part", "data"])
+
+    few = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    out = np.zeros((size, columns))
+    for r in summed(few.mapInArrow(run, "part int, data binary")).toLocalIterator():
+        own = np.frombuffer(r["data"], np.float64).reshape(-1, columns)
+        out[r["part"] : r["part"] + len(own)] = own
+    return out
+
+
+def frequencies(docs: DataFrame, size: int, run: int, width) -> np.ndarray:
     """Inverse document frequency of each vocabulary word over all blocks of all documents."""
 
-    def count(batches):
-        total, n = np.zeros(size, np.int64), 0
-        for _, ids, lengths in chunks(batches):
+    def fill(batches, total):
+        for _, ids, lengths in chunks(batches, width):
             block, _, c = blocks_of(ids, lengths, run)
-            n += int(c.sum())
+            total[size] += int(c.sum())
             own = ids >= 0
-            total += np.bincount(np.unique(block[own] * size + ids[own]) % size, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, size), pa.int32()), pa.array([n, *total.tolist()], pa.int64())], ["word", "n"])
+            total[:size, 0] += np.bincount(np.unique(block[own] * size + ids[own]) % size, minlength=size)
 
-    got = {r["word"]: r["n"] for r in docs.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    n = got.get(-1, 0)
-    return np.log((n + 1) / (np.array([got.get(w, 0) for w in range(size)]) + 0.5)).astype(np.float32)
+    got = gathered(docs, size + 1, 1, fill)[:, 0]
+    return np.log((got[size] + 1) / (got[:size] + 0.5)).astype(np.float32)
 
 
-def through(docs: DataFrame, idf: np.ndarray, basis: np.ndarray, run: int) -> np.ndarray:
+def through(docs: DataFrame, idf: np.ndarray, basis: np.ndarray, run: int, width) -> np.ndarray:
     """A'A times `basis`, where A is the TF-IDF matrix of all blocks; each task sums its own rows first."""
     size, k = basis.shape
     sent = docs.sparkSession.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32)))
 
-    def multiply(batches):
-        weight, rows = sent.value
-        total = np.zeros((size, k))
-        for _, ids, lengths in chunks(batches):
-            block, _, c = blocks_of(ids, lengths, run)
+    def fill(batches, total):
+        rows = sent.value[1]
+        for _, ids, lengths in chunks(batches, width):
+            block, _, _ = blocks_of(ids, lengths, run)
             own = ids >= 0
-            w, b = ids[own].astype(np.int64), block[own]
+            w, b = ids[own], block[own]
             if not len(w):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            seen = np.cumsum(np.concatenate([[0], (b[1:] != b[:-1]).astype(np.int64)]))
-            y = np.add.reduceat(rows[w], starts)
+            fresh = np.concatenate([[True], b[1:] != b[:-1]])
+            y = np.add.reduceat(rows[w], np.flatnonzero(fresh))
             order = np.argsort(w, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-            total[w[order][first]] += np.add.reduceat(y[seen[order]], first)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array((total * weight[:, None]).tolist(), pa.list_(pa.float64()))], ["word", "row"])
+            total[w[order][first]] += np.add.reduceat(y[(np.cumsum(fresh) - 1)[order]], first)
 
-    parts = docs.mapInArrow(multiply, "word int, row array<double>").select("word", F.posexplode("row").alias("axis", "v")).groupBy("word", "axis").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((size, k))
-    out[parts.word.to_numpy(), parts.axis.to_numpy()] = parts.v.to_numpy()
-    return out
+    return gathered(docs, size, k, fill) * idf[:, None]
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int, run: int, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors of A (words x rank) by a randomised range finder and one Rayleigh step."""
+def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int, run: int, width, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors of A (words x rank) by a randomised range finder in one pass (Nystroem's approximation of A'A)."""
     k = min(rank, len(idf))
-    q, _ = np.linalg.qr(through(docs, idf, np.random.default_rng(seed).standard_normal((len(idf), k)), run) + 1e-9 * np.eye(len(idf), k))
-    gram = q.T @ through(docs, idf, q, run)
-    value, turn = np.linalg.eigh((gram + gram.T) / 2)
-    return q @ turn[:, ::-1]
+    test, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), k)))
+    y = through(docs, idf, test, run, width)
+    shift = 1e-6 * max(np.linalg.norm(y), 1e-9)
+    y = y + shift * test
+    core = test.T @ y
+    value, turn = np.linalg.eigh((core + core.T) / 2)
+    left, _, _ = np.linalg.svd(y @ (turn / np.sqrt(np.maximum(value, shift))), full_matrices=False)
+    return left
+
+
+def answers(passage: np.ndarray, idf: np.ndarray, numbers: np.ndarray) -> set[int]:
+    """What a paraphrase must keep of a passage: its numbers and the rarest third of its words."""
+    own = sorted(set(passage.tolist()), key=lambda v: (-idf[v], v))
+    return {*own[: max(1, len(own) // 3)], *[v for v in own if numbers[v]]}
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64, least_cosine: float = 0.4, least_aligned: float = 0.7, block_items: int = 2_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64, least_cosine: float = 0.4, least_aligned: float = 0.5, least_answers: float = 0.75, block_items: int = 50_000, block_words: int = 400_000) -> DataFrame:
     """(doc_id, item_id, kind, words, share): the items that each document leaks.
 
     documents (doc_id, text) may be any number; items (item_id, text) are read to the driver in blocks of `block_items`
-    (and so many vocabulary words as 15 bits hold). TF-IDF over the items' vocabulary with frequencies of all documents
+    and `block_words` different words (100 MB of latent vectors); each block reads the corpus once more. TF-IDF over the items' vocabulary with frequencies of all documents
     is reduced by a distributed randomised SVD; windows of 2 x `run` words, one every `run` words so that each run of
     that many lies in one, are compared with the items' passages by cosine. kind is `verbatim` where the document holds
     `run` consecutive words of the item, or all of a shorter one, which is looked up at every word whatever the cosine;
     else `paraphrase` where in a window of at least `least_cosine` the longest common subsequence holds `least_aligned`
-    of a passage's words and at least half of its numbers and rarest words. Null or
-    empty texts and items leak nothing; equal item ids are one item; repeated documents give equal rows once.
+    of a passage's words and the window holds `least_answers` of its answers: its numbers and rarest words. Windows
+    with fewer words that are an answer of any passage than each passage asks for are skipped: none of them can pass. Null or empty texts and items leak nothing; equal item ids are one item; repeated
+    documents give equal rows once.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull()).distinct().orderBy("item_id", "text")
     block, result = [], None
@@ -189,59 +231,61 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
         known = Items(block, run)
         if not known.ids:
             return None
+        width = known.width
         docs = materialize(coded(documents, known))
-        idf = frequencies(docs, len(known.vocabulary), run)
-        basis = latent_basis(docs, idf, rank, run)
+        idf = frequencies(docs, len(known.vocabulary), run, width)
+        basis = latent_basis(docs, idf, rank, run, width)
         latent = (basis * idf[:, None]).astype(np.float32)
         q = np.stack([latent[p].sum(0) for p in known.passages])
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        # no window of less weight than the lightest run holds a run or a whole shorter item
-        floor = min(float(idf[w[a : a + min(run, len(w))]].sum()) for w in known.ids.values() for a in range(len(w) - min(run, len(w)) + 1)) - 1e-2
-        sent = documents.sparkSession.sparkContext.broadcast((known, latent, q.astype(np.float32), np.array(known.of), idf))
+        numbers = np.array([w.isdigit() for w in known.vocabulary])
+        kept = [answers(p, idf, numbers) for p in known.passages]
+        least = min(int(np.ceil(least_answers * len(a))) for a in kept)
+        asked = np.zeros(len(known.vocabulary) + 1, bool)
+        asked[[v for a in kept for v in a]] = True
+        sent = documents.sparkSession.sparkContext.broadcast((known, latent, q.astype(np.float32), np.array(known.of), kept, asked))
 
         def find(batches):
-            known, latent, q, of, idf = sent.value
-            weight = np.append(idf, 0).astype(np.float32)
+            known, latent, q, of, kept, asked = sent.value
             latent = np.vstack([latent, np.zeros((1, latent.shape[1]), np.float32)])  # -1: no vocabulary word
-            for names, ids, lengths in chunks(batches):
+            lists = [p.tolist() for p in known.passages]
+            for names, ids, lengths in chunks(batches, width):
                 out = {(names[d], item): ("verbatim", run, 1.0) for d, item in known.found(ids, lengths)}
                 b, first, count = blocks_of(ids, lengths, run)
-                if not len(b):
-                    continue
-                starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                mass = np.add.reduceat(weight[ids], starts)
-                doc = np.repeat(np.arange(len(count)), count)
-                follows = np.append(doc[1:] == doc[:-1], False)
-                ask = np.flatnonzero(mass + np.where(follows, np.roll(mass, -1), 0) >= floor)
-                if not len(ask):
-                    continue
-                # latent vectors of the blocks that are asked for only
-                wanted = np.union1d(ask, ask[follows[ask]] + 1)
-                place = np.full(len(doc), -1)
-                place[wanted] = np.arange(len(wanted))
-                own = place[b] >= 0
-                w_ids, w_block = ids[own], place[b[own]]
-                half = np.add.reduceat(latent[w_ids], np.flatnonzero(np.concatenate([[True], w_block[1:] != w_block[:-1]])))
-                z = half[place[ask]] + np.where(follows[ask, None], half[place[np.minimum(ask + 1, len(doc) - 1)]], 0)
-                z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                for i in range(0, len(ask), 2_048):
-                    hit = z[i : i + 2_048] @ q.T >= least_cosine
-                    for r in np.flatnonzero(hit.any(1)):
-                        w = ask[i + r]
-                        d = int(doc[w])
-                        at = int(begin[d] + (w - first[d]) * run)
-                        window = ids[at : min(at + 2 * run, begin[d] + lengths[d])]
-                        near = np.flatnonzero(hit[r])
-                        have, text = set(window.tolist()), window.tolist()
-                        for p in near:
-                            item, passage = int(of[p]), known.passages[p]
-                            if (names[d], item) in out and out[names[d], item][0] == "verbatim" or len(have.intersection(passage.tolist())) < least_aligned * len(passage):
-                                continue
-                            n = aligned(passage.tolist(), text, 2 * run)
-                            rare = sorted(set(passage.tolist()), key=lambda v: -idf[v])[: max(1, len(passage) // 3)]
-                            if n >= least_aligned * len(passage) and 2 * sum(v in have for v in rare) >= len(rare) and n > out.get((names[d], item), ("", 0, 0))[1]:
-                                out[names[d], item] = ("paraphrase", n, n / len(passage))
+                if len(b):
+                    starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                    mass = np.add.reduceat(asked[ids].astype(np.int32), starts)
+                    doc = np.repeat(np.arange(len(count)), count)
+                    follows = np.append(doc[1:] == doc[:-1], False)
+                    ask = np.flatnonzero(mass + np.where(follows, np.roll(mass, -1), 0) >= least)
+                else:
+                    ask = np.zeros(0, np.int64)
+                if len(ask):
+                    # latent vectors of the blocks that are asked for only
+                    wanted = np.union1d(ask, ask[follows[ask]] + 1)
+                    place = np.full(len(doc), -1)
+                    place[wanted] = np.arange(len(wanted))
+                    own = place[b] >= 0
+                    w_ids, w_block = ids[own], place[b[own]]
+                    half = np.add.reduceat(latent[w_ids], np.flatnonzero(np.concatenate([[True], w_block[1:] != w_block[:-1]])))
+                    z = half[place[ask]] + np.where(follows[ask, None], half[place[np.minimum(ask + 1, len(doc) - 1)]], 0)
+                    z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+                    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                    for i in range(0, len(ask), 2_048):
+                        hit = z[i : i + 2_048] @ q.T >= least_cosine
+                        for r in np.flatnonzero(hit.any(1)):
+                            w = ask[i + r]
+                            d = int(doc[w])
+                            at = int(begin[d] + (w - first[d]) * run)
+                            text = ids[at : min(at + 2 * run, begin[d] + lengths[d])].tolist()
+                            have = frozenset(text)
+                            for p in np.flatnonzero(hit[r]).tolist():
+                                key, size = (names[d], int(of[p])), len(known.passages[p])
+                                if out.get(key, ("",))[0] == "verbatim" or len(have & kept[p]) < least_answers * len(kept[p]) or sum(v in have for v in lists[p]) < least_aligned * size:
+                                    continue
+                                n = aligned(lists[p], text, 2 * run)
+                                if n >= least_aligned * size and n > out.get(key, ("", 0, 0))[1]:
+                                    out[key] = ("paraphrase", n, n / size)
                 keys = list(out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([out[k][0] for k in keys], pa.string()), pa.array([out[k][1] for k in keys], pa.int64()), pa.array([out[k][2] for k in keys], pa.float64())],
@@ -258,7 +302,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
 
     for r in rows.toLocalIterator():
         own = set(folded_words([r["text"] or ""]))
-        if block and (len(block) >= block_items or len(names | own) > 32_000):
+        if block and (len(block) >= block_items or len(names | own) > block_words):
             close()
         block.append((r["item_id"], r["text"]))
         names |= own

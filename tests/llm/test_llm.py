@@ -416,6 +416,29 @@ def test_leaks_against_brute_force(spark):
     assert p7_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_reworded_items_are_found_and_their_like_is_not(spark):
+    r = random.Random(8)
+    frame_words = [r.choice(WORDS[:60]) for _ in range(22)]
+    # items of one frame, told apart by numbers and names
+    items = [(i, " ".join(w if k % 4 else f"n{i}x{k}" for k, w in enumerate(frame_words)) + f" {1000 + i} {2000 + 7 * i}") for i in range(40)]
+    say = lambda n: " ".join(r.choice(WORDS[60:]) for _ in range(n))
+
+    def reworded(text):
+        return " ".join(x for w in text.split() for x in ([r.choice(WORDS[60:])] if r.random() < 0.25 and w.startswith("w") else [w]) + ([r.choice(WORDS[60:])] if r.random() < 0.08 else []))
+
+    docs = [(i, f"{say(30)} {reworded(t)} {say(30)}") for i, t in items[:30]]
+    docs += [(100 + i, f"{say(30)} " + " ".join(w if k % 4 else f"o{i}x{k}" for k, w in enumerate(frame_words)) + f" {say(30)}") for i in range(30)]
+    got = {(x.doc_id, x.item_id) for x in p7_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(i, i) for i in range(30)}) >= 27 and len(got) <= 33
+
+
+def test_vocabularies_beyond_16_bits(spark):
+    items = [(i, " ".join(f"v{i}x{k}" for k in range(40))) for i in range(900)]
+    docs = [(i, f"before {items[i][1]} after") for i in range(0, 900, 30)] + [(1_000, "nothing of it")]
+    got = p7_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=8)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i in range(0, 900, 30)}
+
+
 def test_short_items_are_found_beside_longer_ones(spark):
     # a dumped test set: each short item stands before the first words of every longer one, whose words outweigh it
     r = random.Random(4)

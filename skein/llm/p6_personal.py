@@ -16,9 +16,9 @@ from skein.llm.wordlists import slices
 from skein.runtime import spread
 from skein.sources import table
 
-PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street": "[STREET]", "person": "[PERSON]"}
-#: Bits of the table of names harvested from headers that every task gets: 2 MB whatever the collection's size.
-NAME_BITS = 1 << 24
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street": "[STREET]", "person": "[PERSON]", "iban": "[IBAN]", "card": "[CARD]"}
+#: The kinds that p6_found gives; account and card numbers are redacted as well.
+FOUND = ("email", "phone", "id_number", "street", "person")
 
 UP = r"[A-ZÀ-ÖØ-ÞŒŠŽ]"
 DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}]\s?|\s(?:dot|punkt|punto)\s)"
@@ -40,6 +40,10 @@ TAX_DE = re.compile(r"(?<![\w./#+-])\d{2}\s?\d{3}\s?\d{3}\s?\d{3}(?![\w/-]|[.,]\
 DNI = re.compile(r"(?<![\w./#+-])(?:[XYZ]-?)?\d{1,2}\.?\d{3}\.?\d{3}-?[A-HJ-NP-TV-Z](?!\w)")
 PASSPORT = re.compile(r"(?<![\w/#-])[A-Z]{1,2}\d{6,8}(?!\w)")
 CARD = re.compile(r"(?<![\w./#+-])\d(?:[\s-]?\d){12,18}(?![\w/-])")
+CARD_GROUPS = re.compile(r"\d{4}([\s-])\d{4}\1\d{4}\1\d{4}")
+CARD_WORDS = re.compile(r"\b(?:card|karte|kartennummer|kreditkarte|carte|tarjeta|visa|mastercard|credit|crédit|crédito)\b", re.I)
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
+IBAN_WORDS = re.compile(r"\b(?:iban|account|konto|kontonummer|compte|cuenta)\b", re.I)
 
 TOWN = rf"{UP}[\w'’-]+(?:[ -](?:am|an der|sur|sous|de|del|la)[ -]{UP}[\w'’-]+)?"
 POSTCODE_UK = r"[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}"
@@ -62,11 +66,16 @@ CLUSTER = re.compile(r"\d(?:[\s./()-]{0,2}\d){5,}")
 WORD = re.compile(rf"(?<![\w@.+#/-]){UP}[\w'’]*(?:-{UP}[\w'’]*)?(?![\w@])")
 #: Given names that are everyday words as well; alone they are names only by their context.
 EVERYDAY = frozenset("mark art will frank april grace joy rose iris basil may june august hope faith dawn bill rich grant dean chase guy jack miles rob sue pat drew ray pearl ruby daisy lily ivy olive ginger penny".split())
+#: Greetings, titles and words that a name follows; verbs of saying that follow a name.
 NAME_BEFORE = re.compile(
-    r"(?:\b(?:ask|dear|hi|hello|hey|moin|morning|afternoon|evening|day|as|with|from|by|and|tell|told|thank|thanks|mr|mrs|ms|dr|herr|frau|monsieur|madame|mme|señor|señora|don|doña|hallo|liebe|lieber|tag|sehr geehrte|sehr geehrter|bitte|wie|bonjour|salut|cher|chère|comme dit|demandez à|demande à|hola|buenas|buenos días|buenos|estimado|estimada|querido|querida|como dijo|pregunta a|pregunte a|is|est|reist|viaja|contact|kontakt|to|an|à|para|von|de|equipo y|équipe et|team and)|:|>|^)\s*$",
+    r"(?:\b(?:ask|dear|hi|hello|hey|moin|morning|afternoon|evening|day|as|with|from|by|and|tell|told|thank|thanks|mr|mrs|ms|dr|herr|frau|monsieur|madame|mme|señor|señora|don|doña|hallo|liebe|lieber|tag|sehr geehrte|sehr geehrter|bitte|wie|bonjour|salut|cher|chère|dit|demandez à|demande à|hola|buenas|buenos días|buenos|estimado|estimada|querido|querida|dijo|pregunta a|pregunte a|contact|kontakt|to|an|à|para|von|de|y|et|und)|:|>|^)\s*$",
     re.I,
 )
-NAME_AFTER = re.compile(r"^\s*(?:put it|said|says|promised|meinte|sagte|hält|holt|dit|dijo|traerá|apportera|wrote|schrieb|escribió|a écrit|lives|to forward|where|wo\b|où\b|dónde|<|&lt;|[,!]?\s*(?:<br|</|\r?\n|$))", re.I)
+WORD_BEFORE = re.compile(NAME_BEFORE.pattern.replace('|:|>|^)', ')'), re.I)
+NAME_AFTER = re.compile(r"^\s*(?:said|says|wrote|writes|thinks|asked|asks|called|sagte|sagt|meinte|meint|schrieb|fragt|rief|dit|écrit|a écrit|demande|dijo|dice|escribió|pregunta|<|&lt;|[,!]?\s*(?:<br|</|\r?\n|$))", re.I)
+TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M\.|Monsieur|Madame|Sr\.?|Sra\.?|Señora?)\.?\s({UP}[\w'’-]+)")
+#: What a person's whole name follows, known or not.
+INTRODUCED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra?|Don|Doña|Dear|Liebe[r]?|Chère?|Estimad[oa]|Querid[oa]|[Mm]y name is|I am|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es|Ask|Regards,|Best,|Grüße,|Cordialement,|Saludos,)\.?\s+({UP}[\w'’-]+\s{UP}[\w'’-]+)(?![\w@]|\s{UP})")
 #: What follows the name of an organisation.
 ORGANISATION = re.compile(r"^\s+(?:GmbH|SARL|Ltd|Coop|Works|Inc|AG|KG|SA|LLC|PLC|Team|Group)\b")
 
@@ -104,23 +113,22 @@ def tax_de_valid(text: str) -> bool:
     return len(s) == 11 and (11 - p) % 10 == int(s[10])
 
 
+def iban_valid(text: str) -> bool:
+    """The international account number's check digits (mod 97)."""
+    s = re.sub(r"\s", "", text)
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 class Names:
-    """Given names and surnames, as bits; a name is looked up by its folded spelling."""
+    """Given names and surnames, as sorted hashes; a name is looked up by its folded spelling."""
 
-    def __init__(self, given: set[int], family: set[int]):
-        self.given, self.family = self._bits(given), self._bits(family)
+    def __init__(self, given, family):
+        self.given, self.family = (np.unique(np.fromiter(x, np.int64, len(x))) for x in (given, family))
         self.known: dict[str, tuple[bool, bool]] = {}
 
-    @staticmethod
-    def _bits(slots: set[int]) -> np.ndarray:
-        out = np.zeros(NAME_BITS // 8, np.uint8)
-        at = np.array(sorted(slots), np.int64)
-        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return out
-
     @staticmethod
     def slot(word: str) -> int:
-        return xxhash.xxh32_intdigest(folded(word)) & (NAME_BITS - 1)
+        return xxhash.xxh64_intdigest(folded(word)) - (1 << 63)
 
     def look_up(self, word: str) -> tuple[bool, bool]:
         """Whether the word is a given name, and whether it is a surname."""
@@ -128,7 +136,7 @@ class Names:
             if len(self.known) >= 100_000:
                 self.known.clear()
             s = self.slot(word)
-            found = self.known[word] = tuple(bool(bits[s >> 3] >> (s & 7) & 1) for bits in (self.given, self.family))
+            found = self.known[word] = tuple(bool(len(x)) and int(x[min(len(x) - 1, int(x.searchsorted(s)))]) == s for x in (self.given, self.family))
         return found
 
     def is_given(self, word: str) -> bool:
@@ -185,30 +193,37 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         for m in EMAIL_WORD.finditer(text):
             add(m.start(), m.end(), "email")
     before = lambda m, n=40: re.sub(r"\s+", " ", text[max(0, m.start() - n) : m.start()])
-    # identity numbers: a checksum or a word near by confirms the pattern
     clusters = [(max(0, m.start() - 8), m.end() + 6) for m in CLUSTER.finditer(text)]
     at = lambda pattern: (m for a, b in clusters for m in pattern.finditer(text, a, b))
+    # numbers: each has a score for its form, one for its checksum - by how seldom chance fulfils it - and one for words near by
+    if clusters:
+        for m in IBAN.finditer(text):
+            if 0.1 + 0.5 * iban_valid(m.group()) + 0.4 * bool(IBAN_WORDS.search(before(m))) >= 0.6:
+                add(m.start(), m.end(), "iban")
     for m in at(NINO):
         add(m.start(), m.end(), "id_number")
     for m in at(NIR):
-        if nir_valid(m.group()) or ID_WORDS.search(before(m, 50)):
+        if 0.2 + 0.4 * nir_valid(m.group()) + 0.4 * bool(ID_WORDS.search(before(m, 50))) >= 0.6:
             add(m.start(), m.end(), "id_number")
     for m in at(DNI):
-        if (ok := dni_valid(m.group())) and len(re.sub(r"\D", "", m.group())) >= 7 or ID_WORDS.search(before(m)) and (ok or "." in m.group() or len(m.group()) >= 8):
+        digits = len(re.sub(r"\D", "", m.group()))
+        form = 0.2 if "." in m.group() or len(m.group()) >= 8 else 0.0
+        if form + (0.4 if digits >= 7 else 0.2) * dni_valid(m.group()) + 0.4 * bool(ID_WORDS.search(before(m))) >= 0.6:
             add(m.start(), m.end(), "id_number")
     for m in at(PASSPORT):
         if re.search(r"pass|pasap|ausweis|\bid\b|document", before(m, 30), re.I):
             add(m.start(), m.end(), "id_number")
+    for m in at(CARD):
+        digits = re.sub(r"\D", "", m.group())
+        if luhn(digits) and 0.2 + 0.2 + 0.2 * bool(CARD_GROUPS.fullmatch(m.group())) + 0.4 * bool(CARD_WORDS.search(before(m))) >= 0.6:
+            add(m.start(), m.end(), "card")
     for m in at(TAX_DE):
-        if ID_WORDS.search(before(m)):  # the check digit alone holds for one number in ten
+        if 0.2 + 0.2 * tax_de_valid(m.group()) + 0.4 * bool(ID_WORDS.search(before(m))) >= 0.6:
             add(m.start(), m.end(), "id_number")
     for m in at(SSN):
         near = before(m, 30)
         if ID_WORDS.search(near) or m.group(1) == "-" and not PHONE_AGAINST.search(near):
             add(m.start(), m.end(), "id_number")
-    for m in at(CARD):
-        if luhn(re.sub(r"\D", "", m.group())) and ID_WORDS.search(before(m)):
-            add(m.start(), m.end(), "id_number")
     for hints, pattern in zip(STREET_HINTS, STREETS):
         if any(h in blank for h in hints):
             for m in pattern.finditer(text):
@@ -254,13 +269,19 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         # a name at the beginning of a line counts only if the line ends with it
         if NAME_BEFORE.search(tagless.split("\n")[-1] if "\n" in tagless else tagless) and (tagless.split("\n")[-1].strip(" >|") or NAME_AFTER.match(text[m.end() : m.end() + 20])):
             score += 0.3
+        elif "\n" in tagless and tagless.count("\n") == 1 and tagless.endswith("\n") and WORD_BEFORE.search(tagless):  # broken over lines
+            score += 0.3
         if NAME_AFTER.match(text[m.end() : m.end() + 20]):
             score += 0.15
         if score >= 0.49:
             add(m.start(), m.end(), "person")
-    for m in re.finditer(rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M\.|Monsieur|Madame|Sr\.?|Sra\.?|Señora?)\.?\s({UP}[\w'’-]+)", text):
+    for m in TITLED.finditer(text):
         if names.is_family(m.group(1)):
             add(m.start(1), m.end(1), "person")
+    # names of persons that no header bears
+    for m in INTRODUCED.finditer(text):
+        if not ORGANISATION.match(text[m.end() - len(m.group(1).split()[1]) - 1 : m.end() + 10]) and not ORGANISATION.match(text[m.end() : m.end() + 10]):
+            add(m.start(1), m.end(1), "person")
     return sorted(out)
 
 
@@ -285,8 +306,8 @@ def header_spans(header: str, names: Names) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def harvested_names(emails: DataFrame) -> Names:
-    """The names in all From headers, gathered as slots of a table of fixed size."""
+def harvested_names(emails: DataFrame, most_names: int = 8_000_000) -> Names:
+    """The names in all From headers, as hashes (64 MB at most); a collection with more than `most_names` different names is refused."""
 
     def read(batches):
         given, family = set(), set()
@@ -294,10 +315,12 @@ def harvested_names(emails: DataFrame) -> Names:
             for h in set(b["from_addr"].to_pylist()):
                 if n := header_name(h):
                     given.add(Names.slot(n[0])), family.add(Names.slot(n[1]))
-        yield pa.RecordBatch.from_arrays([pa.array([*given, *family], pa.int32()), pa.array([True] * len(given) + [False] * len(family))], ["slot", "given"])
+        yield pa.RecordBatch.from_arrays([pa.array([*given, *family], pa.int64()), pa.array([True] * len(given) + [False] * len(family))], ["slot", "given"])
 
-    got = emails.select("from_addr").where(F.col("from_addr").isNotNull()).mapInArrow(read, "slot int, given boolean").groupBy("slot", "given").count().select("slot", "given").toPandas()
-    return Names(set(got.slot[got.given]), set(got.slot[~got.given]))
+    got = emails.select("from_addr").where(F.col("from_addr").isNotNull()).mapInArrow(read, "slot long, given boolean").distinct().limit(most_names + 1).toPandas()
+    if len(got) > most_names:
+        raise ValueError(f"more than {most_names} names")
+    return Names(set(got.slot[got.given].tolist()), set(got.slot[~got.given].tolist()))
 
 
 def redacted(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
@@ -333,7 +356,7 @@ def personal_spans(emails: DataFrame, names: Names) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every find in bodies and From headers."""
     emails = table(spark, folder, "emails")
-    return personal_spans(emails, harvested_names(emails)).distinct()
+    return personal_spans(emails, harvested_names(emails)).where(F.col("pii_kind").isin(*FOUND)).distinct()
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -351,8 +374,8 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
                 [b["email_rowid"], pa.array([redacted(t, spans(t, own) if t else []) for t in texts], pa.string()), pa.array([redacted(h, header_spans(h, own) if h else []) for h in headers], pa.string())], ["email_rowid", "body", "from_addr"]
             )
 
-    src = emails.select(F.col("email_rowid").cast("long").alias("email_rowid"), F.col("body").alias("text"), "from_addr").where(F.col("email_rowid").isNotNull())
-    return spread(src).mapInArrow(read, "email_rowid long, body string, from_addr string").dropDuplicates(["email_rowid"])
+    src = emails.select(F.col("email_rowid").cast("long").alias("email_rowid"), F.col("body").alias("text"), "from_addr").where(F.col("email_rowid").isNotNull()).dropDuplicates(["email_rowid"])
+    return spread(src).mapInArrow(read, "email_rowid long, body string, from_addr string")
 
 
 QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted}

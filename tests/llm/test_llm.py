@@ -373,6 +373,20 @@ def test_finds_across_line_ends(names, text, want):
     assert p6_personal.spans(text.replace("\n", "\r\n"), names)[0][2] == want[0]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00, thanks", [("iban", "DE89 3704 0044 0532 0130 00")]), ("to GB82WEST12345698765432 today", [("iban", "GB82WEST12345698765432")]), ("code GB82WEST12345698765433 today", []),
+        ("My card number is 4539 5787 6362 1486.", [("card", "4539 5787 6362 1486")]), ("took 4539 5787 6362 1486 now", [("card", "4539 5787 6362 1486")]), ("took 4539 5787 6362 1487 now", []), ("item 4539578763621486 now", []),
+        ("Steuer-ID 86095742719 und", [("id_number", "86095742719")]), ("Teil 86095742719 und", []), ("lot 255081416802538 and", [("id_number", "255081416802538")]), ("lot 255081416802539 and", []), ("lot 12345678Z and", [("id_number", "12345678Z")]), ("lot 12345678A and", []),
+        ("Dear Wei Zhang,\nhello", [("person", "Wei Zhang")]), ("Ask Oyelaran Adebayo to come", [("person", "Oyelaran Adebayo")]), ("my name is Wei Zhang and", [("person", "Wei Zhang")]), ("Dear Ostimond Works, we", []), ("Dear Ostimond Team GmbH, we", []), ("in New Haven we", []),
+    ],
+)
+def test_checksums_decide_where_no_word_does(names, text, want):
+    assert [(k, text[a:b]) for a, b, k in p6_personal.spans(text, names)] == want
+    assert p6_personal.redacted(text, p6_personal.spans(text, names)).count("[") == len(want)
+
+
 def test_checksums_and_headers(names):
     assert p6_personal.luhn("4539578763621486") and not p6_personal.luhn("4539578763621487")
     assert p6_personal.dni_valid("12345678Z") and not p6_personal.dni_valid("12345678A") and p6_personal.nir_valid("255081416802538") and p6_personal.tax_de_valid("86095742719")

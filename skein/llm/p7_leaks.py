@@ -220,7 +220,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
     `run` consecutive words of the item, or all of a shorter one, which is looked up at every word whatever the cosine;
     else `paraphrase` where in a window of at least `least_cosine` the longest common subsequence holds `least_aligned`
     of a passage's words and the window holds `least_answers` of its answers: its numbers and rarest words. Windows
-    with fewer words that are an answer of any passage than each passage asks for are skipped: none of them can pass. Null or empty texts and items leak nothing; equal item ids are one item; repeated
+    without any of the rarest answers, one of which each passage's share of answers must include, are skipped. Null or empty texts and items leak nothing; equal item ids are one item; repeated
     documents give equal rows once.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull()).distinct().orderBy("item_id", "text")
@@ -240,9 +240,10 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         numbers = np.array([w.isdigit() for w in known.vocabulary])
         kept = [answers(p, idf, numbers) for p in known.passages]
-        least = min(int(np.ceil(least_answers * len(a))) for a in kept)
+        # who holds n of a answers holds one of the a - n + 1 rarest
         asked = np.zeros(len(known.vocabulary) + 1, bool)
-        asked[[v for a in kept for v in a]] = True
+        for a in kept:
+            asked[sorted(a, key=lambda v: (-idf[v], v))[: len(a) - int(np.ceil(least_answers * len(a) - 1e-9)) + 1]] = True
         sent = documents.sparkSession.sparkContext.broadcast((known, latent, q.astype(np.float32), np.array(known.of), kept, asked))
 
         def find(batches):
@@ -257,7 +258,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 64,
                     mass = np.add.reduceat(asked[ids].astype(np.int32), starts)
                     doc = np.repeat(np.arange(len(count)), count)
                     follows = np.append(doc[1:] == doc[:-1], False)
-                    ask = np.flatnonzero(mass + np.where(follows, np.roll(mass, -1), 0) >= least)
+                    ask = np.flatnonzero(mass + np.where(follows, np.roll(mass, -1), 0) > 0)
                 else:
                     ask = np.zeros(0, np.int64)
                 if len(ask):

@@ -154,14 +154,16 @@ def shared_at_most(a: list[bytes], b: list[bytes], buckets: int = 2_048) -> np.n
     return inter / np.maximum(nx + ny - inter, 1)
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: int = 2, hits: int = 2) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: int = 2, hits: int = 2, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and the membership of rows in groups of equal words.
 
     rows: see worded(). Result: links (left, right, similarity) between representatives - the smallest rowid of each set
     of rows with equal words - that share at least `least` of their words, and members (rowid, representative). Copies
     are one text before candidates are sought. A sketch holds two k-mers; texts of fitting lengths that share `hits` of
     `number` sketches are candidates, whatever the number of texts that share them; an alignment within a band accepts, and where moved
-    passages defeat it, the exact share of words decides. Empty input gives empty results.
+    passages defeat it, the exact share of words decides. Without every_link the links are fewer but connect the same texts: texts that
+    share a sketch are compared with the smallest of them, and only those that are no link of it with all others, so
+    that a mailing of many variants costs its number and not its square. Empty input gives empty results.
     """
     words = materialize(rows)
     members = words.groupBy("copies").agg(F.min("rowid").alias("representative"))
@@ -178,11 +180,18 @@ def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: in
     keyed = words.where(F.octet_length("words") >= 3 * (k + 1)).select("copies", "words").mapInArrow(sketch, "copies long, size int, keys array<long>")
     # equal texts have equal words but maybe another order, so each order's sketches stay
     bands = keyed.select(F.explode("keys").alias("key"), "copies", "size").distinct()
-    left, right = bands.select("key", F.col("copies").alias("left"), F.col("size").alias("m")), bands.select("key", F.col("copies").alias("right"), F.col("size").alias("n"))
-    fits = (F.col("left") < F.col("right")) & (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
-    pairs = left.join(right, "key").where(fits).groupBy("left", "right").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= hits).select("left", "right")
     text = words.groupBy("copies").agg(F.min_by("words", "rowid").alias("words"))
-    both = pairs.join(text.select(F.col("copies").alias("left"), F.col("words").alias("a")), "left").join(text.select(F.col("copies").alias("right"), F.col("words").alias("b")), "right")
+    side = lambda df, c, n: df.select("key", F.col("copies").alias(c), F.col("size").alias(n))
+
+    def candidates(asking, held):
+        """(left, right) of texts of fitting lengths that share `hits` sketches, one of `asking` and one of `held`."""
+        fits = (F.col("left") != F.col("right")) & (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
+        met = side(asking, "left", "m").join(side(held, "right", "n"), "key").where(fits)
+        if every_link:
+            met = met.where(F.col("left") < F.col("right"))
+        else:
+            met = met.select("key", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+        return met.groupBy("left", "right").agg(F.count(F.lit(1)).alias("hits"))
 
     def verify(batches):
         for b in batches:
@@ -193,7 +202,20 @@ def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: in
                     s[i + j] = similarity(unpacked([x[j]])[0].tolist(), unpacked([y[j]])[0].tolist(), least)
             yield pa.RecordBatch.from_arrays([b["left"], b["right"], pa.array(s, pa.float64())], ["left", "right", "similarity"])
 
-    links = both.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, similarity double").where(F.col("similarity") >= least)
+    def verified(pairs):
+        both = pairs.join(text.select(F.col("copies").alias("left"), F.col("words").alias("a")), "left").join(text.select(F.col("copies").alias("right"), F.col("words").alias("b")), "right")
+        return both.select("left", "right", "a", "b").mapInArrow(verify, "left long, right long, similarity double").where(F.col("similarity") >= least)
+
+    if every_link:
+        links = verified(candidates(bands, bands).where(F.col("hits") >= hits).select("left", "right"))
+    else:
+        bands = materialize(bands)
+        hubs = bands.groupBy("key").agg(F.min(F.struct("copies", "size")).alias("hub")).select("key", "hub.copies", "hub.size")
+        links = materialize(verified(candidates(bands, hubs).where(F.col("hits") >= hits).select("left", "right")))
+        tied = links.select(F.col("left").alias("hub"), F.col("right").alias("copies"))
+        loose = bands.join(hubs.select("key", F.col("copies").alias("hub")), "key").where("copies <> hub").join(tied, ["hub", "copies"], "left_anti").select("key", "copies", "size")
+        more = candidates(loose, bands).where(F.col("hits") >= hits).select("left", "right").join(links, ["left", "right"], "left_anti")
+        links = links.unionByName(verified(more))
     rep = lambda c: members.select(F.col("copies").alias(c), F.col("representative").alias(f"{c}_rep"))
     links = links.join(rep("left"), "left").join(rep("right"), "right").select(
         F.least("left_rep", "right_rep").alias("left"), F.greatest("left_rep", "right_rep").alias("right"), "similarity"
@@ -216,14 +238,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each email of 40 words or more with its group (the smallest email_rowid reachable over links) and its text's links."""
-    links, members = near_duplicates(emails_worded(spark, folder))
-    group = connected_components(links)
-    ends = links.select(F.explode(F.array("left", "right")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        members.join(group.withColumnRenamed("node", "representative"), "representative", "left").join(ends, "representative", "left")
-        .select(F.col("rowid").alias("email_rowid"), F.coalesce("component", "representative").alias("group_rowid"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    """Each email of 40 words or more with its group: the smallest email_rowid reachable over links and equal texts."""
+    links, members = near_duplicates(emails_worded(spark, folder), every_link=False)
+    group = connected_components(links).withColumnRenamed("node", "representative")
+    return members.join(group, "representative", "left").select(F.col("rowid").alias("email_rowid"), F.coalesce("component", "representative").alias("group_rowid"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}

@@ -97,6 +97,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_groups_without_all_links_are_the_same(spark):
+    r = random.Random(15)
+    texts = []
+    for n in [*range(1, 9), 150]:
+        base = [r.choice(WORDS) + str(r.randrange(9)) for _ in range(60)]
+        texts += [noisy(r, base, 0.06) for _ in range(n)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, body string")
+    from skein.operators.components import connected_components
+
+    out, number = [], []
+    for every in (True, False):
+        links, members = p2_near_duplicates.near_duplicates(p2_near_duplicates.worded(df, "id", ["body"], 40), every_link=every)
+        out.append({(x.node, x.component) for x in connected_components(links).collect()})
+        number.append(links.count())
+        assert members.count() == len(texts)
+    assert out[0] == out[1] and number[1] < 0.5 * number[0] and number[1] <= 32 * len(texts)
+
+
 def test_alignment_is_the_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(40):

@@ -26,6 +26,7 @@ AT = r"(?:@|\s?[\[({]\s?(?:at|@|a|arroba)\s?[\])}]\s?|\sat\s|\sarroba\s)"
 EMAIL_PLAIN = re.compile(r"(?<![\w.%+'-])[\w.%+'-]*[\w%+-]@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 EMAIL_SPELT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)
 EMAIL_WORD = re.compile(r"(?<![\w.%+-])(?:[A-Za-z0-9._%+-]+\s(?:AT|ARROBA)|[A-Za-z0-9-]*[._%+\d][A-Za-z0-9._%+-]*\s(?:at|arroba))\s[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9-]*)+")
+SPELT_AT = re.compile(r" (?:AT|at|ARROBA|arroba) ")
 SPELT_HINT = re.compile(r"[\[({]\s?(?:dot|at|punkt|punto|point|arroba)\s?[\])}]|\s(?:dot|punkt|arroba)\s", re.I)
 
 PHONE = re.compile(r"(?<![\w.,/#+€$£-])(?:\+\d{1,3}[\s.-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[\s./-]?){2,6}\d|\(0?\d{1,4}\)[\s./-]?\d[\d\s./-]{4,12}\d|0\d{1,5}(?:[\s./-]?\d{1,8}){1,5}|[2-9]\d{2}[\s.-]\d{3}[\s.-]\d{3,4}|[6-9]\d{8})(?![\w/#€]|[.,-]\d)")
@@ -73,9 +74,9 @@ NAME_BEFORE = re.compile(
 )
 WORD_BEFORE = re.compile(NAME_BEFORE.pattern.replace('|:|>|^)', ')'), re.I)
 NAME_AFTER = re.compile(r"^\s*(?:said|says|wrote|writes|thinks|asked|asks|called|sagte|sagt|meinte|meint|schrieb|fragt|rief|dit|écrit|a écrit|demande|dijo|dice|escribió|pregunta|<|&lt;|[,!]?\s*(?:<br|</|\r?\n|$))", re.I)
-TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M\.|Monsieur|Madame|Sr\.?|Sra\.?|Señora?)\.?\s({UP}[\w'’-]+)")
-#: What a person's whole name follows, known or not.
-INTRODUCED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra?|Don|Doña|Dear|Liebe[r]?|Chère?|Estimad[oa]|Querid[oa]|[Mm]y name is|I am|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es|Ask|Regards,|Best,|Grüße,|Cordialement,|Saludos,)\.?\s+({UP}[\w'’-]+\s{UP}[\w'’-]+)(?![\w@]|\s{UP})")
+#: Titles, after which a surname is a name; and what a person's whole name follows, known or not.
+TITLES = ("Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.", "Herr", "Herrn", "Frau", "Mme", "M.", "Monsieur", "Madame", "Sr", "Sr.", "Sra", "Sra.", "Señor", "Señora")
+INTRODUCED = (*TITLES, "Don", "Doña", "Dear", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida", "y name is", "I am", "ch heiße", "ein Name ist", "e m'appelle", "e llamo", "i nombre es", "Ask", "Regards,", "Best,", "Grüße,", "Cordialement,", "Saludos,")
 #: What follows the name of an organisation.
 ORGANISATION = re.compile(r"^\s+(?:GmbH|SARL|Ltd|Coop|Works|Inc|AG|KG|SA|LLC|PLC|Team|Group)\b")
 
@@ -189,15 +190,15 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
             if SPELT_HINT.search(m.group()):
                 add(m.start(), m.end(), "email")
     blank = " ".join(text.split())
-    if " AT" in blank or " at" in blank or "rroba" in text or "RROBA" in text:
+    if any("." in after.split(" ", 1)[0][:-1] for after in SPELT_AT.split(blank)[1:]):
         for m in EMAIL_WORD.finditer(text):
             add(m.start(), m.end(), "email")
     before = lambda m, n=40: re.sub(r"\s+", " ", text[max(0, m.start() - n) : m.start()])
     clusters = [(max(0, m.start() - 8), m.end() + 6) for m in CLUSTER.finditer(text)]
     at = lambda pattern: (m for a, b in clusters for m in pattern.finditer(text, a, b))
     # numbers: each has a score for its form, one for its checksum - by how seldom chance fulfils it - and one for words near by
-    if clusters:
-        for m in IBAN.finditer(text):
+    for a, b in clusters:
+        for m in IBAN.finditer(text, a, b + 24):
             if 0.1 + 0.5 * iban_valid(m.group()) + 0.4 * bool(IBAN_WORDS.search(before(m))) >= 0.6:
                 add(m.start(), m.end(), "iban")
     for m in at(NINO):
@@ -245,10 +246,20 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         m = words[i]
         w = m.group()
         i += 1
-        if not names.is_given(w):
-            continue
+        given, family = names.look_up(w)
         nxt = words[i] if i < len(words) else None
         gap = text[m.end() : nxt.start()] if nxt else "x"
+        if not given:
+            head = text[max(0, m.start() - 24) : m.start()]
+            if head[-1:].isspace():
+                head = head.rstrip()
+                if family and head.endswith(TITLES):
+                    add(m.start(), m.end(), "person")
+                # a whole name that no header bears
+                elif len(gap) == 1 and gap.isspace() and head.endswith(INTRODUCED) and not ORGANISATION.match(text[m.end() : m.end() + 10]) and not ORGANISATION.match(text[nxt.end() : nxt.end() + 10]) and not (i + 1 < len(words) and words[i + 1].start() == nxt.end() + 1):
+                    add(m.start(), nxt.end(), "person")
+                    i += 1
+            continue
         if nxt and gap and gap.isspace() and gap.count("\n") < 2 and names.is_family(nxt.group()) and not (names.is_given(nxt.group()) and not names.is_family(nxt.group())):
             add(m.start(), nxt.end(), "person")
             i += 1
@@ -275,13 +286,6 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
             score += 0.15
         if score >= 0.49:
             add(m.start(), m.end(), "person")
-    for m in TITLED.finditer(text):
-        if names.is_family(m.group(1)):
-            add(m.start(1), m.end(1), "person")
-    # names of persons that no header bears
-    for m in INTRODUCED.finditer(text):
-        if not ORGANISATION.match(text[m.end() - len(m.group(1).split()[1]) - 1 : m.end() + 10]) and not ORGANISATION.match(text[m.end() : m.end() + 10]):
-            add(m.start(1), m.end(1), "person")
     return sorted(out)
 
 

@@ -36,6 +36,47 @@ def bm25_counts(df: DataFrame, length: str, terms: list[str], k1: float = 1.2, b
     return every.withColumn("score", score).select(*df.columns, "score")
 
 
+def updated_index(index: DataFrame, key: str, changed: DataFrame, words: Column) -> DataFrame:
+    """postings() after the rows of `changed` took the place of those with the same key; a row without words leaves the index."""
+    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(postings(changed, key, words))
+
+
+def keyword_search(texts: DataFrame, key: str, words: str, questions: DataFrame, limit: int, scope: Column | None = None, k1: float = 1.2, b: float = 0.75, most_terms: int = 100_000) -> DataFrame:
+    """(question, key, score, place): the `limit` texts that match each question best, by BM25 over its distinct terms.
+
+    texts hold an array of words a row, questions (question, terms) an array of terms; all terms together, at most
+    `most_terms`, go to every task, so that only their occurrences are counted and shuffled. Document frequencies, number and
+    mean length are those of all texts; `scope` narrows the finds afterwards. Ties go to the smaller key.
+    """
+    asked = questions.select("question", F.explode(F.array_distinct("terms")).alias("word"))
+    terms = [r["word"] for r in asked.select("word").distinct().limit(most_terms + 1).collect()]
+    if len(terms) > most_terms:
+        raise ValueError(f"more than {most_terms} terms")
+    rows = texts.withColumn("_length", F.size(words)).where(F.col("_length") > 0)
+    whole = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_mean"))
+    kept = rows if scope is None else rows.withColumn("_in", scope)
+    kept = kept.select(key, "_length", (F.lit(True) if scope is None else F.col("_in")).alias("_in"), F.explode(F.filter(words, lambda w: w.isin(terms) if terms else F.lit(False))).alias("word"))
+    tf = kept.groupBy(key, "_length", "_in", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    hits = tf.where("_in").join(F.broadcast(df), "word").join(F.broadcast(asked), "word").crossJoin(F.broadcast(whole))
+    idf = F.greatest(F.lit(1e-6), F.ln((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
+    scored = hits.groupBy("question", key).agg(F.round(F.sum(part), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), key))
+    return scored.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def fused(arms: list[DataFrame], key: str, limit: int, k: int = 60) -> DataFrame:
+    """(question, key, score, place): rank_fusion for each question of ranked lists (question, key, place), places from 1."""
+    every = None
+    for a, arm in enumerate(arms):
+        part = arm.select("question", key, (F.col("place") - 1).alias("place"), F.lit(a).alias("arm"))
+        every = part if every is None else every.unionByName(part)
+    g = every.groupBy("question", key).agg(F.round(F.sum(1.0 / (k + F.col("place"))), 9).alias("score"), F.min(F.struct("arm", "place")).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "_s"))
+    return g.withColumn("place", place).where(F.col("place") <= limit).select("question", key, "score", "place")
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows in `order`, with their 0-based place."""
     top = df.orderBy(*order).limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions.vectors import l2_distance
+from skein.functions.vectors import has_shape, l2_distance
 from skein.operators import merge, search
 from skein.runtime import spread
 from skein.sources import table
@@ -84,16 +84,15 @@ def domain_like(spark, folder):
 
 
 def first_per_domain(spark, folder):
-    """One mail a sender domain, in the order of a hash."""
-    df = emails(spark, folder, "from_addr").select("email_rowid", T.sender_domain(F.col("from_addr")).alias("domain")).where(F.col("domain").isNotNull())
-    order = F.md5(F.col("email_rowid").cast("string"))
-    return df.groupBy("domain").agg(F.min_by("email_rowid", order).alias("email_rowid"))
+    """One mail a sender domain, in the order of a hash of its message id."""
+    df = emails(spark, folder, "message_id", "from_addr").select("email_rowid", "message_id", T.sender_domain(F.col("from_addr")).alias("domain")).where(F.col("domain").isNotNull())
+    return df.groupBy("domain").agg(F.min_by("email_rowid", F.struct(T.text_hash(F.col("message_id")), "email_rowid")).alias("email_rowid"))
 
 
 def hash_sample(spark, folder):
-    """200 mails in the order of a hash: the same sample each time."""
-    df = emails(spark, folder, "account_id").withColumn("h", F.md5(F.col("email_rowid").cast("string")))
-    return df.orderBy("h", "email_rowid").limit(200).select("email_rowid", "account_id")
+    """200 mails in the order of a hash of the message id: the same sample each time."""
+    df = emails(spark, folder, "account_id", "message_id").withColumn("h", T.text_hash(F.col("message_id")))
+    return df.where("h is not null").orderBy("h", "email_rowid").limit(200).select("email_rowid", "account_id", F.col("h").alias("hash"))
 
 
 def unembedded(spark, folder):
@@ -189,24 +188,26 @@ def invalidated_vectors(spark, folder):
 
 
 def html_text(spark, folder):
-    """HTML bodies without markup, white space made one blank."""
-    text = F.trim(F.regexp_replace(T.strip_html(F.col("body")), r"[ \t\r\n]+", " "))
+    """HTML bodies without markup, the basic entities as characters, white space made one blank."""
+    text = F.trim(F.regexp_replace(T.basic_entities(T.strip_html(F.col("body"))), r"[ \t\r\n]+", " "))
     return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where((F.col("body_format") == "html") & F.col("chars").isNotNull()).drop("body_format")
 
 
 def quoteless_text(spark, folder):
-    """Text bodies without quoted lines: their lengths."""
-    text = F.regexp_replace(F.regexp_replace("body", "\r\n", "\n"), "(?m)^>[^\n]*\n?", "")
+    """Text bodies without quoted lines and what follows a signature delimiter."""
+    text = T.strip_quotes(F.col("body"))
     return emails(spark, folder, "body_format", chars=F.length(text), text_md5=F.md5(text)).where((F.col("body_format") == "text") & F.col("chars").isNotNull()).drop("body_format")
 
 
+def preprocessed_bodies(spark, folder):
+    """What bodies are read as: without markup, quotes and signature, cut."""
+    text = T.preprocessed(F.col("body"), F.col("body_format") == "html", 600)
+    return emails(spark, folder, chars=F.length(text), text_md5=F.md5(text)).where("chars is not null")
+
+
 def embedding_inputs(spark, folder):
     """What a mail's vector is made of: subject, sender and body."""
-    body = F.left(F.trim(F.regexp_replace("body", "[ \t\r\n]+", " ")), F.lit(8_000))
-    part = lambda label, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(label), F.trim(c)))
-    head = F.nullif(F.concat_ws("\n", part("Subject: ", F.col("subject")), part("From: ", F.col("from_addr"))), F.lit(""))
-    full = F.concat_ws("\n\n", head, F.nullif(body, F.lit("")))
-    return emails(spark, folder, input_md5=F.md5(full))
+    return emails(spark, folder, input_md5=F.md5(T.embedding_input(F.col("subject"), F.col("from_addr"), F.col("body"))))
 
 
 def content_hash(spark, folder):
@@ -242,36 +243,28 @@ def keyphrases(spark, folder):
     return search.class_keyphrases(words, "account_id")
 
 
-def chunk_knn(spark, folder):
-    """The 8 nearest chunks of an account and model for a logged query vector."""
-    q = table(spark, folder, "chunk_hits").where("query_vector is not null").agg(F.min_by(F.struct("account_id", "model_id", "query_vector"), "query_id").alias("q"))
-    v = table(spark, folder, "chunk_embeddings").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)))
-    near = v.select("chunk_rowid", "account_id", T.model_key(F.col("model_id")).alias("m"), "embedding").distinct().join(F.broadcast(q), (F.col("account_id") == F.col("q.account_id")) & (F.col("m") == T.model_key(F.col("q.model_id"))))
-    d = F.round(l2_distance(F.col("embedding"), F.col("q.query_vector")), 6)
-    return near.select("chunk_rowid", d.alias("distance")).orderBy("distance", "chunk_rowid").limit(8)
+def chunk_knn(spark, folder, limit=8):
+    """The 8 nearest chunks of the same account and model for every logged query vector."""
+    good = lambda c: has_shape(F.col(c), 64) & F.exists(c, lambda x: x != 0)
+    q = table(spark, folder, "chunk_hits").where(good("query_vector")).groupBy("query_id").agg(F.min(F.struct("account_id", T.model_key(F.col("model_id")).alias("model"), "query_vector")).alias("q")).select("query_id", "q.*")
+    v = table(spark, folder, "chunk_embeddings").where(good("embedding")).groupBy("chunk_rowid", "account_id", T.model_key(F.col("model_id")).alias("model")).agg(F.max_by("embedding", F.struct("created_at", "embedding")).alias("embedding"))
+    near = v.join(q, ["account_id", "model"]).select("query_id", "chunk_rowid", F.round(l2_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_rowid"))
+    return near.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def canonical_keys(spark, folder):
     """A key for each account's name, made unique by a number."""
-    key = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("display_name", F.lit("category"))), "[^a-z0-9]+", "_"), "^_|_$", "")
+    key = T.canonical_key(F.coalesce("display_name", F.lit("")))
     rn = F.row_number().over(Window.partitionBy("base").orderBy("created_at", "account_id"))
     return accounts(spark, folder).select("account_id", "created_at", key.alias("base")).withColumn("rn", rn).select("account_id", F.when(F.col("rn") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("rn").cast("string"))).alias("canonical_key"))
 
 
 def label_twins(spark, folder):
-    """Subjects of an account (of three words or more) that share three fifths of their words or more."""
-    df = emails(spark, folder, "account_id", "subject").where(F.col("account_id").startswith("acc-05"))
-    s = df.select(F.lower(F.trim("subject")).alias("label")).where(F.length("label") > 0).distinct().withColumn("w", F.array_distinct(F.regexp_extract_all("label", F.lit("([a-z0-9]+)"), 1))).where(F.size("w") >= 3)
-    word = s.select("label", "w", F.explode("w").alias("word"))
-    a, b = word.select("word", F.col("label").alias("left_label"), F.col("w").alias("wa")), word.select("word", F.col("label").alias("right_label"), F.col("w").alias("wb"))
-    pair = a.join(b, "word").where(F.col("left_label") < F.col("right_label")).groupBy("left_label", "right_label").agg(F.count(F.lit(1)).alias("shared"), F.first(F.size("wa")).alias("na"), F.first(F.size("wb")).alias("nb"))
-    return pair.withColumn("similarity", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).where("similarity >= 0.6").select("left_label", "right_label", "similarity")
-
-
-def account_label_twins(spark, folder):
-    """label_twins within each account, of all accounts; candidates share one of their rarest words.
+    """Subjects of an account (of three words or more) that share three fifths of their words or more, of all accounts.
 
-    Of n words, two labels that share three fifths have one of the n - ceil(0.6 n) + 1 rarest in common.
+    Candidates share one of their rarest words: of n words, two labels that share three fifths have one of the
+    n - ceil(0.6 n) + 1 rarest in common.
     """
     label = F.lower(F.trim("subject"))
     words = F.array_distinct(F.regexp_extract_all("label", F.lit("([a-z0-9]+)"), 1))
@@ -281,9 +274,8 @@ def account_label_twins(spark, folder):
     rare = rare.groupBy("account_id", "label").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by"))
     rare = rare.select("account_id", "label", "w", F.explode(F.slice("by.word", F.lit(1), (F.size("w") - F.ceil(F.size("w") * F.lit(0.6) - 1e-6) + 1).cast("int"))).alias("word"))
     a, b = (rare.select("account_id", "word", F.col("label").alias(f"{side}_label"), F.col("w").alias(f"{side}_w")) for side in ("left", "right"))
-    shared = F.size(F.array_intersect("left_w", "right_w"))
     pair = a.join(b, ["account_id", "word"]).where(F.col("left_label") < F.col("right_label"))
-    pair = pair.select("account_id", "left_label", "right_label", F.round(shared / (F.size("left_w") + F.size("right_w") - shared), 6).alias("similarity"))
+    pair = pair.select("account_id", "left_label", "right_label", F.round(T.label_similarity(F.col("left_w"), F.col("right_w")), 6).alias("similarity"))
     return pair.where("similarity >= 0.6").distinct()
 
 
@@ -307,8 +299,8 @@ def time_scoped_search(spark, folder):
 
 def subject_terms(spark, folder):
     """How many search terms each subject makes, and the first."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("([a-z0-9]{2,})"), 1))
-    return emails(spark, folder, terms=F.coalesce(F.least(F.size(terms), F.lit(16)), F.lit(0)), first_term=F.try_element_at(terms, F.lit(1)))
+    terms = T.search_terms(F.col("subject"))
+    return emails(spark, folder, terms=F.coalesce(F.size(F.when(F.col("subject").isNotNull(), terms)), F.lit(0)), first_term=F.try_element_at(terms, F.lit(1))).withColumn("terms", F.greatest("terms", F.lit(0)))
 
 
 def decoded_chunks(spark, folder):
@@ -324,20 +316,27 @@ def cascaded_delete(spark, folder):
     return keep("emails", "email_rowid").unionByName(keep("attachments", "attachment_id")).unionByName(keep("attachment_chunks", "chunk_rowid"))
 
 
-QUERIES = {f.__name__: f for f in (account_label_twins, time_scoped_search, subject_terms, decoded_chunks, cascaded_delete, recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
+QUERIES = {f.__name__: f for f in (preprocessed_bodies, time_scoped_search, subject_terms, decoded_chunks, cascaded_delete, recency_page, range_scan, folder_counts, folder_exclusion, account_kinds, account_eligibility, domain_frequency, domain_like, first_per_domain, hash_sample, unembedded, needs_fetch, vector_models, latest_vectors, orphan_vectors, attachment_stats, attachment_context, fetchable_attachments, failure_ledger, chunk_budget, filename_versions, merge_upsert_state, invalidated_vectors, html_text, quoteless_text, embedding_inputs, content_hash, keyword_bm25, rrf_fusion, keyphrases, chunk_knn, canonical_keys, label_twins, thread_trim)}
 
 _E = "with " + EMAILS_SQL
 _DOMAIN = r"nullif(regexp_extract(lower({c}), '@([^@\s>]+)[^@]*$', 1), '')"
 _MODEL = "regexp_replace(trim(model_id), '(?i):latest$', '')"
 _AT = "coalesce(date_ms, epoch_ms(indexed_at))"
+_FNV = "list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(message_id, ''), lambda c: unicode(c)::ubigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::bigint"
+_SPACE = r"[\t-\r\x{85}\pZ]+"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({c}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&amp;', '&')"
+_PLAIN = _ENTITIES.format(c="regexp_replace(regexp_replace({c}, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '<[^>]+>', ' ', 'g')")
+_QUOTELESS = r"regexp_replace(regexp_replace(replace({c}, chr(13) || chr(10), chr(10)), '(?s)(?:^|\n)-- ?(?:\n.*)?$', ''), '(?m)^>[^\n]*\n?', '', 'g')"
 _PUSH = """with d as (select email_rowid, folder, subject, body, body_format, body_fetched, indexed_at from emails where email_rowid is not null),
 s as (select * from (select *, row_number() over (partition by email_rowid order by indexed_at, folder) as rn from d) where rn = 1),
 p0 as (select * from (select *, row_number() over (partition by email_rowid order by indexed_at desc, folder desc) as rn from d) where rn = 1 and email_rowid % 3 <> 1),
 p as (select * exclude (body), case when email_rowid % 3 = 0 then left(body, 40) end as body from p0)"""
 
 ORACLE_SQL = {
+    "preprocessed_bodies": f"""{_E}, c as (select email_rowid, body_format, left(body, 2400) as body from e where body is not null), h as (select email_rowid, case when coalesce(body_format = 'html', false) then {_PLAIN.format(c='body')} else body end as x from c),
+t as (select email_rowid, left(trim(regexp_replace({_QUOTELESS.format(c='x')}, '{_SPACE}', ' ', 'g')), 600) as x from h) select email_rowid, length(x) as chars, md5(x) as text_md5 from t""",
     "time_scoped_search": f"{_E}, h as (select email_rowid, date_ms, coalesce(date_ms between 1740000000000 and 1750000000000, false) as inside from e where contains(lower(body), 'projector')) select email_rowid, date_ms from h where inside or not (select bool_or(inside) from h) order by date_ms desc nulls last, email_rowid limit 40",
-    "subject_terms": f"{_E}, t as (select email_rowid, regexp_extract_all(lower(subject), '[a-z0-9]{{2,}}') as w from e) select email_rowid, coalesce(least(len(list_distinct(w)), 16), 0) as terms, w[1] as first_term from t",
+    "subject_terms": f"{_E}, t as (select email_rowid, regexp_extract_all(lower(subject), '[\\pL\\pN]{{2,}}') as w from e), d as (select email_rowid, list_filter(w, lambda x, i: list_position(w, x) = i) as w from t) select email_rowid, case when w is null then 0 else least(len(w), 16) end as terms, w[1] as first_term from d",
     "decoded_chunks": "select distinct chunk_rowid, strlen(text) as bytes, strlen(text) <= 1000 as within from attachment_chunks where text is not null",
     "cascaded_delete": f"select 'emails' as table_name, count(distinct (account_id, email_rowid)) as rows from emails where account_id not like '{HOT}%' union all select 'attachments', count(distinct (account_id, attachment_id)) from attachments where account_id not like '{HOT}%' union all select 'attachment_chunks', count(distinct (account_id, chunk_rowid)) from attachment_chunks where account_id not like '{HOT}%'",
     "recency_page": f"{_E} select email_rowid, subject, {_AT} as sent_at from e where account_id like '{HOT}%' order by sent_at desc nulls last, email_rowid limit 50 offset 100",
@@ -350,8 +349,8 @@ select account_id, domain, guessed_kind, guessed_kind = kind as as_stored from k
     "account_eligibility": "select kind, count(*) filter (where not coalesce(exclude_from_discovery, true)) as eligible, count(*) as accounts from (select distinct * from accounts) group by kind",
     "domain_frequency": f"{_E} select {_DOMAIN.format(c='from_addr')} as domain, count(*) as mails, min(email_rowid) as first_rowid from e where {_DOMAIN.format(c='from_addr')} is not null group by 1",
     "domain_like": f"{_E} select email_rowid, from_addr from e where from_addr ilike '%!_%@%-mail.example%' escape '!' or from_addr ilike '%@ab%'",
-    "first_per_domain": f"{_E}, r as (select email_rowid, {_DOMAIN.format(c='from_addr')} as domain from e) select domain, email_rowid from (select *, row_number() over (partition by domain order by md5(cast(email_rowid as varchar))) as k from r where domain is not null) where k = 1",
-    "hash_sample": f"{_E} select email_rowid, account_id from e order by md5(cast(email_rowid as varchar)), email_rowid limit 200",
+    "first_per_domain": f"{_E}, r as (select email_rowid, {_FNV} as h, {_DOMAIN.format(c='from_addr')} as domain from e) select domain, email_rowid from (select *, row_number() over (partition by domain order by h, email_rowid) as k from r where domain is not null) where k = 1",
+    "hash_sample": f"{_E} select email_rowid, account_id, {_FNV} as hash from e where message_id is not null order by hash, email_rowid limit 200",
     "unembedded": f"{_E} select email_rowid, account_id from e where length(body) > 0 and not exists (select 1 from email_embeddings v where v.email_rowid = e.email_rowid and {_MODEL} = 'atlas-embed-64' and embedding is not null)",
     "needs_fetch": f"{_E} select email_rowid, account_id from e where not exists (select 1 from emails x where x.email_rowid = e.email_rowid and x.body_fetched)",
     "vector_models": f"select {_MODEL} as model, count(distinct email_rowid) as mails from email_embeddings group by 1",
@@ -367,10 +366,10 @@ select account_id, domain, guessed_kind, guessed_kind = kind as as_stored from k
 coalesce(p.body_format, s.body_format) as body_format, case when p.email_rowid is null then s.body_fetched else coalesce(s.body_fetched, false) or coalesce(p.body_fetched, false) end as body_fetched, strftime(s.indexed_at, '%Y-%m-%d %H:%M:%S') as at
 from s left join p on p.email_rowid = s.email_rowid""",
     "invalidated_vectors": f"{_PUSH}, g as (select p.email_rowid from p join s on s.email_rowid = p.email_rowid where p.body is not null and p.body is distinct from s.body) select distinct email_rowid, {_MODEL} as model from email_embeddings where email_rowid in (select email_rowid from g)",
-    "html_text": f"{_E}, t as (select email_rowid, trim(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as x from e where body_format = 'html' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
-    "quoteless_text": f"{_E}, t as (select email_rowid, regexp_replace(replace(body, chr(13) || chr(10), chr(10)), '(?m)^>[^\\n]*\\n?', '', 'g') as x from e where body_format = 'text' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
+    "html_text": f"{_E}, t as (select email_rowid, trim(regexp_replace({_PLAIN.format(c='body')}, '[ \\t\\r\\n]+', ' ', 'g')) as x from e where body_format = 'html' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
+    "quoteless_text": f"{_E}, t as (select email_rowid, {_QUOTELESS.format(c='body')} as x from e where body_format = 'text' and body is not null) select email_rowid, length(x) as chars, md5(x) as text_md5 from t",
     "embedding_inputs": f"""{_E}, t as (select email_rowid, nullif(concat_ws(chr(10), case when length(trim(subject)) > 0 then 'Subject: ' || trim(subject) end, case when length(trim(from_addr)) > 0 then 'From: ' || trim(from_addr) end), '') as head,
-nullif(left(trim(regexp_replace(body, '[ \\t\\r\\n]+', ' ', 'g')), 8000), '') as x from e) select email_rowid, md5(concat_ws(chr(10) || chr(10), head, x)) as input_md5 from t""",
+nullif(left(trim(regexp_replace(body, '{_SPACE}', ' ', 'g')), 8000), '') as x from e) select email_rowid, md5(concat_ws(chr(10) || chr(10), head, x)) as input_md5 from t""",
     "content_hash": f"{_E} select email_rowid, sha256(concat_ws('|', coalesce(subject, ''), coalesce(from_addr, ''), coalesce(body, ''))) as hash from e",
     "keyword_bm25": f"""{_E}, t as (select email_rowid, account_id, regexp_extract_all(lower(concat_ws(' ', subject, body)), '[a-z0-9]+') as w from e), s as (select * from t where len(w) > 0),
 a as (select count(*) as n, avg(len(w)) as avgl from s), h as (select email_rowid, account_id, len(w) as length, unnest(w) as word from s), i as (select email_rowid, account_id, length, word, count(*) as tf from h where word in ('projector', 'boiler', 'catalogue') group by all),
@@ -383,12 +382,11 @@ u as (select * from n1 union all select * from k2), g as (select email_rowid, ro
 select email_rowid, score from g order by score desc, seen limit 20""",
     "keyphrases": f"""{_E}, w as (select account_id, unnest(regexp_extract_all(lower(subject), '[a-z]{{3,}}')) as word from e), t as (select account_id, word, count(*) as tf from w group by all), d as (select word, count(*) as df from t group by 1), n as (select count(distinct account_id) as n from t),
 s as (select account_id, word, tf, round(tf * (1 + ln(n / df)), 6) as score from t join d using (word), n), r as (select *, row_number() over (partition by account_id order by score desc, word) as place from s) select account_id, word, tf, score, place from r where place <= 8""",
-    "chunk_knn": f"""with q as (select account_id, {_MODEL} as m, query_vector from chunk_hits where query_vector is not null order by query_id limit 1), v as (select distinct chunk_rowid, account_id, {_MODEL} as m, embedding from chunk_embeddings where len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: isnan(x))))
-select chunk_rowid, round(list_distance(embedding::double[], query_vector::double[]), 6) as distance from v join q on v.account_id = q.account_id and v.m = q.m order by distance, chunk_rowid limit 8""",
-    "canonical_keys": "with a as (select distinct * from accounts), b as (select account_id, created_at, regexp_replace(regexp_replace(lower(coalesce(display_name, 'category')), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') as base from a), r as (select *, row_number() over (partition by base order by created_at, account_id) as rn from b) select account_id, case when rn = 1 then base else base || '_' || rn end as canonical_key from r",
-    "label_twins": f"""{_E}, l as (select distinct lower(trim(subject)) as label from e where account_id like 'acc-05%' and length(trim(subject)) > 0), w as (select label, list_distinct(regexp_extract_all(label, '[a-z0-9]+')) as w from l), s as (select * from w where len(w) >= 3),
-x as (select a.label as left_label, b.label as right_label, len(list_intersect(a.w, b.w)) as shared, len(a.w) as na, len(b.w) as nb from s a join s b on a.label < b.label) select left_label, right_label, round(shared / (na + nb - shared), 6) as similarity from x where round(shared / (na + nb - shared), 6) >= 0.6""",
-    "account_label_twins": f"""{_E}, l as (select distinct account_id, lower(trim(subject)) as label from e where length(trim(subject)) > 0), w as (select account_id, label, list_distinct(regexp_extract_all(label, '[a-z0-9]+')) as w from l), s as (select * from w where len(w) >= 3),
+    "chunk_knn": f"""with q0 as (select query_id, account_id, {_MODEL} as m, query_vector from chunk_hits where len(query_vector) = 64 and not list_bool_or(list_transform(query_vector, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(query_vector, lambda x: x <> 0))), q as (select * from (select *, row_number() over (partition by query_id order by account_id, m, query_vector) as k from q0) where k = 1),
+v0 as (select chunk_rowid, account_id, {_MODEL} as m, embedding, created_at from chunk_embeddings where len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))), v as (select * from (select *, row_number() over (partition by chunk_rowid, account_id, m order by created_at desc, embedding desc) as k from v0) where k = 1),
+d as (select query_id, chunk_rowid, round(list_distance(embedding::double[], query_vector::double[]), 6) as distance from v join q on v.account_id = q.account_id and v.m = q.m) select query_id, chunk_rowid, distance, place from (select *, row_number() over (partition by query_id order by distance, chunk_rowid) as place from d) where place <= 8""",
+    "canonical_keys": "with a as (select distinct * from accounts), b as (select account_id, created_at, coalesce(nullif(left(replace(trim(regexp_replace(lower(strip_accents(coalesce(display_name, ''))), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), 60), ''), 'category') as base from a), r as (select *, row_number() over (partition by base order by created_at, account_id) as rn from b) select account_id, case when rn = 1 then base else base || '_' || rn end as canonical_key from r",
+    "label_twins": f"""{_E}, l as (select distinct account_id, lower(trim(subject)) as label from e where length(trim(subject)) > 0), w as (select account_id, label, list_distinct(regexp_extract_all(label, '[a-z0-9]+')) as w from l), s as (select * from w where len(w) >= 3),
 x as (select a.account_id, a.label as left_label, b.label as right_label, len(list_intersect(a.w, b.w)) as shared, len(a.w) as na, len(b.w) as nb from s a join s b on a.account_id = b.account_id and a.label < b.label) select account_id, left_label, right_label, round(shared / (na + nb - shared), 6) as similarity from x where round(shared / (na + nb - shared), 6) >= 0.6""",
     "thread_trim": f"""{_E}, t as (select email_rowid, account_id, lower(trim(regexp_replace(subject, '(?i)^((re|aw|fwd) *: *)+', ''))) as thread, {_AT} as sent_at, coalesce(length(body), 0) as chars from e), r as (select *, row_number() over (partition by account_id, thread order by sent_at desc, email_rowid) as place, sum(chars) over (partition by account_id, thread order by sent_at desc, email_rowid rows unbounded preceding) as used from t where length(thread) > 0)
 select email_rowid, place, cast(used as bigint) as used from r where place <= 8 and (place = 1 or used <= 4000)""",

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import cosine, l2_distance
+from skein.functions.text import model_key
+from skein.functions.vectors import cosine, has_shape, l2_distance, unit
 from skein.operators import clustering, prototypes
 from skein.operators.search import ranked
 from skein.sources import table
@@ -31,8 +32,8 @@ def centroids(spark, folder) -> DataFrame:
     return prototypes.mean_vectors(vectors(spark, folder), "category")
 
 
-def ranking(spark, folder) -> DataFrame:
-    return prototypes.ranked_categories(vectors(spark, folder), centroids(spark, folder).select("category", "centroid"), "vec_id")
+def ranking(spark, folder, first: int | None = 3) -> DataFrame:
+    return prototypes.ranked_categories(vectors(spark, folder), centroids(spark, folder).select("category", "centroid"), "vec_id", first=first)
 
 
 def knn_topk(spark, folder):
@@ -73,10 +74,8 @@ def strict_gate(spark, folder):
 
 
 def shortlist_counts(spark, folder):
-    """How many categories lie within 0.08 of a vector's best confidence."""
-    r = ranking(spark, folder).withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("distance") * F.col("distance") / 2))
-    best = F.max("confidence").over(Window.partitionBy("vec_id"))
-    return r.where(F.col("confidence") >= 0).withColumn("best", best).where(F.col("best") - F.col("confidence") <= 0.08).groupBy("vec_id").agg(F.count(F.lit(1)).alias("close"))
+    """How many categories a vector's closer reading starts from: the first three, or all where more than three are within 0.08 of the best."""
+    return prototypes.shortlist(ranking(spark, folder, None), "vec_id", few=3).groupBy("vec_id").agg(F.count(F.lit(1)).alias("categories"), F.round(F.min("confidence"), 6).alias("least"))
 
 
 def nearest_category(spark, folder):
@@ -202,11 +201,13 @@ def running_means(spark, folder):
 
 
 def filled_distances(spark, folder):
-    """Distances of keyword finds to vector 0: from the stored vector, else the square root of two."""
-    v = vectors(spark, folder)
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    near = v.where("vec_id % 5 <> 2").crossJoin(F.broadcast(q)).select("vec_id", l2_distance(F.col("embedding"), F.col("q")).alias("d"))
-    return v.where("vec_id < 60").select("vec_id").join(near, "vec_id", "left").select("vec_id", F.round(F.coalesce("d", F.sqrt(F.lit(2.0))), 6).alias("distance"))
+    """Distances to vector 0 of all mails with a word: from the mail's current vector, else the square root of two."""
+    q = vectors(spark, folder).where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    hits = table(spark, folder, "emails").where(F.lower("body").contains("projector")).select("email_rowid").distinct()
+    good = has_shape(F.col("embedding"), 64) & F.exists("embedding", lambda x: x != 0)
+    v = table(spark, folder, "email_embeddings").where(good & (model_key(F.col("model_id")) == "atlas-embed-64")).groupBy("email_rowid").agg(F.max_by("embedding", F.struct("created_at", "embedding")).alias("v"))
+    near = hits.join(v, "email_rowid", "left").crossJoin(F.broadcast(q))
+    return near.select("email_rowid", F.round(F.coalesce(l2_distance(unit(F.col("v")), F.col("q")), F.sqrt(F.lit(2.0))), 6).alias("distance"))
 
 
 def vector_lengths(spark, folder):
@@ -234,7 +235,9 @@ _P = _C + """, pair as (select p.category, q.category as nearest, list_cosine_si
 _GATE = _R + """, f as (select *, greatest(0, least(1, 1 - distance * distance / 2)) as confidence from r), g as (select a.vec_id, a.category, a.confidence, b.confidence as second from f a left join f b on b.vec_id = a.vec_id and b.place = 2 where a.place = 1)"""
 
 ORACLE_SQL = {
-    "filled_distances": "select vec_id, round(case when vec_id % 5 <> 2 then list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) else sqrt(2.0) end, 6) as distance from embeddings where vec_id < 60",
+    "filled_distances": """with h as (select distinct email_rowid from emails where contains(lower(body), 'projector') and email_rowid is not null), v0 as (select email_rowid, embedding::double[] as v, created_at, embedding from email_embeddings where regexp_replace(trim(model_id), '(?i):latest$', '') = 'atlas-embed-64' and len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+v as (select * from (select *, row_number() over (partition by email_rowid order by created_at desc, embedding desc) as k from v0) where k = 1), u as (select email_rowid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v)
+select h.email_rowid, round(case when v is null then sqrt(2.0) else list_distance(v, (select embedding::double[] from embeddings where vec_id = 0)) end, 6) as distance from h left join u using (email_rowid)""",
     "vector_lengths": "select len(embedding) as dim, count(*) as vectors, count(*) filter (where abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 0.001) as off from embeddings group by 1",
     "tag_plan": f"with {_A}, w as (select distinct vec_id, 'cat_' || category as tag from a), o as (select distinct vec_id, unnest(['important', 'user_' || (vec_id % 3)]) as tag from a), u as (select * from w union select * from o) select vec_id, string_agg(tag, ',' order by tag) as tags, bool_or(tag = 'cat_' || (vec_id % 10)) as kept from u group by 1",
     "knn_topk": "select vec_id, round(list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as distance from embeddings order by distance, vec_id limit 10",
@@ -244,7 +247,7 @@ ORACLE_SQL = {
     "multi_label_match": f"with {_R}, b as (select *, min(distance) over (partition by vec_id) as best from r) select vec_id, category, round(distance, 6) as distance from b where best < 1.3501 and distance <= least(1.3501, best + 0.1) and place <= 3",
     "fast_gate": f"with {_GATE} select vec_id, category, round(confidence, 6) as confidence from g where confidence >= 0.3001 and (second is null or confidence - second >= 0.1001)",
     "strict_gate": f"with {_GATE} select vec_id, category, round(confidence, 6) as confidence from g where confidence >= 0.3001 and (second is null or second <= 0.2001)",
-    "shortlist_counts": f"with {_R}, f as (select *, greatest(0, 1 - distance * distance / 2) as confidence from r), b as (select *, max(confidence) over (partition by vec_id) as best from f) select vec_id, count(*) as close from b where best - confidence <= 0.08 group by 1",
+    "shortlist_counts": f"with {_R}, f as (select *, greatest(0, least(1, 1 - distance * distance / 2)) as confidence from r), b as (select *, max(confidence) over (partition by vec_id) as best, count(*) over (partition by vec_id) as n from f), k as (select *, count(*) filter (where best - confidence <= 0.08) over (partition by vec_id) as close from b) select vec_id, count(*) as categories, round(min(confidence), 6) as least from k where n <= 3 or close > 3 or place <= 3 group by 1",
     "nearest_category": f"with {_P} select category, nearest, round(overlap, 6) as overlap from n",
     "category_health": f"""with {_A}, {_P}, h as (select a.category, count(*) as members, count(*) filter (where assigned_by = 'user') as user_members, round(avg(list_cosine_similarity(embedding::double[], centroid)), 6) as cohesion from a join embeddings using (vec_id) join c on c.category = a.category where confidence >= 0.6 group by 1)
 select h.category, members, user_members, cohesion, nearest, round(overlap, 6) as overlap, round(members / sum(members) over (), 6) as share from h join n using (category)""",

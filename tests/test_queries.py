@@ -54,7 +54,7 @@ def test_label_twins_of_all_accounts(spark, tmp_path):
     spark.createDataFrame(mails, "email_rowid long, account_id string, folder string, subject string").withColumn("indexed_at", F.current_timestamp()).write.parquet(f"{tmp_path}/emails.parquet")
     labels = {(account, s): set(s.split()) for _, account, _, s in mails if s and len(set(s.split())) >= 3}
     want = {(c, x, y, round(len(v & w) / len(v | w), 6)) for (c, x), v in labels.items() for (d, y), w in labels.items() if c == d and x < y and len(v & w) >= 0.6 * len(v | w)}
-    got = catalog.QUERIES["account_label_twins"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["label_twins"](spark, str(tmp_path)).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want) and len({x[0] for x in want}) == 3
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skein.plans import events, mail, taxonomy
+from skein.plans import events, mail, retrieval, taxonomy
 
-QUERIES: dict = mail.QUERIES | taxonomy.QUERIES | events.QUERIES
-ORACLE_SQL: dict[str, str] = mail.ORACLE_SQL | taxonomy.ORACLE_SQL | events.ORACLE_SQL
+MODULES = (mail, taxonomy, events, retrieval)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

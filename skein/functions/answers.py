@@ -51,3 +51,21 @@ def batch_answers(text: str | None, n: int) -> list[list[int] | None]:
         return [None] * n
     one = lambda v: [int(x) for x in v if str(x).lstrip("-").isdigit()] if isinstance(v, list) else [int(v)] if isinstance(v, int) and not isinstance(v, bool) else None
     return [one(v) for v in (got + [None] * n)[:n]]
+
+
+def rerank_order(text: str | None, n: int) -> list[int]:
+    """The places 0..n-1 in the order of the first list of numbers in an answer: valid ones once each, then the others as they stood."""
+    def numbers(v):
+        if isinstance(v, dict):
+            v = next(iter(v.values()), None)
+            return numbers(v)
+        if isinstance(v, list):
+            return [x for i in v for x in (numbers(i) if isinstance(i, (list, dict)) else [i])]
+        return []
+
+    try:
+        got = numbers(json.loads(unfenced(text or "")))
+    except ValueError:
+        got = []
+    order = list(dict.fromkeys(x for x in got if isinstance(x, int) and not isinstance(x, bool) and 0 <= x < n))
+    return order + [i for i in range(n) if i not in order]

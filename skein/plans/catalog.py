@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skein.plans import events, mail, retrieval, taxonomy
+from skein.plans import events, mail, retrieval, state, taxonomy, texts
 
-MODULES = (mail, taxonomy, events, retrieval)
+MODULES = (mail, taxonomy, events, retrieval, state, texts)
 QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.runtime import shared_dir
 from skein.sources import table
 from skein.streaming import incremental
 
@@ -108,10 +111,27 @@ def stream_bucket_counts(spark, folder):
 
 
 def stream_sessions(spark, folder):
-    """Each user's sessions, six hours apart, from the stream; those that the watermark has not closed are missing."""
+    """Each user's sessions, six hours apart, from the stream: closed ones and, where the log ends, those still open."""
     log = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "*events.parquet").parquet(folder)
     s = incremental.session_batches(log.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", "6 hours", "1 hour")
-    return incremental.replayed(s, "append", "user_id long, started timestamp, ended timestamp, events long")
+    got = incremental.replayed(s, "complete", "user_id long, started timestamp, ended timestamp, events long")
+    return got.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events")
+
+
+def stream_state(spark, folder):
+    """Each user's last event, kept as snapshots that micro-batches merge into: a batch that is replayed changes nothing."""
+    schema = table(spark, folder, "events").schema
+    root = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    state = incremental.Snapshots(f"{root}/state", ["user_id"], {c: lambda o, n: F.when((n["ts"] > o["ts"]) | (n["ts"] == o["ts"]) & (n["event_id"] > o["event_id"]), n).otherwise(o) for c in ("last",)})
+    log = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(folder).select("user_id", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").alias("last"))
+
+    def write(batch: DataFrame, n: int) -> None:
+        state.merge(batch, n)
+        state.merge(batch, n)  # a replay of the same batch
+
+    log.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    out = state.read(spark)
+    return out.select("user_id", "last.event_id", "last.event_type")
 
 
 def triage_stream(spark, folder):
@@ -120,12 +140,17 @@ def triage_stream(spark, folder):
     return log.withColumn("bucket", F.element_at(F.create_map(*[F.lit(x) for kv in PURPOSE.items() for x in kv]), F.col("event_type")))
 
 
-QUERIES = {f.__name__: f for f in (stream_bucket_counts, stream_sessions, bucket_counts, section_counts, priority_list, carry_over, json_importance, dashboard_counts, event_tumbling, event_sessions, running_bucket_counts, pending, priced_orders)}
+QUERIES = {f.__name__: f for f in (stream_bucket_counts, stream_sessions, stream_state, bucket_counts, section_counts, priority_list, carry_over, json_importance, dashboard_counts, event_tumbling, event_sessions, running_bucket_counts, pending, priced_orders)}
 
 _T = """t as (select event_id, user_id, ts, case event_type when 'error' then 'urgent' when 'purchase' then 'personal' when 'signup' then 'spam' when 'view' then 'summarize' when 'click' then 'summarize' end as bucket, value, coalesce(cast(json_extract_string(props, '$.k') as double), 0) as importance, value > 60 as action_required from events),
 s as (select *, case when bucket = 'urgent' or action_required then 'needs_action' when importance >= 60 and bucket <> 'spam' then 'important' when bucket = 'summarize' then 'summaries' else 'low_priority' end as section from t)"""
 
+_SESSIONS = """with g as (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours then 0 else 1 end as fresh from events), n as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as events from n group by user_id, s"""
+
 ORACLE_SQL = {
+    "stream_sessions": _SESSIONS,
+    "stream_state": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1",
     "stream_bucket_counts": f"with {_T} select bucket, count(*) as events from t group by 1",
     "bucket_counts": f"with {_T} select b.bucket, count(t.event_id) as events from (select unnest(['urgent', 'personal', 'summarize', 'spam', 'newsletter']) as bucket) b left join t on t.bucket = b.bucket group by 1",
     "section_counts": f"with {_T} select user_id, count(*) filter (where section = 'needs_action') as needs_action, count(*) filter (where section = 'important') as important, count(*) filter (where section = 'summaries') as summaries, count(*) filter (where section = 'low_priority') as low_priority, count(*) filter (where bucket = 'urgent') as urgent from s group by 1",
@@ -134,8 +159,7 @@ ORACLE_SQL = {
     "json_importance": f"with {_T} select bucket, round(avg(importance), 6) as importance, count(*) filter (where importance = 0) as without from t group by 1",
     "dashboard_counts": f"with {_T} select count(*) as events, count(distinct user_id) as users, count(*) filter (where bucket = 'urgent') as urgent, count(*) filter (where ts > (select max(ts) from t) - interval 1 day) as last_day from t",
     "event_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as events, round(sum(value), 4) as value from events group by 1, 2",
-    "event_sessions": """with g as (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours then 0 else 1 end as fresh from events), n as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as events from n group by user_id, s""",
+    "event_sessions": _SESSIONS,
     "running_bucket_counts": f"with {_T} select event_id, bucket, count(*) over (partition by user_id, bucket order by ts, event_id rows unbounded preceding) as so_far from t",
     "pending": "select event_id, user_id from (select *, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is null or nxt > ts + interval 1 day",
     "priced_orders": "select n_name as nation, year(o_orderdate) as year, cast(sum(l_extendedprice::decimal(12,2) * (1 - l_discount::decimal(4,2))) as double) as revenue, count(distinct o_custkey) as customers from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",

@@ -68,7 +68,7 @@ def leader_clusters(vectors: DataFrame, group: str, key: str, vector: str = "emb
     def cluster(pdf):
         pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
         if not len(pdf):
-            return pd.DataFrame({"g": [], "k": [], "cluster": []})
+            return pd.DataFrame({"g": [], "k": [], "cluster": []}, dtype=object)
         x = np.stack(pdf.v.to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         own = leaders(x, fnv1a32(str(pdf.g.iloc[0])), join)
@@ -108,11 +108,11 @@ def grouped(fn, rows: DataFrame, schema: str) -> DataFrame:
 
     def run(pdf):
         pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
-        if not len(pdf):
-            return pd.DataFrame({n: [] for n in names})
-        x = np.stack(pdf.v.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame(fn(str(pdf.g.iloc[0]), pdf.k.to_numpy(), x), columns=names)
+        out = []
+        if len(pdf):
+            x = np.stack(pdf.v.to_numpy()).astype(float)
+            out = fn(str(pdf.g.iloc[0]), pdf.k.to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+        return pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names}, dtype=object)
 
     return rows.groupBy("g").applyInPandas(run, schema)
 
@@ -180,7 +180,7 @@ def sender_clusters(mails: DataFrame, sender: str, key: str, vector: str = "embe
     def cluster(pdf):
         pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
         if not len(pdf):
-            return pd.DataFrame({"g": [], "k": [], "cluster": []})
+            return pd.DataFrame({"g": [], "k": [], "cluster": []}, dtype=object)
         x = np.stack(pdf.v.to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         own = first_fit(x, threshold)
@@ -207,7 +207,7 @@ def sub_prototypes(vectors: DataFrame, group: str, key: str, vector: str = "embe
 
     def split(pdf):
         pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
-        none = pd.DataFrame({"g": [], "part": [], "size": [], "cohesion": []})
+        none = pd.DataFrame({"g": [], "part": [], "size": [], "cohesion": []}, dtype=object)
         if len(pdf) < 2 * least:
             return none
         x = np.stack(pdf.v.to_numpy()).astype(float)
@@ -236,7 +236,7 @@ def running_means(vectors: DataFrame, group: str, key: str, vector: str = "embed
     def fold(pdf):
         pdf = pdf.dropna(subset=["v"]).sort_values("k").drop_duplicates("k")
         if not len(pdf):
-            return pd.DataFrame({"g": [], "size": [], "axis": [], "v": []})
+            return pd.DataFrame({"g": [], "size": [], "axis": [], "v": []}, dtype=object)
         x = np.stack(pdf.v.to_numpy()).astype(float)
         c = running_mean(np.zeros(x.shape[1]), 0, x)
         return pd.DataFrame({"g": str(pdf.g.iloc[0]), "size": len(x), "axis": range(x.shape[1]), "v": c})

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.runtime import shared_dir
+from skein.runtime import scratch
 from skein.sources import table
 from skein.streaming import incremental
 
@@ -121,7 +119,7 @@ def stream_sessions(spark, folder):
 def stream_state(spark, folder):
     """Each user's last event, kept as snapshots that micro-batches merge into: a batch that is replayed changes nothing."""
     schema = table(spark, folder, "events").schema
-    root = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    root = scratch(spark)
     state = incremental.Snapshots(f"{root}/state", ["user_id"], {c: lambda o, n: F.when((n["ts"] > o["ts"]) | (n["ts"] == o["ts"]) & (n["event_id"] > o["event_id"]), n).otherwise(o) for c in ("last",)})
     log = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(folder).select("user_id", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").alias("last"))
 

@@ -13,21 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder all executors share, from spark.checkpoint.dir. In local mode, where it may be unset, a temporary one; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that materialize() gave, once nothing reads it any more."""
+    path = getattr(df, "_skein_path", None)
+    if path:
+        fs, p = _path(df.sparkSession, path)
+        fs.delete(p, True)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: the lineage is cut and no executor holds the only copy."""
-    path = f"{shared_dir(df.sparkSession)}/skein-{uuid.uuid4().hex}"
+    """Write df to a table in the shared folder and read it back: the lineage is cut and no executor holds the only copy.
+
+    The table goes when the driver's JVM ends, or by discard().
+    """
+    path = scratch(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.operators.merge import Rule, keyed_merge
-from skein.runtime import shared_dir
+from skein.runtime import scratch
 
 
 def running_counts(stream: DataFrame, column: str) -> DataFrame:
@@ -28,7 +27,7 @@ def session_batches(stream: DataFrame, keys: list[str], time: str, gap: str, lat
 def replayed(stream: DataFrame, mode: str, schema: str) -> DataFrame:
     """Run a stream over what its source holds now and read what it wrote last (complete) or in all (append)."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    root = scratch(spark)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/{'state' if mode == 'complete' else f'batch={n}'}")

@@ -158,3 +158,109 @@ def test_clusters_of_empty_groups(spark):
     assert clustering.leader_clusters(v, "g", "k").count() == 0 and clustering.sender_clusters(v, "g", "k").count() == 0
     one = spark.createDataFrame([("a", 1, None), ("a", 2, [1.0, 0.0]), ("a", 2, [1.0, 0.0])], "g string, k long, embedding array<float>")
     assert clustering.leader_clusters(one, "g", "k").count() == 0 and [(r.k, r.cluster) for r in clustering.sender_clusters(one, "g", "k").collect()] == [(2, 2)]
+
+
+def test_leaders_take_in_what_overflows():
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (900, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = clustering.leaders(x, 3, core=300, most=40, least=1)
+    assert (own >= 0).all() and len(set(own.tolist())) == 40
+    # against a plain rendering: the first leader near enough, else a new one, else the nearest
+    centres, counts, want = [], [], {}
+    for step, i in enumerate(clustering.SeededRandom(3).shuffled(len(x)).tolist()):
+        sims = [float(c @ x[i]) for c in centres]
+        c = next((k for k, s in enumerate(sims) if s >= 0.75), None)
+        if c is None and step < 300 and len(centres) < 40:
+            centres.append(np.zeros(64)), counts.append(0)
+            c = len(centres) - 1
+        elif c is None:
+            c = int(np.argmax(sims))
+        m = centres[c] * counts[c] + x[i]
+        centres[c], counts[c], want[i] = m / np.linalg.norm(m), counts[c] + 1, c
+    assert own.tolist() == [want[i] for i in range(len(x))]
+
+
+def test_measures_of_clusters():
+    x = np.concatenate([np.tile(np.eye(4)[0], (5, 1)), np.tile(np.eye(4)[1], (3, 1))])
+    assert clustering.measures(x, np.array([0] * 5 + [2] * 3), 1) == {0: (5, 1.0, 1.0), 2: (3, 1.0, 1.0)}
+    assert clustering.measures(x, np.array([0] * 5 + [-1] * 3), 1) == {0: (5, 1.0, 1.0)} and clustering.measures(x, np.full(8, -1), 1) == {}
+    big = np.random.default_rng(2).normal(1, 0.2, (700, 8))
+    big /= np.linalg.norm(big, axis=1, keepdims=True)
+    (size, tight, apart), = clustering.measures(big, np.zeros(700, int), 5).values()
+    assert size == 700 and 0.9 < tight < 1 and apart == 1
+
+
+def test_splits_need_members_gain_and_gap(spark):
+    r = np.random.default_rng(7)
+    near = lambda axis, n: [(np.eye(16)[axis] + r.normal(0, 0.03, 16)).tolist() for _ in range(n)]
+    rows = [("two", i, v) for i, v in enumerate(near(0, 8) + near(1, 7))] + [("one", 100 + i, v) for i, v in enumerate(near(2, 15))] + [("few", 200 + i, v) for i, v in enumerate(near(0, 5) + near(1, 5))] + [("none", 300, None)]
+    got = clustering.split_children(spark.createDataFrame(rows, "g string, k long, embedding array<double>"), "g", "k").collect()
+    assert sorted((x.g, x.part, x.size) for x in got) == [("two", 1, 8), ("two", 2, 7)]
+
+
+def test_samples_are_diverse_and_repeat():
+    from skein.operators import sampling
+
+    items = [(i, f"d{i % 5}") for i in range(50)]
+    got = sampling.diverse(items, 8, 3)
+    assert len({d for _, d in got[:5]}) == 5 and got == sampling.diverse(items, 8, 3) != sampling.diverse(items, 8, 4)
+    both = sampling.mixed(items, 9, 3)
+    assert both[:5] == sampling.diverse(items, 5, 3) and len(set(both)) == 9 and len(sampling.mixed(items[:3], 9, 3)) == 3
+    assert clustering.SeededRandom(1).next() == 0.6270739405881613
+
+
+def test_ranking_in_blocks_equals_ranking_at_once(spark):
+    from skein.operators import prototypes
+
+    r = np.random.default_rng(1)
+    protos = spark.createDataFrame([(i % 7, r.normal(0, 1, 6).tolist()) for i in range(20)] + [(None, [0.0] * 6), (3, None)], "category int, centroid array<double>")
+    v = spark.createDataFrame([(i, r.normal(0, 1, 6).tolist()) for i in range(30)] + [(98, None), (99, [1.0])], "k long, embedding array<double>")
+    show = lambda df: sorted((x.k, x.category, round(x.distance, 9), x.place) for x in df.collect())
+    whole = show(prototypes.ranked_categories(v, protos, "k"))
+    assert len(whole) == 30 * 7 and whole == show(prototypes.ranked_categories(v, protos, "k", block=6))
+    assert [x for x in whole if x[3] <= 2] == show(prototypes.ranked_categories(v, protos, "k", first=2)) == show(prototypes.ranked_categories(v, protos, "k", first=2, block=6))
+    assert prototypes.ranked_categories(v, protos.where("category > 99"), "k").count() == 0
+
+
+def test_shortlists(spark):
+    from skein.operators import prototypes
+
+    rows = [(1, c, 0.1 + 0.001 * c, c + 1) for c in range(14)] + [(2, c, 0.1 * (c + 1), c + 1) for c in range(14)] + [(3, c, 0.3, c + 1) for c in range(10)]
+    got = prototypes.shortlist(spark.createDataFrame(rows, "k long, category int, distance double, place int"), "k").groupBy("k").count().collect()
+    assert {x["k"]: x["count"] for x in got} == {1: 14, 2: 12, 3: 10}
+
+
+def test_text_functions_by_examples(spark):
+    r = spark.createDataFrame([("Élan_Überblick2024Final.PDF", "a&lt;b&#33;&#x41;&nbsp;&amp;lt;&bogus;", "Hi  all\n> q\nbye\n-- \nme", "Ünïcode & Co./Ltd\\x", "")], "f string, e string, b string, l string, n string").select(
+        T.filename_words(F.col("f")), T.basic_entities(F.col("e")), T.preprocessed(F.col("b"), F.lit(False), 100), T.canonical_key(F.col("l")), T.folder_name(F.col("l")), T.tag_key("T-", F.col("l")), T.canonical_key(F.col("n")), T.folder_name(F.col("n")), T.index_words(F.col("l"))
+    ).first()
+    assert list(r) == ["elan uberblick2024 final pdf", "a<b!A\xa0&lt;&bogus;", "Hi all bye", "unicode_co_ltd_x", "Ünïcode & Co.-Ltd-x", "t-_n_code___co__ltd_x", "category", "Category", ["unicode", "co", "ltd", "x"]]
+    assert T.safe_slice("ab\U0001f600c", 3) == "ab" and T.safe_slice("ab\U0001f600c", 4) == "ab\U0001f600" and T.safe_slice(None, 3) is None
+    assert T.chunked(None) == [] and T.chunked(" \n ") == [] and T.chunked("x" * 1200) == ["x" * 1200] and [len(c) for c in T.chunked("x" * 3000)] == [1200, 1200, 900]
+    assert T.chunked("a" * 700 + "\n\n" + "b" * 900)[0] == "a" * 700
+
+
+def test_answers_as_orders():
+    assert answers.rerank_order("[3, 1, 1, 9, -2]", 4) == [3, 1, 0, 2] and answers.rerank_order('```\n{"order": [[2], 0]}\n```', 3) == [2, 0, 1] and answers.rerank_order("no", 2) == [0, 1] and answers.rerank_order(None, 0) == []
+
+
+def test_tables_are_discarded(spark):
+    import os
+
+    from skein.runtime import discard, materialize
+
+    df = materialize(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 3 and os.path.isdir(path)
+    discard(df)
+    assert not os.path.exists(path)
+
+
+def test_index_updates_and_searches_of_nothing(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, None)], "k long, w array<string>")
+    index = search.updated_index(search.postings(docs, "k", F.col("w")), "k", spark.createDataFrame([(1, ["c"]), (2, None), (9, ["a"])], "k long, w array<string>"), F.col("w"))
+    assert sorted((r.k, r.word) for r in index.collect()) == [(1, "c"), (9, "a")]
+    q = spark.createDataFrame([(0, ["a", "a"]), (1, []), (2, ["zz"])], "question int, terms array<string>")
+    assert [(r.question, r.k, r.place) for r in search.keyword_search(docs, "k", "w", q, 5).collect()] == [(0, 1, 1)]
+    assert search.keyword_search(docs.limit(0), "k", "w", q, 5).count() == 0

@@ -176,16 +176,28 @@ def near_duplicates(rows: DataFrame, least: float = 0.7, number: int = 32, k: in
     weights = words.sparkSession.sparkContext.broadcast(word_weights(words.groupBy("copies").agg(F.min_by("words", "rowid").alias("words"))))
 
     def sketch(batches):
+        seen: set[int] = set()  # a task sends each text's sketches once; more than so many texts are forgotten, and told apart after the shuffle
         for b in batches:
             for i in range(0, b.num_rows, 1_000):
                 part = b.slice(i, 1_000)
-                ids, counts = unpacked(part["words"].to_pylist())
+                data, fresh = part["words"].to_pylist(), []
+                for j, w in enumerate(data):
+                    h = xxhash.xxh64_intdigest(w)
+                    if h not in seen:
+                        seen.add(h)
+                        fresh.append(j)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if not fresh:
+                    continue
+                ids, counts = unpacked([data[j] for j in fresh])
                 keys = sketches(ids, counts, weights.value, number, k)
-                yield pa.RecordBatch.from_arrays([part["copies"], pa.array(counts.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), number).cast(pa.list_(pa.int64()))], ["copies", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part["copies"].take(pa.array(fresh)), pa.array(counts.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), number).cast(pa.list_(pa.int64()))], ["copies", "size", "keys"])
 
     keyed = words.where(F.octet_length("words") >= 3 * (k + 1)).select("copies", "words").mapInArrow(sketch, "copies long, size int, keys array<long>")
     # equal texts have equal words but maybe another order, so each order's sketches stay
-    bands = keyed.select(F.explode("keys").alias("key"), "copies", "size").distinct()
+    # one shuffle, by sketch, serves the removal of repeats and the join
+    bands = keyed.select(F.explode("keys").alias("key"), "copies", "size").repartition("key").distinct()
     text = words.groupBy("copies").agg(F.min_by("words", "rowid").alias("words"))
     side = lambda df, c, n: df.select("key", F.col("copies").alias(c), F.col("size").alias(n))
 

@@ -138,10 +138,15 @@ def cluster_assignments(spark, folder):
     return c.select("cluster_id", F.posexplode("ids").alias("n", "category")).select("cluster_id", "category", F.greatest(F.lit(0.5), F.round(1 - F.col("n") * 0.1, 4)).alias("confidence"), F.lit("auto").alias("assigned_by"))
 
 
+def hash_bucket(c: str, n: int) -> Column:
+    """A number below n from the first 16 bits of a value's MD5."""
+    return (F.conv(F.left(F.md5(c), F.lit(4)), 16, 10).cast("int") % n).cast("int")
+
+
 def replaced_chunks(spark, folder):
     """Passages and their vectors after every third attachment was extracted anew into one passage: the old passages' vectors went with them."""
     c = table(spark, folder, "attachment_chunks").select("chunk_rowid", "attachment_id").distinct()
-    again = F.pmod(F.crc32("attachment_id"), F.lit(3)) == 0
+    again = hash_bucket("attachment_id", 3) == 0
     kept = c.where(~again)
     new = table(spark, folder, "attachments").where((F.col("status") == "extracted") & again).select("attachment_id").distinct()
     v = table(spark, folder, "chunk_embeddings").select("chunk_rowid", T.model_key(F.col("model_id")).alias("model")).distinct().join(kept.select("chunk_rowid").distinct(), "chunk_rowid", "left_semi")
@@ -152,8 +157,8 @@ def replaced_chunks(spark, folder):
 def attachment_upsert(spark, folder):
     """Attachments by status after every second one was sent again under a longer name: status and id stay, sizes and names are new, unknown ones are pending."""
     a = table(spark, folder, "attachments").where("attachment_id is not null").groupBy("attachment_id").agg(F.max(F.struct("filename", "size_bytes", "status")).alias("r")).select("attachment_id", "r.*")
-    odd = F.pmod(F.crc32("attachment_id"), F.lit(2)) == 1
-    sent = a.where(odd).select(F.when(F.pmod(F.crc32("attachment_id"), F.lit(20)) == 1, F.concat("attachment_id", F.lit("-new"))).otherwise(F.col("attachment_id")).alias("attachment_id"), F.concat("filename", F.lit(".v2")).alias("filename"), (F.col("size_bytes") + 1).alias("size_bytes"), F.lit("pending").alias("status"))
+    odd = hash_bucket("attachment_id", 2) == 1
+    sent = a.where(odd).select(F.when(hash_bucket("attachment_id", 20) == 1, F.concat("attachment_id", F.lit("-new"))).otherwise(F.col("attachment_id")).alias("attachment_id"), F.concat("filename", F.lit(".v2")).alias("filename"), (F.col("size_bytes") + 1).alias("size_bytes"), F.lit("pending").alias("status"))
     m = merge.keyed_merge(a, sent, ["attachment_id"], {"status": merge.keep_old})
     return m.groupBy("status").agg(F.count(F.lit(1)).alias("attachments"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("filename").endswith(".v2")).alias("renamed"))
 
@@ -282,6 +287,8 @@ _AT = "coalesce(date_ms, epoch_ms(indexed_at))"
 _DOMAIN = r"nullif(regexp_extract(lower(from_addr), '@([^@\s>]+)[^@]*$', 1), '')"
 _MODEL = "regexp_replace(trim(model_id), '(?i):latest$', '')"
 
+_bucket = lambda n: f"(('0x' || substr(md5(attachment_id), 1, 4))::int % {n})"
+
 ORACLE_SQL = {
     "active_triage": f"{_E}, {_T} select bucket, count(*) as mails, cast(sum(importance) as bigint) as importance from t where {_OPEN} group by bucket",
     "pending_triage": f"{_E}, {_T} select e.email_rowid, e.account_id, t.email_rowid is null as unclassified from e left join t using (email_rowid) where not coalesce(ready, false)",
@@ -297,6 +304,11 @@ select bucket, count(*) filter (where {_OPEN}) as open, count(dismissed_at) as d
     "added_assignments": f"""{_E}, {_A}, u as (select *, 0 as fresh from a union all select email_rowid, 2, 0.9, 'auto', 1 from e where email_rowid % 4 = 2), k as (select *, row_number() over (partition by email_rowid, category order by (assigned_by = 'user') desc, fresh desc, confidence desc) as k from u)
 select category, count(*) as rows, round(sum(confidence), 4) as confidence from k where k = 1 group by 1""",
     "cluster_assignments": "with c as (select distinct cluster_id from discovered_clusters where cluster_id is not null), n as (select cluster_id, unnest([0, 1, 2]) as n from c) select cluster_id, cast((cluster_id + n) % 12 as int) as category, greatest(0.5, round(1 - n * 0.1, 4)) as confidence, 'auto' as assigned_by from n",
+    "replaced_chunks": f"with c as (select distinct chunk_rowid, attachment_id from attachment_chunks), k as (select * from c where {_bucket(3)} <> 0), n as (select distinct attachment_id from attachments where status = 'extracted' and {_bucket(3)} = 0), v as (select distinct chunk_rowid, {_MODEL} as model from chunk_embeddings where chunk_rowid in (select chunk_rowid from k)) select 'kept' as kind, count(*) as rows from k union all select 'new', count(*) from n union all select 'vectors', count(*) from v",
+    "attachment_upsert": f"""with a0 as (select *, row_number() over (partition by attachment_id order by filename desc nulls last, size_bytes desc nulls last, status desc nulls last) as k from attachments where attachment_id is not null), a as (select attachment_id, filename, size_bytes, status from a0 where k = 1),
+p as (select case when {_bucket(20)} = 1 then attachment_id || '-new' else attachment_id end as id, filename || '.v2' as filename, size_bytes + 1 as size_bytes from a where {_bucket(2)} = 1),
+m as (select coalesce(a.status, case when a.attachment_id is null then 'pending' end) as status, case when p.id is null then a.filename else p.filename end as filename, case when p.id is null then a.size_bytes else p.size_bytes end as size_bytes from a full join p on a.attachment_id = p.id)
+select status, count(*) as attachments, cast(sum(size_bytes) as bigint) as bytes, count(*) filter (where filename like '%.v2') as renamed from m group by 1""",
     "message_attachments": "with a as (select distinct message_id, account_id, attachment_id, filename, part_name from attachments where attachment_id is not null) select message_id, account_id, attachment_id, row_number() over (partition by message_id, account_id order by filename nulls last, part_name nulls last, attachment_id) as place from a",
     "status_update": "with a as (select distinct * from attachments where attachment_id is not null), u as (select *, coalesce(size_bytes >= 5000, false) as big from a) select case when big then 'error' else status end as status, count(*) as attachments, count(case when big then 'x' else last_error end) as errors, cast(sum(case when not big then char_count end) as bigint) as chars from u group by 1",
     "extracted_names": f"{_E}, a as (select distinct attachment_id, filename, message_id, account_id from attachments where status = 'extracted' and filename is not null), m as (select message_id, account_id, max({_AT}) as sent_at from e group by all) select attachment_id, filename, sent_at from a left join m using (message_id, account_id) order by sent_at desc nulls last, attachment_id, filename limit 100",

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -268,6 +269,76 @@ def test_check_moves_few(spark):
     assert len(rows) >= 450 and sum(r.moved for r in rows) <= 0.05 * len(rows)
 
 
+def test_copies_count_in_every_sum(spark):
+    # 200 equal vectors in a cluster of 220: three are placed, all count in the centroid and the cohesion
+    x = blobs(np.random.default_rng(21), 3, 20, 60, spread=0.035)
+    x = np.concatenate([x, np.repeat(x[:1], 200, axis=0)]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, "m", "a", v.tolist(), None) for i, v in enumerate(x)], "email_rowid long, model_id string, account_id string, embedding array<float>, created_at timestamp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows.write.parquet(f"{folder}/email_embeddings.parquet")
+    members = {r.email_rowid for r in p4_clusters.p4_found(spark, folder).where("cluster_rowid = 0").collect()}
+    got = p4_clusters.p4_clusters(spark, folder).where("cluster_rowid = 0").first()
+    total = u[sorted(members)].sum(0)
+    assert members >= {*range(20), *range(120, 320)} and got["size"] == len(members)
+    assert abs(got.cohesion - np.linalg.norm(total) / len(members)) < 1e-5 and np.allclose(got.centroid, total / np.linalg.norm(total), atol=1e-5)
+
+
+def test_weighted_rows_are_as_good_as_copies():
+    x = blobs(np.random.default_rng(22), 6, 12, 60, spread=0.05).astype(float)
+    times = np.ones(len(x), int)
+    times[[0, 30, 100]] = 40, 7, 25
+    every = np.repeat(np.arange(len(x)), times)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean, sd = u[every].mean(0), u[every].std(0)
+    value, axis = np.linalg.eigh(np.corrcoef(u[every].T))
+    axes = mean, sd, axis[:, ::-1][:, :20], value[::-1][:20]
+    label, density = p4_clusters.components(u, times.astype(float), axes)
+    of_all, density_of_all = p4_clusters.components(u[every], np.ones(len(every)), axes)
+    assert (label[every] == of_all).all() and np.allclose(density[every], density_of_all)
+
+
+@pytest.mark.parametrize("block_rows", [65_536, 150])
+def test_no_border_of_cells_drops_partners(spark, block_rows):
+    # triples whose outer rows are linked to the middle one only: whatever the cells, they come together as linked vectors do
+    r = np.random.default_rng(23)
+    triples = []
+    for _ in range(150):
+        a, b, c = np.linalg.qr(r.normal(0, 1, (64, 3)))[0].T
+        t = np.arccos(0.83)
+        triples += [np.cos(t) * a + np.sin(t) * b, a, np.cos(t) * a + np.sin(t) * c]
+    x = np.concatenate([np.array(triples), r.normal(0, 1, (300, 64))]).astype(np.float32)
+    rows = p4_clusters.clusters(frame(spark, x), cell_rows=60, block_rows=block_rows).collect()
+    got = {(q.rowid, q.cluster_rowid) for q in rows}
+    assert got == {(i, i - i % 3) for i in range(450)}
+
+
+def test_close_pairs_against_brute_force():
+    r = np.random.default_rng(24)
+    x = blobs(r, 60, 8, 100, spread=0.06).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    fragment = np.sort(np.concatenate([np.repeat(np.arange(240), 2), 240 + np.arange(100)]))
+    few = np.unique(fragment)
+    loose, fit, block = r.random(len(few)) < 0.6, r.integers(0, 7, len(few)), r.integers(0, 2, len(few))
+    mean = np.array([u[fragment == f].sum(0) for f in few])
+    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    want = {}
+    for i in few:
+        for j in few[few > i]:
+            best = (u[fragment == i] @ u[fragment == j].T).max()
+            near = loose[i] or loose[j]
+            if fit[i] != fit[j] and (mean[i] @ mean[j] >= 0.8 or near and best >= 0.8):
+                want[i, j] = best if near and best >= 0.8 else 0
+    got = {}
+    for first, second in ((0, 0), (0, 1), (1, 1)):
+        at = np.isin(block[fragment], [first, second])
+        own = fragment[at]
+        for a, b, _, _, best, _ in zip(*p4_clusters.close_pairs(u[at], np.ones(at.sum()), own, loose[own], fit[own], block[own], first, second)):
+            assert (min(a, b), max(a, b)) not in got
+            got[min(a, b), max(a, b)] = best
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 200
+
+
 def test_no_vectors(spark):
     f = frame(spark, np.zeros((0, 64)))
     assert p3_neighbours.neighbours(f).count() == 0 and p4_clusters.clusters(f).count() == 0
